@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, media, packing
 
-_MODULES = [exact_dedup, bpe, packing]
+_MODULES = [exact_dedup, bpe, packing, media]
 
 
 def queries() -> dict:
