@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, media, packing
+from . import bpe, exact_dedup, media, packing, quality, toxicity
 
-_MODULES = [exact_dedup, bpe, packing, media]
+_MODULES = [exact_dedup, bpe, toxicity, packing, quality, media]
 
 
 def queries() -> dict:
