@@ -1,8 +1,9 @@
-"""Toxicity by subword-bag embeddings: the vectors of all character n-grams of a text are averaged and go
-through a linear softmax, and vectors and softmax are trained jointly in numpy. Misspelt words that training
+"""Toxicity by subword-bag embeddings: a word is the mean of its character n-grams' vectors, a text the average
+of its distinct words (over the root of their number, so that long texts keep their few telling words), which
+goes through a linear softmax, and vectors and softmax are trained jointly in numpy. Misspelt words that training
 never saw share n-grams with those that it saw.
 
-N-grams have 3 to 5 bytes of a lower-cased word with one mark for either end. They are hashed to BUCKETS rows
+N-grams have 3 to 6 characters of a lower-cased word with one mark for either end. They are hashed to BUCKETS rows
 and weigh by inverse document frequency in the training sample. Training takes at most TRAIN_ROWS labelled
 rows, those with the smallest hash of their id; everything else reads all texts whole. As the model is linear
 in the average, the scorer needs one number a bucket.
@@ -20,65 +21,121 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, own_columns, ship, table, text_buffers
+from .common import _BASE, _INV, chunks, mix, own_columns, powers, ship, table, text_buffers
 
 BUCKETS = 1 << 16
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 #: Labelled rows that a model is fitted on at most.
 TRAIN_ROWS = 12_288
 DIMENSIONS = 8
+#: Averages divide by this power of the number of distinct words.
+POWER = 0.5
 EPOCHS = 8
+SCALE = 4.0
+#: Step of the vectors against that of the softmax.
+VECTOR_RATE = 30.0
 BATCH = 64
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _FOLD[~_WORD] = 32
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text number of every n-gram."""
-    n = len(offsets) - 1
-    # Each text gets a mark before and after it; runs of other characters become one mark.
-    at = np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))
-    stream = np.full(len(data) + n + 1, 32, np.uint8)
-    stream[at] = _FOLD[data]
-    owner = np.zeros(len(stream), np.int32)
-    owner[at] = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
-    mark = stream == 32
-    keep = np.ones(len(stream), bool)
-    keep[1:] = ~(mark[1:] & mark[:-1])
-    stream, owner, mark = stream[keep].astype(np.uint64), owner[keep], mark[keep]
-    ids, whose = [], []
-    for size in SIZES:
-        m = len(stream) - size + 1
-        if m <= 0:
-            continue
-        code = np.zeros(m, np.uint64)
-        clean = np.ones(m, bool)
-        for j in range(size):
-            code |= stream[j : j + m] << np.uint64(8 * j)
-            if 0 < j < size - 1:
-                clean &= ~mark[j : j + m]
-        ids.append((mix(code[clean] + np.uint64(size << 56)) & np.uint64(BUCKETS - 1)).astype(np.int32))
-        whose.append(owner[1 : 1 + m][clean])
-    if not ids:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    return np.concatenate(ids), np.concatenate(whose)
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character, Latin capitals folded and all but letters and digits as a space; new offsets."""
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    code = _FOLD[data[at]]
+    more = np.concatenate((data, np.zeros(3, np.uint8)))
+    going = np.ones(len(at), bool)
+    for j in (1, 2, 3):
+        going = going & ((more[at + j] & 0xC0) == 0x80)
+        if not going.any():
+            break
+        code = np.where(going, code << 8 | more[at + j], code)
+    code = np.where((code >= 0xC380) & (code <= 0xC39E) & (code != 0xC397), code + 32, code)
+    return code, np.concatenate(([0], np.cumsum(lead)))[offsets]
+
+
+class Subwords:
+    """Of several texts: the distinct words of each (word, text pairs) and the n-grams of each word, in hash buckets."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        code, offsets = characters(data, offsets)
+        n = len(offsets) - 1
+        mark = code == 32
+        begins, ends = ~mark, ~mark
+        begins[1:] &= mark[:-1]
+        ends[:-1] &= mark[1:]
+        inner = offsets[1:-1]
+        inner = inner[(inner > 0) & (inner < len(code))]
+        begins[inner] |= ~mark[inner]
+        ends[inner - 1] |= ~mark[inner - 1]
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        value = mix(code.astype(np.uint64) + np.uint64(1))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * powers(_BASE, len(code)))))
+        word = mix((sums[end] - sums[start]) * powers(_INV, len(code) + 1)[start] + (end - start).astype(np.uint64))
+        text = np.repeat(np.arange(n), np.diff(np.searchsorted(start, offsets)))
+        _, first, number = np.unique(word, return_index=True, return_inverse=True)
+        pair = np.unique(text * max(1, len(first)) + number)
+        self.text, self.word = pair // max(1, len(first)), pair % max(1, len(first))
+        # The distinct words one after the other, a mark before each and after the last.
+        start, size = start[first], (end - start)[first]
+        at = np.cumsum(size + 1) - size
+        stream = np.full(int(size.sum()) + len(size) + 1, 32, np.uint64)
+        place = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        source = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        stream[place] = code[source]
+        owner = np.zeros(len(stream), np.int64)
+        owner[place] = np.repeat(np.arange(len(size)), size)
+        mark = stream == 32
+        ids, whose = [], []
+        hashed, clean = stream.copy(), np.ones(len(stream), bool)
+        for k in range(2, max(SIZES) + 1):
+            m = len(stream) - k + 1
+            if m <= 0:
+                break
+            hashed = hashed[:m] * np.uint64(_BASE) + stream[k - 1 :]
+            clean = clean[:m] & ~mark[k - 2 : k - 2 + m] if k > 2 else clean[:m]  # no mark inside
+            if k in SIZES:
+                ids.append((mix(hashed[clean] + np.uint64(k << 56)) & np.uint64(BUCKETS - 1)).astype(np.int64))
+                whose.append(owner[1 : 1 + m][clean])
+        self.ids, self.whose = (np.concatenate(ids), np.concatenate(whose)) if ids else (np.zeros(0, np.int64),) * 2
+        self.grams = np.maximum(np.bincount(self.whose, minlength=len(first)), 1)
+        self.texts, self.words = n, len(first)
+
+    def average(self, value: np.ndarray) -> np.ndarray:
+        """Of each text: the mean over its words of the mean over their n-grams."""
+        word = np.bincount(self.whose, value[self.ids], self.words) / self.grams
+        count = np.bincount(self.text, minlength=self.texts)
+        return np.bincount(self.text, word[self.word], self.texts) / np.maximum(count, 1) ** POWER
+
+    def bags(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text: its buckets and their weights, which give the same average."""
+        order = np.argsort(self.whose, kind="stable")
+        sizes = np.bincount(self.whose, minlength=self.words)
+        first = np.cumsum(sizes) - sizes
+        bounds, out = np.searchsorted(self.text, np.arange(self.texts + 1)), []
+        for a, b in zip(bounds, bounds[1:]):
+            words = self.word[a:b]
+            n = sizes[words]
+            at = np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            ids, number = np.unique(self.ids[order[at]], return_inverse=True)
+            weight = np.bincount(number, np.repeat(1 / self.grams[words], n), len(ids)) / max(1, b - a) ** POWER
+            out.append((ids, weight.astype(np.float32)))
+        return out
 
 
 class Model:
-    """score(n-grams) = sigmoid(bias + mean of value over n-grams)."""
+    """score(text) = sigmoid(bias + average of value over its words)."""
 
     def __init__(self, value: np.ndarray, bias: float):
         self.value, self.bias = value, bias
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        ids, whose = subwords(data, offsets)
-        n = len(offsets) - 1
-        total, count = np.bincount(whose, self.value[ids], n), np.bincount(whose, minlength=n)
-        return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(count, 1), -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + Subwords(data, offsets).average(self.value), -40, 40)))
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
@@ -91,13 +148,17 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     df = np.zeros(BUCKETS)
     for ids, _ in bags:
         df[ids] += 1
-    idf = np.log((1 + n) / (1 + df)).astype(np.float32)
-    idf[df < 2] = 0  # an n-gram of one text says nothing about another
-    scale = np.float32(20.0)
+    idf = np.log((1 + n) / (1 + df))
+    idf[df < max(3, 0.002 * n)] = 0  # an n-gram of one or two texts says nothing about another
+    seen = np.zeros(BUCKETS)
+    for (ids, _), y in zip(bags, labels):
+        seen[ids] += y
+    odds = np.log((seen + 0.5) / (positive + 1)) - np.log((df - seen + 0.5) / (n - positive + 1))
+    idf = (idf * np.abs(np.tanh(odds)) * SCALE).astype(np.float32)  # n-grams alike in both classes hardly count
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.array([0, prior], np.float32)
-    state = [np.zeros_like(x) for x in (vectors, vectors, softmax, softmax, bias, bias)]
+    state = [np.zeros_like(vectors), np.zeros(1, np.float32), *(np.zeros_like(x) for x in (softmax, softmax, bias, bias))]
     step = 0
     for epoch in range(EPOCHS):
         rate = 0.02 * (1 - epoch / EPOCHS) + 1e-3
@@ -106,10 +167,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
             rows = order[first : first + BATCH]
             ids = np.concatenate([bags[r][0] for r in rows])
             sizes = np.array([len(bags[r][0]) for r in rows])
-            counts = np.concatenate([bags[r][1] for r in rows]).astype(np.float32)
+            weight = np.concatenate([bags[r][1] for r in rows])
             whose = np.repeat(np.arange(len(rows)), sizes)
-            total = np.maximum(np.bincount(whose, counts, len(rows)), 1)
-            weight = (counts * idf[ids] / total[whose] * scale).astype(np.float32)
+            weight = weight * idf[ids]
             hidden = np.zeros((len(rows), DIMENSIONS), np.float32)
             part = vectors[ids] * weight[:, None]
             for d in range(DIMENSIONS):
@@ -129,10 +189,11 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
                 m, v = state[2 * i], state[2 * i + 1]
                 m *= 0.9
                 m += 0.1 * g
-                v *= 0.999
-                v += 0.001 * g * g
-                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    value = scale * idf * (vectors @ (softmax[:, 1] - softmax[:, 0]))
+                # All vectors share one step size: with one each, rare n-grams would learn single texts by heart.
+                v *= 0.99
+                v += 0.01 * (float((g * g).sum()) if i == 0 else g * g)
+                x -= rate * (VECTOR_RATE if i == 0 else 1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
+    value = idf * (vectors @ (softmax[:, 1] - softmax[:, 0]))
     return Model(value.astype(np.float64), float(bias[1] - bias[0]))
 
 
@@ -156,17 +217,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             raw, offsets = text_buffers(b.column(0))
             for i, j in chunks(offsets):
-                part = offsets[i : j + 1] - offsets[i]
-                ids, whose = subwords(raw[offsets[i] : offsets[j]], part)
-                pair, count = np.unique(whose.astype(np.int64) * BUCKETS + ids, return_counts=True)
-                at = np.searchsorted(pair, np.arange(j - i + 1) * BUCKETS)
-                packed_ids, packed = (pair % BUCKETS).astype("<u2"), np.minimum(count, 65535).astype("<u2")
-                one = [packed_ids[x:y].tobytes() for x, y in zip(at, at[1:])]
-                two = [packed[x:y].tobytes() for x, y in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary()), b.column(1).slice(i, j - i)], ["ids", "counts", "label"])
-
-    found = rows.mapInArrow(run, "ids binary, counts binary, label int").toArrow()
-    bags = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(c, "<u2")) for a, c in zip(found.column("ids").to_pylist(), found.column("counts").to_pylist())]
+                bags = Subwords(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).bags()
+                one, two = [x.astype("<u2").tobytes() for x, _ in bags], [x.astype("<f4").tobytes() for _, x in bags]
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary()), b.column(1).slice(i, j - i)], ["ids", "weights", "label"])
+
+    found = rows.mapInArrow(run, "ids binary, weights binary, label int").toArrow()
+    bags = [(np.frombuffer(a, "<u2"), np.frombuffer(c, "<f4")) for a, c in zip(found.column("ids").to_pylist(), found.column("weights").to_pylist())]
     order = sorted(range(len(bags)), key=lambda i: (bags[i][0].tobytes(), bags[i][1].tobytes()))  # the same model whatever the tasks' order
     return fit([bags[i] for i in order], np.array(found.column("label").to_pylist(), np.int64)[order] if bags else np.zeros(0, np.int64))
 
