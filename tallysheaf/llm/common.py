@@ -122,7 +122,14 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-_MASK = (1 << 64) - 1
+def byte_chunks(batches, text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their text bytes, offsets) for about CHUNK_BYTES of text at a time."""
+    for batch in batches:
+        raw, offsets = text_buffers(batch.column(text))
+        for i, j in chunks(offsets):
+            yield batch.slice(i, j - i), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}

@@ -13,10 +13,8 @@ table gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +23,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import SPACE, text_chunks
-from .common import own_columns, ship, stage, table
+from .bpe import SPACE
+from .common import _BASE, _INV, _TABLE, byte_chunks, mix, own_columns, powers, ship, stage, table, text_buffers
 
 CAPACITY = 4096
 #: Pieces that are packed together.
@@ -37,16 +35,49 @@ REMEMBERED = 800_000
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Texts with these go through the tokenizer whole: final sigma lower-cases by context, controls, added tokens.
 ODD = regex.compile("[Σ\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f�]|<\\|")
-#: The same pattern for lower-case texts with no characters but these, for the faster module re.
-LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zµß-öø-ÿªºœ]+|[0-9²³¹¼-¾]|[^\\sa-zµß-öø-ÿªºœ0-9²³¹¼-¾]+")
-LATIN_ONLY = re.compile("[\t-\r -~\xa0-\xffœ–—‘’“”…]*")
-PLAIN = bytes([*range(9, 14), *range(32, 127)])
-
-
-def odd(text: str) -> bool:
-    if text.isascii():
-        return "<|" in text or bool(text.encode().translate(None, PLAIN))
-    return ODD.search(text) is not None
+#: Kinds of bytes: 0 white space, 1 letter (with the two bytes of a Latin-1 letter), 2 digit, 3 other marks.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, *range(9, 14)]] = 0
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = 1
+_KIND[48:58] = 2
+#: Bytes that send a text to the pattern: controls, the apostrophe, all that is not ASCII but Latin-1 letters.
+_HARD = np.ones(256, bool)
+_HARD[[*range(9, 14), *range(32, 127), 0xC3]] = False
+_HARD[0x27] = True
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+
+
+def split_plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which texts are plain, the byte ranges of the pattern's words in those, and the bytes in lower case."""
+    n = len(data)
+    kind, hard, lower = _KIND[data], _HARD[data], _LOW[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1 if n else np.zeros(0, np.int64)
+    second = data[after]
+    letter = (second != 0x97) & (second != 0xB7)
+    kind[after], hard[after] = 1, ~letter
+    lower[after[letter & (second <= 0x9E)]] += 32
+    hard[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    plain = np.diff(np.concatenate(([0], np.cumsum(hard)))[offsets]) == 0
+    begin = kind == 2
+    begin[1:] |= kind[1:] != kind[:-1]
+    begin[offsets[:-1][offsets[:-1] < n]] = True
+    start = np.flatnonzero(begin)
+    end = np.append(start[1:], n)[: len(start)]
+    word = kind[start] != 0
+    return plain, start[word], end[word], lower
+
+
+class Numbers(dict):
+    """Numbers words as they come; new holds those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class WordTokens:
@@ -59,7 +90,7 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.split = regex.compile(SPLIT)
-        self.known: dict[str, bytes] = {}
+        self.forget()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -76,24 +107,63 @@ class WordTokens:
         raw = flat.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
 
+    def encode_buffers(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each text of a UTF-8 buffer."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        n, whole = len(offsets) - 1, data.tobytes()
+        plain, start, end, lower = split_plain(data, offsets)
+        owner = np.searchsorted(offsets, start, "right") - 1
+        keep = plain[owner]
+        start, end, owner = start[keep], end[keep], owner[keep]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[lower] * powers(_BASE, len(lower)))))
+        word = (sums[end] - sums[start]) * powers(_INV, len(lower) + 1)[start]
+        _, first, number = np.unique(mix(word + (end - start).astype(np.uint64)), return_index=True, return_inverse=True)
+        low = lower.tobytes()
+        distinct = [low[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
+        number = np.array(list(map(self.known.__getitem__, distinct)), np.int64)[number] if distinct else number
+        # Texts with anything but Latin letters, digits and simple marks go through the pattern as strings.
+        numbers, others, found = [number], [owner], {}
+        for i in np.flatnonzero(~plain).tolist():
+            text = whole[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")
+            words = None if ODD.search(text) else self.split.findall(unicodedata.normalize("NFC", text).lower())
+            if words is None:
+                found[i] = self.whole(text)
+            else:
+                numbers.append(np.array(list(map(self.known.__getitem__, words)), np.int64))
+                others.append(np.full(len(words), i))
+        if len(numbers) > 1:
+            owner = np.concatenate(others)
+            order = np.argsort(owner, kind="stable")
+            owner, number = owner[order], np.concatenate(numbers)[order]
+        if self.known.new:
+            new, self.known.new = self.known.new, []
+            for i in range(0, len(new), 4096):
+                self.remember(self.ids_of_words(new[i : i + 4096]))
+        size = self.size[number]
+        ends = np.cumsum(size)
+        at = np.repeat(self.first[number] - (ends - size), size) + np.arange(int(size.sum()))
+        raw = self.store[at].tobytes()
+        bounds = np.concatenate(([0], ends))[np.searchsorted(owner, np.arange(n + 1))].tolist()
+        return [found[i] if i in found else raw[4 * a : 4 * b] for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        parts = [self.words(t) for t in texts]
-        words = set(chain.from_iterable(p for p in parts if p))
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {w: self.known[w] for w in words - new}
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            self.known.update(zip(some := new[i : i + 4096], self.ids_of_words(some)))
-        return [self.whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts)]
-
-    def words(self, text: str) -> list[str] | None:
-        """The words of a text as the tokenizer splits it; None for texts that it has to read whole."""
-        if odd(text):
-            return None
-        text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-        return (LATIN.findall if LATIN_ONLY.fullmatch(text) else self.split.findall)(text)
+        return self.encode_buffers(*text_buffers(pa.array(texts, pa.string())))
+
+    def forget(self) -> None:
+        self.known, self.words_stored, self.stored = Numbers(), 0, 0
+        self.store, self.first, self.size = np.zeros(1 << 20, "<u4"), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def remember(self, ids: list[bytes]) -> None:
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array(list(map(len, ids)), np.int64) >> 2
+        while self.stored + len(flat) > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros_like(self.store)))
+        while self.words_stored + len(ids) > len(self.size):
+            self.first, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size))
+        here = slice(self.words_stored, self.words_stored + len(ids))
+        self.size[here], self.first[here] = size, self.stored + np.cumsum(size) - size
+        self.store[self.stored : self.stored + len(flat)] = flat
+        self.stored, self.words_stored = self.stored + len(flat), here.stop
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -119,9 +189,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         if path not in _loaded:
             _loaded[path] = WordTokens(path)
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
-        for some, texts in text_chunks(batches):
+        for some, raw, offsets in byte_chunks(batches):
             at, number, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(_loaded[path].encode_batch(texts)):
+            for i, ids in enumerate(_loaded[path].encode_buffers(raw, offsets)):
                 ids += end
                 for n, s in enumerate(range(0, len(ids), step)):
                     part = ids[s : s + step]
