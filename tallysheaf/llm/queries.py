@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard, media, packing, quality, toxicity
+from . import bpe, exact_dedup, jaccard, media, packing, quality, repeats, toxicity
 
-_MODULES = [exact_dedup, bpe, jaccard, toxicity, packing, quality, media]
+_MODULES = [exact_dedup, bpe, jaccard, toxicity, packing, quality, media, repeats]
 
 
 def queries() -> dict:
