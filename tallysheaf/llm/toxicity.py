@@ -16,6 +16,8 @@ an empty table gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +28,7 @@ from .common import _BASE, _INV, chunks, mix, own_columns, powers, ship, table,
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
 #: Labelled rows that a model is fitted on at most.
-TRAIN_ROWS = 12_288
+TRAIN_ROWS = 6_144
 DIMENSIONS = 8
 #: Averages divide by this power of the number of distinct words.
 POWER = 0.5
@@ -167,9 +169,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
             rows = order[first : first + BATCH]
             ids = np.concatenate([bags[r][0] for r in rows])
             sizes = np.array([len(bags[r][0]) for r in rows])
-            weight = np.concatenate([bags[r][1] for r in rows])
+            weight = np.concatenate([bags[r][1] for r in rows]).astype(np.float32)
             whose = np.repeat(np.arange(len(rows)), sizes)
-            weight = weight * idf[ids]
+            weight *= idf[ids]
             hidden = np.zeros((len(rows), DIMENSIONS), np.float32)
             part = vectors[ids] * weight[:, None]
             for d in range(DIMENSIONS):
@@ -218,12 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             raw, offsets = text_buffers(b.column(0))
             for i, j in chunks(offsets):
                 bags = Subwords(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).bags()
-                one, two = [x.astype("<u2").tobytes() for x, _ in bags], [x.astype("<f4").tobytes() for _, x in bags]
+                one, two = [x.astype("<u2").tobytes() for x, _ in bags], [x.astype("<f2").tobytes() for _, x in bags]
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary()), b.column(1).slice(i, j - i)], ["ids", "weights", "label"])
 
     found = rows.mapInArrow(run, "ids binary, weights binary, label int").toArrow()
-    bags = [(np.frombuffer(a, "<u2"), np.frombuffer(c, "<f4")) for a, c in zip(found.column("ids").to_pylist(), found.column("weights").to_pylist())]
-    order = sorted(range(len(bags)), key=lambda i: (bags[i][0].tobytes(), bags[i][1].tobytes()))  # the same model whatever the tasks' order
+    bags = [(np.frombuffer(a, "<u2"), np.frombuffer(c, "<f2")) for a, c in zip(found.column("ids").to_pylist(), found.column("weights").to_pylist())]
+    order = sorted(range(len(bags)), key=lambda i: hashlib.md5(bags[i][0].data).digest())  # the same model whatever the tasks' order
     return fit([bags[i] for i in order], np.array(found.column("label").to_pylist(), np.int64)[order] if bags else np.zeros(0, np.int64))
 
 
