@@ -122,11 +122,11 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def byte_chunks(batches, text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def byte_chunks(batches, text: int = 1, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their text bytes, offsets) for about CHUNK_BYTES of text at a time."""
     for batch in batches:
         raw, offsets = text_buffers(batch.column(text))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, most):
             yield batch.slice(i, j - i), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
@@ -178,6 +178,16 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * powers(_INV, n)[: n - k + 1] + np.uint64(k))
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, and for every value the number of its place."""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of several texts: byte ranges, hashes (A-Z lower-cased), text bounds."""
 

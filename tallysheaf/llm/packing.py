@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import SPACE
-from .common import _BASE, _INV, _TABLE, byte_chunks, mix, own_columns, powers, ship, stage, table, text_buffers
+from .common import _BASE, _INV, _TABLE, byte_chunks, distinct, mix, own_columns, powers, ship, stage, table, text_buffers
 
 CAPACITY = 4096
 #: Pieces that are packed together.
 SHARD = 16_384
 #: Words that a worker remembers.
 REMEMBERED = 800_000
+#: Text bytes whose words are looked up together.
+STEP_BYTES = 3 << 20
 #: Fixed value: the published splitting pattern of this vocabulary.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Texts with these go through the tokenizer whole: final sigma lower-cases by context, controls, added tokens.
@@ -113,15 +115,15 @@ class WordTokens:
             self.forget()
         n, whole = len(offsets) - 1, data.tobytes()
         plain, start, end, lower = split_plain(data, offsets)
-        owner = np.searchsorted(offsets, start, "right") - 1
+        owner = np.repeat(np.arange(n), np.diff(np.searchsorted(start, offsets)))
         keep = plain[owner]
         start, end, owner = start[keep], end[keep], owner[keep]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[lower] * powers(_BASE, len(lower)))))
         word = (sums[end] - sums[start]) * powers(_INV, len(lower) + 1)[start]
-        _, first, number = np.unique(mix(word + (end - start).astype(np.uint64)), return_index=True, return_inverse=True)
+        first, number = distinct(mix(word + (end - start).astype(np.uint64)))
         low = lower.tobytes()
-        distinct = [low[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
-        number = np.array(list(map(self.known.__getitem__, distinct)), np.int64)[number] if distinct else number
+        texts = [low[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
+        number = np.array(list(map(self.known.__getitem__, texts)), np.int64)[number] if texts else number
         # Texts with anything but Latin letters, digits and simple marks go through the pattern as strings.
         numbers, others, found = [number], [owner], {}
         for i in np.flatnonzero(~plain).tolist():
@@ -189,7 +191,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         if path not in _loaded:
             _loaded[path] = WordTokens(path)
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
-        for some, raw, offsets in byte_chunks(batches):
+        for some, raw, offsets in byte_chunks(batches, most=STEP_BYTES):
             at, number, start, length, crc, kept = [], [], [], [], [], []
             for i, ids in enumerate(_loaded[path].encode_buffers(raw, offsets)):
                 ids += end

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INV, chunks, mix, own_columns, powers, ship, table, text_buffers
+from .common import _BASE, _INV, chunks, distinct, mix, own_columns, powers, ship, table, text_buffers
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
@@ -80,7 +80,7 @@ class Subwords:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * powers(_BASE, len(code)))))
         word = mix((sums[end] - sums[start]) * powers(_INV, len(code) + 1)[start] + (end - start).astype(np.uint64))
         text = np.repeat(np.arange(n), np.diff(np.searchsorted(start, offsets)))
-        _, first, number = np.unique(word, return_index=True, return_inverse=True)
+        first, number = distinct(word)
         pair = np.unique(text * max(1, len(first)) + number)
         self.text, self.word = pair // max(1, len(first)), pair % max(1, len(first))
         # The distinct words one after the other, a mark before each and after the last.
