@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html, jaccard, media, packing, quality, repeats, toxicity
+from . import bpe, exact_dedup, html, jaccard, media, packing, quality, repeats, toxicity, warc
 
-_MODULES = [exact_dedup, bpe, jaccard, toxicity, packing, quality, media, repeats, html]
+_MODULES = [exact_dedup, bpe, jaccard, toxicity, warc, packing, quality, media, repeats, html]
 
 
 def queries() -> dict:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import _BASE, _INV, Words, byte_chunks, mix, own_columns, powers, rolling, ship, skew_join, stage, table, text_buffers
 
@@ -241,7 +242,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             raw, offsets = text_buffers(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text_hash(raw, offsets))], [*names, "_h"])
 
-    schema = docs.schema.add("_h", "long")
+    schema = StructType([*docs.schema.fields, StructField("_h", LongType())])
     cuts = stage(matches(docs, id_col, text_col).filter("size(cuts) > 0").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "cuts"), "cuts")
     # The id is enough to meet; few ids of the cuts are looked at twice.
     keyed = docs.mapInArrow(hashes, schema).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))))
