@@ -22,6 +22,8 @@ never looked at. Ids are integers.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +63,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches):
         total, held, n = np.zeros(SKETCH, np.uint32), [], 0
 
-        def add():
+        def add_held():
             if held:
                 np.add(total, np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32), out=total)
 
@@ -69,9 +71,9 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
             held += sets
             n += sum(map(len, sets))
             if n > 1 << 21:
-                add()
+                add_held()
                 held, n = [], 0
-        add()
+        add_held()
         parts = total.reshape(BLOCKS, -1)
         for b in range(BLOCKS):
             if parts[b].any():
@@ -87,7 +89,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    parts = docs.mapInArrow(count, schema).repartition(BLOCKS // 4, "block").mapInArrow(add_up, schema)
+    parts = docs.mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add_up, schema)
     out = np.zeros((BLOCKS, SKETCH // BLOCKS), np.uint32)
     for row in parts.toLocalIterator():
         out[row["block"]] = np.frombuffer(row["counts"], np.uint32)
@@ -117,12 +119,12 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 p.append(int(np.add.reduce(head.view(np.uint64) * np.uint64(0xA0761D6478BD642F) ^ (head.view(np.uint64) >> np.uint64(31)), dtype=np.uint64).view(np.int64)) if m else 0)
                 prefix.append(head)
                 size.append(size[-1] + len(head))
-                parity.append(np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) % 2 == 1).tobytes())
+                parity.append(np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) % 2 == 1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))
-            columns = [rows.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(p, pa.int64()), lists, pa.array(parity, pa.binary())]
+            columns = [rows.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(p, pa.int64()), lists, pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (PARITY // 64), pa.int32()), pa.array(np.concatenate(parity) if parity else [], pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "p", "prefix", "parity"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, p long, prefix array<long>, parity binary")
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, p long, prefix array<long>, parity array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -152,20 +154,15 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
 
 def possible(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that sizes and parity bitmaps do not rule out: each element of the difference flips one bit at most."""
-    left = shapes.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
-    right = shapes.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("parity").alias("p2"))
-    out = skew_join(skew_join(pairs, left, "a"), right, "b").filter(f"{den} * least(n1, n2) >= {num} * greatest(n1, n2)")
+    left = shapes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    right = shapes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    return stage(skew_join(skew_join(pairs, left, "a"), right, "b").filter(may_link(num, den)).select("a", "b"), "pairs")
 
-    def keep(batches):
-        for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            n = get("n1").to_numpy() + get("n2").to_numpy()
-            x, y = (np.frombuffer(b"".join(get(c).to_pylist()), np.uint8).reshape(-1, PARITY // 8) for c in ("p1", "p2"))
-            flips = np.bitwise_count(x ^ y).sum(1) if len(x) else np.zeros(0)
-            ok = flips * (num + den) <= (den - num) * n
-            yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(ok))
 
-    return stage(out.mapInArrow(keep, "a long, b long"), "pairs")
+def may_link(num: int, den: int):
+    """Of sizes na and nb and bitmaps pa and pb."""
+    flips = reduce(add, (F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY // 64)))
+    return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (flips * (num + den) <= (den - num) * (F.col("na") + F.col("nb")))
 
 
 def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,12 +209,13 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     placed = stage(with_component(spots.filter("rep != pivot"), comps, "rep", "comp"), "placed")
     by = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "comp")).alias("top")).filter("kinds > 1")
     placed = skew_join(placed, by.select("key", F.col("top.comp").alias("most")), "key")
+    placed = skew_join(placed.drop("n"), shapes, "rep")
     placed = stage(placed, "undecided")
-    minor = placed.filter("comp != most").select(F.col("key"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("home").alias("ha"))
-    every = placed.select(F.col("key"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("home").alias("hb"), "most")
-    fits = (F.col("ca") != F.col("cb")) & (F.col("ha") | F.col("hb")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b")))
-    more = minor.join(every, (minor["key"] == every["key"]) & fits).select("a", "b").distinct()
-    comps = join_components(comps, verified(possible(more, shapes, num, den), texts, k, num, den))
+    minor = placed.filter("comp != most").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"), F.col("comp").alias("ca"), F.col("home").alias("ha"))
+    every = placed.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"), F.col("comp").alias("cb"), F.col("home").alias("hb"), "most")
+    fits = (F.col("ca") != F.col("cb")) & (F.col("ha") | F.col("hb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & may_link(num, den)
+    more = stage(minor.join(every, (F.col("key") == F.col("k")) & fits).select("a", "b").distinct(), "more")
+    comps = join_components(comps, verified(more, texts, k, num, den))
 
     # Back to rows, through the class of each.
     reach = with_component(classes, comps, "rep", "comp")
