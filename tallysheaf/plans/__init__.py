@@ -1,9 +1,12 @@
-"""Registered queries over the driver tables."""
+"""Registered queries over the driver tables, each with its SQL where SQL can say it."""
+
+from . import hierarchy, matching, pages, reports, texts  # noqa: F401
+from .registry import ORACLES, QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -1,0 +1 @@
+"""There are no streaming operators: every source that this engine reads is finite."""
