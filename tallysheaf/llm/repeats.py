@@ -31,8 +31,9 @@ from .common import _BASE, _INV, Words, byte_chunks, mix, own_columns, powers, r
 
 MIN = 50
 GRAM = 25
-#: Bits that tell the second pass which minimisers to extend: 2 MB; more would only spare work.
-BITS = 1 << 24
+#: The Bloom filter that tells the second pass which minimisers to extend: bits a minimiser, and 1 to 64 MB in all.
+BITS_EACH, LEAST_BITS, MOST_BITS = 12, 1 << 23, 1 << 29
+SHIFTS = (0, 17, 34)
 LAST = np.iinfo(np.int64).max
 
 
@@ -114,18 +115,28 @@ REPEATS, GOES, EXTEND = 1, 2, 4
 
 
 def compare_neighbours(batches):
-    """Sorted suffixes -> (id, h, p, a, b, kind). Holds back two rows of the run that is going on, never the run."""
-    held, some_same, before, opening = None, False, None, True
+    """Sorted suffixes -> (id, h, p, a, b, kind). First words that one document only has are dropped. What is held
+    back for the next batch is two rows of the run that is going on, or, while the suffixes with the same first
+    words are all of one document, these: never more than one document has."""
     names = NAMES
+    held, some_same, follows, several, opening = None, False, False, False, True
 
     def work(rows, ends):
-        nonlocal held, some_same, before, opening
+        nonlocal held, some_same, follows, several, opening
         n = len(rows["gram"])
-        start = np.ones(n, bool)
-        start[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["suffix"][1:] != rows["suffix"][:-1])
+        new = np.ones(n, bool)
+        new[1:] = rows["gram"][1:] != rows["gram"][:-1]
+        groups = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        lead = groups[group]
+        many = ~np.logical_and.reduceat((rows["id"] == rows["id"][lead]) & (rows["h"] == rows["h"][lead]), groups)
+        many[0] |= several or opening  # the partition before may have more of it
+        if ends:
+            many[-1] = True  # and so may the next
+        start = new.copy()
+        start[1:] |= rows["suffix"][1:] != rows["suffix"][:-1]
         starts = np.flatnonzero(start)
-        run = np.cumsum(start) - 1
-        first = starts[run]
+        first = starts[np.cumsum(start) - 1]
         same = (rows["id"] == rows["id"][first]) & (rows["h"] == rows["h"][first])
         again = np.logical_or.reduceat(same & ~start, starts)
         again[0] |= some_same
@@ -134,20 +145,22 @@ def compare_neighbours(batches):
         need = again.copy()
         need[1:] |= gram[1:] == gram[:-1]
         need[:-1] |= gram[1:] == gram[:-1]
-        need[0] |= opening or gram[0] == before
+        need[0] |= opening or follows
         if ends:
             need[-1] = True
         kind = np.where(same, np.where(start, 0, EXTEND), REPEATS | GOES)
         there = other < n
         kind[starts] |= np.where(there, REPEATS, 0) | np.where(need, EXTEND, 0)
         kind[other[there]] |= np.where(need[there], EXTEND, 0)
-        emit = kind > 0
+        emit = (kind > 0) & many[group]
         if not ends:
-            keep = [starts[-1], other[-1]] if there[-1] else [starts[-1]]
+            one = not many[-1]
+            keep = np.arange(groups[-1], n) if one else np.array([starts[-1], other[-1]] if there[-1] else [starts[-1]])
             emit[keep] = False
-            held, some_same = {c: rows[c][keep] for c in names}, bool(again[-1])
-            if len(starts) > 1:
-                before, opening = gram[-2], False
+            held, several = {c: rows[c][keep] for c in names}, not one
+            some_same = bool(again[-1]) and not one
+            follows = not one and (bool(gram[-2] == gram[-1]) if len(starts) > 1 else follows)
+            opening = opening and len(groups) == 1
         return pa.RecordBatch.from_arrays([*(pa.array(rows[c][emit]) for c in names[2:]), pa.array(kind[emit].astype(np.int32))], [*names[2:], "kind"])
 
     for batch in batches:
@@ -166,13 +179,19 @@ def windows(texts: DataFrame, marked: bytes) -> DataFrame:
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
+        mask = len(bits) * 8 - 1
         for rows, raw, offsets in byte_chunks(batches):
             m = Minimisers(raw, offsets)
             if not len(m.place):
                 continue
             ids, h = ids_of(rows.column(0)), text_hash(raw, offsets)
-            bit = (h[m.text] ^ ((m.place - m.start) << 7)) & (BITS - 1)
-            on = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            p = m.place - m.start
+            x = (h[m.text] ^ (p << 7) ^ (p << 24) ^ (p << 41)).view(np.uint64)
+            on = np.ones(len(x), bool)
+            for shift in SHIFTS:
+                bit = (x >> np.uint64(shift)).astype(np.int64) & mask
+                on &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) == 1
+            on = np.flatnonzero(on)
             if len(on):
                 size = (m.last - m.first + 1)[on]
                 begin = np.repeat(m.first[on] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -184,10 +203,15 @@ def windows(texts: DataFrame, marked: bytes) -> DataFrame:
 
 
 def bits_of(rows: DataFrame) -> bytes:
-    """The bitmap of (h, p), BITS wide, on the driver: a fixed size."""
-    bit = F.pmod(F.col("h").bitwiseXOR(F.shiftleft(F.col("p").cast("long"), 7)), F.lit(BITS))
-    parts = rows.select(bit.alias("x")).groupBy(F.expr("cast(x div 32768 as int)").alias("k")).agg(F.bitmap_construct_agg((F.col("x") % 32768).cast("long")).alias("v"))
-    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    """A Bloom filter of (h, p) on the driver: BITS_EACH bits a row, within LEAST_BITS and MOST_BITS. A row that
+    is in it by chance is extended too, which changes no result."""
+    n = rows.count()
+    bits = min(max(LEAST_BITS, 1 << max(0, BITS_EACH * n - 1).bit_length()), MOST_BITS)
+    p = F.col("p").cast("long")
+    x = F.col("h").bitwiseXOR(F.shiftleft(p, 7)).bitwiseXOR(F.shiftleft(p, 24)).bitwiseXOR(F.shiftleft(p, 41))
+    spots = F.array(*[F.shiftrightunsigned(x, s).bitwiseAND(bits - 1) for s in SHIFTS])
+    parts = rows.select(F.explode(spots).alias("x")).groupBy(F.expr("cast(x div 32768 as int)").alias("k")).agg(F.bitmap_construct_agg((F.col("x") % 32768).cast("long")).alias("v"))
+    out = np.zeros((bits // 32768, 4096), np.uint8)
     for k, v in parts.toLocalIterator():
         out[k] = np.frombuffer(v, np.uint8)
     return out.tobytes()
