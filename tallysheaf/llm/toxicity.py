@@ -33,6 +33,8 @@ DIMENSIONS = 8
 #: Averages divide by this power of the number of distinct words.
 POWER = 0.5
 EPOCHS = 8
+#: Small samples are gone through more often, for so many steps.
+LEAST_STEPS = 600
 SCALE = 4.0
 #: Step of the vectors against that of the softmax.
 VECTOR_RATE = 30.0
@@ -162,8 +164,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     bias = np.array([0, prior], np.float32)
     state = [np.zeros_like(vectors), np.zeros(1, np.float32), *(np.zeros_like(x) for x in (softmax, softmax, bias, bias))]
     step = 0
-    for epoch in range(EPOCHS):
-        rate = 0.02 * (1 - epoch / EPOCHS) + 1e-3
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // n))
+    for epoch in range(epochs):
+        rate = 0.02 * (1 - epoch / epochs) + 1e-3
         order = rng.permutation(n)
         for first in range(0, n, BATCH):
             rows = order[first : first + BATCH]
