@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles at once; a longer text makes a step of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, so that long texts do not add up to large batches.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Bits of a broadcast bitmap: 2**23 bits are 1 MB however large the corpus is.
 BITMAP_BITS = 1 << 23
 _BUCKET = 32768  # bits that one row of bitmap_construct_agg holds
@@ -43,7 +45,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to Python workers, once a context, as --py-files would."""
+    """Send this package to Python workers, once a context, as --py-files would, and bound Arrow batches by bytes."""
+    if spark.conf.get(BATCH_SETTING) == "67108864b":  # the default; a setting of the session's own stays
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_tallysheaf_shipped", False):
         return
