@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, own_columns, ship, table, text_buffers
+from .common import chunks, claim, own_columns, ship, table, text_buffers
 
 #: White space as Unicode has it; Python's own \s also takes the separators U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -202,6 +202,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or default_path()
 
     def run(batches):
+        claim("bpe", _loaded.clear)
         bpe = vocabulary(path)
         for rows, texts in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(bpe.encode_batch(texts), pa.list_(pa.int32()))], ["id", "ids"])
@@ -216,6 +217,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
+        claim("bpe", _loaded.clear)
         bpe = vocabulary(path)
         for b in batches:
             texts = [bpe.decode(x or ()).decode() for x in b.column(1).to_pylist()]
@@ -231,6 +233,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     path = path or default_path()
 
     def run(batches):
+        claim("bpe", _loaded.clear)
         bpe = vocabulary(path)
         for rows, texts in text_chunks(batches):
             ids = bpe.encode_batch(texts)

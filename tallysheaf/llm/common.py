@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -98,6 +101,26 @@ def mark_in_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, bit
     return out.withColumn(flag, hit).drop("_b", "_bucket", "_bitmap", "_byte")
 
 
+# ---- memory of Python workers -----------------------------------------------------------------
+
+_held: list = ["", None]
+
+
+def claim(owner: str, forget=None) -> None:
+    """Workers are used again by later stages. The first task of another operator in a worker lets go of what the
+    one before keeps there between its tasks (forget), and gives freed memory back to the system."""
+    if _held[0] == owner:
+        return
+    if _held[1] is not None:
+        _held[1]()
+    _powers.clear()
+    _held[:] = [owner, forget]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ---- numpy over Arrow text ------------------------------------------------------------------
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_columns, ship, stage, table
+from .common import claim, own_columns, ship, stage, table
 
 #: Elements of html.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -204,6 +204,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     """One row for each token and page: its count, page hash and text; kind 0 is the page, 1 an element, 2 a text."""
 
     def run(batches):
+        claim("html")
         for batch in batches:
             rows = []
             for i, (host, page_id, page) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
@@ -264,6 +265,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     joined = rows.join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "host", "left").select("page_id", "url", "html", "container", "fixed")
 
     def run(batches):
+        claim("html")
         for batch in batches:
             texts = [main_text(page or "", c, set(f or ())) for page, c, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bitmap_of, byte_chunks, mark_in_bitmap, own_columns, rolling, ship, skew_join, stage, table
+from .common import bitmap_of, byte_chunks, claim, mark_in_bitmap, own_columns, rolling, ship, skew_join, stage, table, Words
 from .components import join_components, with_component
 
 #: Counters of the sketch: 16 MB, whatever the corpus has; more order a larger corpus better.
@@ -61,6 +61,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How often n-grams fall on each counter, over all texts; partial sums by block meet in streams."""
 
     def count(batches):
+        claim("jaccard")
         total, held, n = np.zeros(SKETCH, np.uint32), [], 0
 
         def add_held():
@@ -80,6 +81,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([parts[b].tobytes()], pa.binary())], ["block", "counts"])
 
     def add_up(batches):
+        claim("jaccard")
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -106,6 +108,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, k))
 
     def run(batches):
+        claim("jaccard")
         counts = shared.value
         for rows, sets in text_shingles(batches, k):
             n, s1, s2, p, prefix, size, parity = [], [], [], [], [], [0], []
@@ -132,6 +135,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def sets_of(batches):
+        claim("jaccard")
         for rows, sets in text_shingles(batches, k):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
@@ -141,6 +145,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     both = skew_join(both, sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
     def keep(batches):
+        claim("jaccard")
         for batch in batches:
             a, b, links = batch.schema.get_field_index("x"), batch.schema.get_field_index("y"), []
             for x, y in zip(batch.column(a), batch.column(b)):

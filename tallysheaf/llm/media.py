@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, own_columns, ship, table, text_buffers
+from .common import chunks, claim, own_columns, ship, table, text_buffers
 
 UNIT = 192
 #: Units between restart markers: the intervals decode side by side.
@@ -365,6 +365,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = own_columns(docs, id=id_col, text=text_col)
 
     def run(batches):
+        claim("media")
         for b in batches:
             raw, offsets = text_buffers(b.column(1))
             whole = raw.tobytes()
@@ -383,6 +384,7 @@ def from_media(media: DataFrame) -> DataFrame:
     rows = own_columns(media, id="id", n_bytes="n_bytes", media="media")
 
     def run(batches):
+        claim("media")
         for b in batches:
             files = b.column(2).to_pylist()
             sizes = np.concatenate(([0], np.cumsum([len(f or b"") for f in files]))).astype(np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import SPACE
-from .common import _BASE, _INV, _TABLE, byte_chunks, distinct, mix, own_columns, powers, ship, stage, table, text_buffers
+from .common import byte_chunks, claim, distinct, mix, own_columns, powers, ship, stage, table, text_buffers, _BASE, _INV, _TABLE
 
 CAPACITY = 4096
 #: Pieces that are packed together.
@@ -185,6 +185,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     schema = f"doc_id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches):
+        claim("packing", _loaded.clear)
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, own_columns, rolling, ship, stage, table, text_buffers
+from .common import chunks, claim, own_columns, rolling, ship, stage, table, text_buffers, Words
 from .toxicity import held_out, one_label
 
 FEATURES = 256
@@ -95,6 +95,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = own_columns(docs, id=id_col, text=text_col)
 
     def run(batches):
+        claim("quality")
         for b in batches:
             raw, offsets = text_buffers(b.column(1))
             for i, j in chunks(offsets):
@@ -113,6 +114,7 @@ def summed(rows: DataFrame, size: int, part) -> np.ndarray:
     """Sum of part(batch), vectors of one size, over all rows: one vector a task reaches the driver."""
 
     def run(batches):
+        claim("quality")
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
@@ -206,6 +208,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     shared = stats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("quality")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(matrix(b.column(1))), pa.float64())], ["id", "score"])
 

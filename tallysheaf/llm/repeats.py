@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import _BASE, _INV, Words, byte_chunks, mix, own_columns, powers, rolling, ship, skew_join, stage, table, text_buffers
+from .common import byte_chunks, claim, mix, own_columns, powers, rolling, ship, skew_join, stage, table, text_buffers, _BASE, _INV, Words
 
 MIN = 50
 GRAM = 25
@@ -101,6 +101,7 @@ def suffixes(texts: DataFrame) -> DataFrame:
     """One row a minimiser: (gram, suffix, id, h, p, a, b), places in words of the text."""
 
     def run(batches):
+        claim("repeats")
         for rows, raw, offsets in byte_chunks(batches):
             m = Minimisers(raw, offsets)
             if len(m.place):
@@ -178,6 +179,7 @@ def windows(texts: DataFrame, marked: bytes) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches):
+        claim("repeats")
         bits = np.frombuffer(shared.value, np.uint8)
         mask = len(bits) * 8 - 1
         for rows, raw, offsets in byte_chunks(batches):
@@ -262,6 +264,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at, names = docs.columns.index(text_col), docs.columns
 
     def hashes(batches):
+        claim("repeats")
         for batch in batches:
             raw, offsets = text_buffers(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text_hash(raw, offsets))], [*names, "_h"])
@@ -273,6 +276,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = keyed.join(cuts.withColumnRenamed("cuts", "_cuts"), ["_id", "_h"], "left").select(*names, "_cuts")
 
     def cut(batches):
+        claim("repeats")
         for batch in batches:
             raw, offsets = text_buffers(batch.column(at))
             texts = batch.column(at).to_pylist()

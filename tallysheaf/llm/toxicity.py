@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INV, chunks, distinct, mix, own_columns, powers, ship, table, text_buffers
+from .common import chunks, claim, distinct, mix, own_columns, powers, ship, table, text_buffers, _BASE, _INV
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
@@ -219,6 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = own_columns(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id").select("text", "label")
 
     def run(batches):
+        claim("toxicity")
         for b in batches:
             raw, offsets = text_buffers(b.column(0))
             for i, j in chunks(offsets):
@@ -240,6 +241,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = own_columns(docs, id=id_col, text=text_col)
 
     def run(batches):
+        claim("toxicity")
         own = Model(*shared.value)
         for b in batches:
             raw, offsets = text_buffers(b.column(1))
@@ -258,6 +260,7 @@ def filter_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, id_col:
     at = docs.columns.index(text_col)
 
     def run(batches):
+        claim("toxicity")
         own = Model(*shared.value)
         for b in batches:
             raw, offsets = text_buffers(b.column(at))

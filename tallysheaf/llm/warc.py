@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_columns, ship, stage, table
+from .common import claim, own_columns, ship, stage, table
 
 SEGMENT_BYTES = 1 << 20
 #: Records of a segment at most; a leaf's number is the segment's times this plus its place.
@@ -76,6 +76,7 @@ def write_segments(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
+        claim("warc")
         number, held, size = TaskContext.get().partitionId() << 20, [], 0
 
         def segment():
@@ -108,6 +109,7 @@ def read_back(store: DataFrame) -> DataFrame:
     ship(store.sparkSession)
 
     def run(batches):
+        claim("warc")
         for b in batches:
             for segment, offsets, lengths, data in zip(*(b.column(c).to_pylist() for c in range(4))):
                 data = data or b""
