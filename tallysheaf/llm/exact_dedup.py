@@ -31,7 +31,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = own_columns(docs, id=id_col, text=text_col).select("id", normalised(F.col("text")).alias("norm"))
     shape = rows.select("id", F.length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("p"), "norm")
     # Counts by (length, prefix hash) hold the counts by length too; both are partial sums before the shuffle.
-    by_prefix = shape.groupBy("n", "p").agg(F.count("*").alias("c"))
+    by_prefix = stage(shape.groupBy("n", "p").agg(F.count("*").alias("c")), "by-prefix")  # read twice below
     by_length = by_prefix.groupBy("n").agg(F.sum("c").alias("c")).filter("c > 1").select("n")
     alive = by_prefix.filter("c > 1").join(by_length, "n", "left_semi")
     key = F.struct("n", "p")
