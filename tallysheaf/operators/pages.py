@@ -93,3 +93,35 @@ def names_by_code(text: DataFrame, key: str, column: str, least: int = 10) -> Da
     blocks = text.select(key, F.explode(F.regexp_extract_all(F.col(column), F.lit(rf"(?s){code}.*?(?={code}|\z)"), F.lit(0))).alias("block"))
     names = blocks.select(key, F.trim(F.regexp_extract("block", "^(" + code + ")", 1)).alias("code"), F.explode(F.regexp_extract_all("block", F.lit(name), F.lit(1))).alias("name"))
     return names.withColumn("name", F.trim("name")).filter(F.length("name") >= least)
+
+
+def chapter_list(sheet: DataFrame, name: str = "name", order: str = "row_no") -> DataFrame:
+    """(order, title) of the lines that are chapters: no blank in front, the first row left out."""
+    from ..functions.text import title_tail
+
+    return sheet.filter((F.col(order) > 1) & F.col(name).isNotNull() & ~F.col(name).startswith(" ")).select(order, title_tail(F.col(name)).alias("title"))
+
+
+def subsections(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, section, title, start, end, is_main): each section's own row, a first subsection with its start, and
+    one for every title page inside; a range ends before the next begins. sections: (doc_id, section, start, end)."""
+    from ..functions.text import page_title
+
+    main = sections.select("doc_id", "section", F.col("section").alias("title"), "start", "end", F.lit(True).alias("is_main"))
+    s, p = sections.alias("s"), pages.alias("p")
+    inside = p.join(s, (F.col("p.doc_id") == F.col("s.doc_id")) & (F.col("p.page_no") > F.col("s.start")) & (F.col("p.page_no") <= F.col("s.end")))
+    titled = inside.filter(F.length("p.text") < 100).select("s.doc_id", "s.section", page_title(F.col("p.text")).alias("title"), F.col("p.page_no").alias("start"), F.col("s.end").alias("last"))
+    first = sections.select("doc_id", "section", F.col("section").alias("title"), "start", F.col("end").alias("last"))
+    parts = ranges(first.unionByName(titled.filter(F.length("title") > 1)), ["doc_id", "section"], "start", "last").drop("last")
+    return main.unionByName(parts.withColumn("is_main", F.lit(False)))
+
+
+def section_counts(parts: DataFrame) -> DataFrame:
+    """(doc_id, section, page_count, n_subsections) of what subsections gives."""
+    return parts.groupBy("doc_id", "section").agg((F.max("end") - F.min("start") + 1).alias("page_count"), F.count_if(~F.col("is_main")).alias("n_subsections"))
+
+
+def resume_points(parts: DataFrame, keys: list[str], order: str, last_good: str) -> DataFrame:
+    """Add start_from: how many items the parts before have done, each up to its last good one."""
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return parts.withColumn("start_from", F.coalesce(F.sum(F.col(last_good) + 1).over(w), F.lit(0)))

@@ -141,6 +141,18 @@ def test_pages(spark):
     assert got == [("F01.a", "KOVÁCS PÉTER INTÉZET"), ("F02", "SZABÓ JÓZSEF HÁZ")]
 
 
+def test_sections(spark):
+    sheet = spark.createDataFrame([(1, "FEJLÉC"), (2, "I. ELSŐ RÉSZ"), (3, " tétel"), (4, None)], "row_no int, name string")
+    assert [tuple(r) for r in P.chapter_list(sheet).collect()] == [(2, "I. Első Rész")]
+    pages = spark.createDataFrame([("d", 1, "x"), ("d", 2, "fej\nAlcím\n2"), ("d", 3, "w" * 200), ("d", 4, "y\nMásik\n4"), ("d", 5, "a\nKívül\nb")], "doc_id string, page_no int, text string")
+    parts = P.subsections(spark.createDataFrame([("d", "S", 1, 4)], "doc_id string, section string, start int, end int"), pages)
+    got = sorted((not r["is_main"], r["start"], r["end"], r["title"]) for r in parts.collect())
+    assert got == [(False, 1, 4, "S"), (True, 1, 1, "S"), (True, 2, 3, "Alcím"), (True, 4, 4, "Másik")]
+    assert tuple(P.section_counts(parts).first())[2:] == (4, 3)
+    r = spark.createDataFrame([("s", 1, 4), ("s", 2, -1), ("s", 3, 2)], "s string, part int, last_good int")
+    assert [x["start_from"] for x in P.resume_points(r, ["s"], "part", "last_good").orderBy("part").collect()] == [0, 5, 5]
+
+
 def test_law_table_rows(spark):
     zero = ["0"] * 5
     rows = [
