@@ -55,19 +55,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     gone = exact_groups(docs, id_col, text_col).filter("not kept")
-    gone = gone.select(F.col("id").alias("_id"), F.col("full_hash").alias("_h"), "keep_id").distinct()
+    gone = gone.select(F.col("id").alias("__own_id"), F.col("full_hash").alias("__own_hash"), "keep_id").distinct()
     key = F.sha2(normalised(F.col(f"`{text_col}`")), 256)
-    repeats = gone.filter(F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", "_h")
-    others = gone.filter(~F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", "_h")
-    same = lambda g: docs[id_col].eqNullSafe(g["_id"]) & (key == g["_h"])
+    repeats = gone.filter(F.col("__own_id").eqNullSafe(F.col("keep_id"))).select("__own_id", "__own_hash")
+    others = gone.filter(~F.col("__own_id").eqNullSafe(F.col("keep_id"))).select("__own_id", "__own_hash")
+    same = lambda g: docs[id_col].eqNullSafe(g["__own_id"]) & (key == g["__own_hash"])
     out = docs.join(others, same(others), "left_anti")
     if repeats.isEmpty():
         return out
     # Rows that repeat both id and text: one of each stays.
-    out = out.withColumn("_key", key)
-    once = out.join(repeats, out[id_col].eqNullSafe(repeats["_id"]) & (out["_key"] == repeats["_h"]), "left_semi")
-    rest = out.join(repeats, out[id_col].eqNullSafe(repeats["_id"]) & (out["_key"] == repeats["_h"]), "left_anti")
-    return rest.unionByName(once.dropDuplicates([id_col, "_key"])).drop("_key")
+    out = out.withColumn("__own_key", key)
+    once = out.join(repeats, out[id_col].eqNullSafe(repeats["__own_id"]) & (out["__own_key"] == repeats["__own_hash"]), "left_semi")
+    rest = out.join(repeats, out[id_col].eqNullSafe(repeats["__own_id"]) & (out["__own_key"] == repeats["__own_hash"]), "left_anti")
+    return rest.unionByName(once.dropDuplicates([id_col, "__own_key"])).drop("__own_key")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,14 @@ ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "tbody", "the
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 AROUND = set("ul ol dl table menu select".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+_INSIDE = r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)"
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+){_INSIDE}>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"  # quotes that never close
+    r"|<[!?/][^>]*+>",
+    re.S | re.I,
+)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
@@ -102,13 +109,13 @@ def read(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
     for m in TOKEN.finditer(page):
         add(page[last : m.start()])
         last = m.end()
-        tag = m[3]
+        closing, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if tag is None:
             if m[1] and m[1].lower() in ("textarea", "iframe"):
                 texts.append((stack[-1], " ", block))
             continue
         tag = tag.lower()
-        if m[2]:
+        if closing:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if at and not (tag in INLINE and any(x.tag in BLOCK for x in stack[at + 1 :])):
                 del stack[at:]
@@ -128,8 +135,8 @@ def read(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
                     while stack[first - 1].tag in ENDS[tag]:
                         first -= 1
                     del stack[first:]
-            if tag not in VOID and not m[4].rstrip().endswith("/") or tag in BLOCK - VOID:
-                e = opened(tag, m[4], stack[-1])
+            if tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK - VOID:
+                e = opened(tag, attributes, stack[-1])
                 elements.append(e)
                 stack.append(e)
         if tag in BLOCK:

@@ -237,8 +237,8 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that another document of their component stands for (the least id stays)."""
-    gone = linked(docs, k, num, den, id_col, text_col).filter("id != component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(stage(gone, "gone"), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = linked(docs, k, num, den, id_col, text_col).filter("id != component_id").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(stage(gone, "gone"), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,13 +267,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         claim("repeats")
         for batch in batches:
             raw, offsets = text_buffers(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text_hash(raw, offsets))], [*names, "_h"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text_hash(raw, offsets))], [*names, "__own_hash"])
 
-    schema = StructType([*docs.schema.fields, StructField("_h", LongType())])
-    cuts = stage(matches(docs, id_col, text_col).filter("size(cuts) > 0").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "cuts"), "cuts")
+    schema = StructType([*docs.schema.fields, StructField("__own_hash", LongType())])
+    cuts = stage(matches(docs, id_col, text_col).filter("size(cuts) > 0").select(F.col("id").alias("__own_id"), F.col("h").alias("__own_hash"), "cuts"), "cuts")
     # The id is enough to meet; few ids of the cuts are looked at twice.
-    keyed = docs.mapInArrow(hashes, schema).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))))
-    joined = keyed.join(cuts.withColumnRenamed("cuts", "_cuts"), ["_id", "_h"], "left").select(*names, "_cuts")
+    keyed = docs.mapInArrow(hashes, schema).withColumn("__own_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))))
+    joined = keyed.join(cuts.withColumnRenamed("cuts", "__cuts"), ["__own_id", "__own_hash"], "left").select(*names, "__cuts")
 
     def cut(batches):
         claim("repeats")

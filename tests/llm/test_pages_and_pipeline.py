@@ -44,6 +44,12 @@ def test_unclosed_and_nested_markup():
     assert html.main_text("<" * 2000 + "p>" + "<div>" * 3000 + "deep", None, set()).endswith("deep")
 
 
+def test_broken_quotes_and_many_openings():
+    assert html.main_text('<div class="content"><p>a <a href="x>b</a> c</p><p>d</p></div>', None, set()) == "a b c\nd"
+    assert "end" in html.main_text('<p title="' * 3000 + "x</p>end", None, set())
+    assert html.main_text("<script>" * 2000 + "</script>x", None, set()) == "x"
+
+
 def test_warc_round_trip_and_damage(spark):
     rows = [(i, f"http://h.example/{i}", "x" * (i * 997 % 5000)) for i in range(300)] + [(7, None, None), (7, None, None)]
     store = warc.stage(warc.write_segments(pages(spark, rows)), "store")

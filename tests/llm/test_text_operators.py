@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from tallysheaf.llm import bpe, components, exact_dedup, jaccard, media, packing, quality, repeats, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, key string, h long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, key string, h long, _id long, _h string, _row long"
 
 
 def frame(spark, rows, parts=3):
     """Documents with further columns whose names the operators use inside."""
-    full = [(i, t, "en", "s", None if t is None else len(t), 7, 7, "k", 7) for i, t in rows]
+    full = [(i, t, "en", "s", None if t is None else len(t), 7, 7, "k", 7, 7, "h", 7) for i, t in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(parts)
 
 
