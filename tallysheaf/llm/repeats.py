@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import byte_chunks, claim, mix, own_columns, powers, rolling, ship, skew_join, stage, table, text_buffers, _BASE, _INV, Words
 
@@ -82,12 +81,9 @@ class Minimisers:
         return mix(self.span(self.first, self.last + MIN) + shape)
 
 
-def text_hash(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64 bits of each whole text, bytes as they are."""
-    values = mix(raw.astype(np.uint64) + np.uint64(77)) * powers(_BASE, len(raw))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
-    a, b = offsets[:-1], offsets[1:]
-    return mix((sums[b] - sums[a]) * powers(_INV, len(raw) + 1)[a] + (b - a).astype(np.uint64)).view(np.int64)
+def text_hash(text):
+    """64 bits of the whole text, bytes as they are."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
@@ -105,7 +101,7 @@ def suffixes(texts: DataFrame) -> DataFrame:
         for rows, raw, offsets in byte_chunks(batches):
             m = Minimisers(raw, offsets)
             if len(m.place):
-                ids, h = ids_of(rows.column(0)), text_hash(raw, offsets)
+                ids, h = ids_of(rows.column(0)), rows.column(2).to_numpy()
                 columns = [m.gram.view(np.int64), m.suffix().view(np.int64), ids[m.text], h[m.text], *(np.asarray(x - m.start, np.int32) for x in (m.place, m.first, m.last))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
 
@@ -186,7 +182,7 @@ def windows(texts: DataFrame, marked: bytes) -> DataFrame:
             m = Minimisers(raw, offsets)
             if not len(m.place):
                 continue
-            ids, h = ids_of(rows.column(0)), text_hash(raw, offsets)
+            ids, h = ids_of(rows.column(0)), rows.column(2).to_numpy()
             p = m.place - m.start
             x = (h[m.text] ^ (p << 7) ^ (p << 24) ^ (p << 41)).view(np.uint64)
             on = np.ones(len(x), bool)
@@ -223,7 +219,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, h, spans, cuts) of documents with passages that repeat: the maximal word ranges [start, end) that stand
     in another document too, and those that an earlier document has."""
     ship(docs.sparkSession)
-    texts = own_columns(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    texts = own_columns(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text", text_hash(F.col("text")).alias("h"))
     found = stage(suffixes(texts), "suffixes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = found.repartitionByRange(parts, "gram", "suffix", "id", "h").sortWithinPartitions("gram", "suffix", "id", "h", "p")
@@ -263,16 +259,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the passages that an earlier document has; every row and column stays."""
     at, names = docs.columns.index(text_col), docs.columns
 
-    def hashes(batches):
-        claim("repeats")
-        for batch in batches:
-            raw, offsets = text_buffers(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text_hash(raw, offsets))], [*names, "__own_hash"])
-
-    schema = StructType([*docs.schema.fields, StructField("__own_hash", LongType())])
     cuts = stage(matches(docs, id_col, text_col).filter("size(cuts) > 0").select(F.col("id").alias("__own_id"), F.col("h").alias("__own_hash"), "cuts"), "cuts")
-    # The id is enough to meet; few ids of the cuts are looked at twice.
-    keyed = docs.mapInArrow(hashes, schema).withColumn("__own_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))))
+    keyed = docs.withColumn("__own_hash", text_hash(F.col(text_col))).withColumn("__own_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))))
     joined = keyed.join(cuts.withColumnRenamed("cuts", "__cuts"), ["__own_id", "__own_hash"], "left").select(*names, "__cuts")
 
     def cut(batches):
