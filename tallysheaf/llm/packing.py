@@ -30,9 +30,9 @@ CAPACITY = 4096
 #: Pieces that are packed together.
 SHARD = 16_384
 #: Words that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Text bytes whose words are looked up together.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: Fixed value: the published splitting pattern of this vocabulary.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Texts with these go through the tokenizer whole: final sigma lower-cases by context, controls, added tokens.
