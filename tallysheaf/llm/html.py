@@ -5,8 +5,9 @@ place. A token's occurrence vector says how often each page of the host has it;
 an equivalence class. Vectors are compared by a sum over pages of count times page hash, so they come from one
 aggregation with partial sums, whatever a host's number of pages. The class of the content container is the
 template that matters: its elements nest into the frame of the page, its texts are fixed words of the template,
-and what stands in its open slots is the article. Elements that are no content by their tag, role or class are
-no slots.
+and what stands in its open slots is the article. Only containers of different content tell the two apart: copies
+of one article show no slots, so support counts what differs. Elements that are no content by their tag, role or
+class are no slots.
 
 The container of a host is the element that holds the article: one marked so, or else the deepest that holds
 most of the text outside links on most pages. Pages that lack it are read by the same rule on their own.
@@ -57,18 +58,18 @@ DIGITS = re.compile(r"\d+")
 MASK = (1 << 63) - 1
 #: Share of a page's text that the container holds at least, and of the host's pages that have it.
 MOST, PAGES = 0.6, 0.5
-#: Pages that show a text to be the template's at least.
+#: Pages, each with another content of the container, that show a text to be the template's at least.
 SUPPORT = 5
 #: Rules of hosts are broadcast below this measured size, and joined beyond.
 BROADCAST_BYTES = 16 << 20
 
 
 class Element:
-    __slots__ = ("tag", "role", "parent", "depth", "out", "marked", "link", "text", "linked", "header")
+    __slots__ = ("tag", "role", "parent", "depth", "out", "marked", "link", "text", "linked", "header", "content")
 
     def __init__(self, tag, role, parent, out, marked, link, header):
         self.tag, self.role, self.parent, self.out, self.marked, self.link, self.header = tag, role, parent, out, marked, link, header
-        self.depth, self.text, self.linked = parent.depth + 1 if parent else 0, 0, 0
+        self.depth, self.text, self.linked, self.content = parent.depth + 1 if parent else 0, 0, 0, 0
 
 
 def hashed(parent: int, key: str) -> int:
@@ -204,11 +205,12 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-TOKENS = "host string, token long, kind int, depth int, marked int, n long, page long, text long, total long"
+TOKENS = "host string, token long, kind int, depth int, marked int, n long, page long, text long, total long, content long"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """One row for each token and page: its count, page hash and text; kind 0 is the page, 1 an element, 2 a text."""
+    """One row for each token and page: its count, page hash and text; kind 0 is the page, 1 an element, 2 a text.
+    content is a hash of all texts in an element."""
 
     def run(batches):
         claim("html")
@@ -218,20 +220,27 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 elements, texts = read(page or "")
                 key = zlib.crc32(f"{page_id} {zlib.crc32((page or '').encode('utf-8', 'replace'))}".encode()) | 1
                 total = elements[0].text
-                seen: dict[int, list] = {1: [1, 0, 0, 0, 1, total]}
-                for e in elements[1:]:
-                    if not e.out:
-                        x = seen.setdefault(e.role, [e.role, 1, e.depth, int(e.marked), 0, 0])
-                        x[4] += 1
-                        x[5] += e.text
+                seen: dict[int, list] = {1: [1, 0, 0, 0, 1, total, 0]}
+                own: dict[int, list] = {}
                 for e, text, _ in texts:
                     if not e.out and text.strip():
                         t = text_token(e, text)
-                        x = seen.setdefault(t, [t, 2, e.depth, 0, 0, 0])
+                        x = own.setdefault(t, [t, 2, e.depth, 0, 0, 0, 0])
                         x[4] += 1
-                rows += [(host, *x[:5], key, x[5], total) for x in seen.values()]
+                        e.content = e.content + t & MASK
+                for e in reversed(elements[1:]):  # children come after parents
+                    e.parent.content = e.parent.content + e.content & MASK
+                for e in elements[1:]:
+                    if not e.out:
+                        x = seen.setdefault(e.role, [e.role, 1, e.depth, int(e.marked), 0, 0, 0])
+                        x[4] += 1
+                        x[5] += e.text
+                        x[6] = x[6] + e.content & MASK
+                for t, x in own.items():
+                    seen.setdefault(t, x)
+                rows += [(host, *x[:5], key, x[5], total, x[6]) for x in seen.values()]
             names = [x.split()[0] for x in TOKENS.split(", ")]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -242,13 +251,13 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, container, fixed array<long>) of hosts whose pages agree on a container."""
     vector = F.sum((F.col("n") * F.col("page")).cast("decimal(38,0)")).alias("vector")
     tokens = page_tokens(pages).groupBy("host", "token", "kind").agg(
-        F.count("*").alias("pages"), vector, F.max("depth").alias("depth"), F.max("marked").alias("marked"), F.sum("text").alias("text"), F.sum("total").alias("total")
+        F.count("*").alias("pages"), F.count_distinct("content").alias("contents"), vector, F.max("depth").alias("depth"), F.max("marked").alias("marked"), F.sum("text").alias("text"), F.sum("total").alias("total")
     )
     tokens = stage(tokens.filter("pages > 1 OR kind < 2"), "tokens")
     whole = tokens.filter("kind = 0").select("host", F.col("pages").alias("all_pages"), F.greatest("text", F.lit(1)).alias("all_text"), F.col("vector").alias("every"))
     near = tokens.join(whole, "host").filter(F.col("pages") >= PAGES * F.col("all_pages"))
     share = (F.col("text") / F.col("all_text")).alias("share")
-    elements = near.filter("kind = 1").select("host", "token", "depth", "marked", share, "vector")
+    elements = near.filter("kind = 1").select("host", "token", "depth", "marked", share, "vector", "contents")
     # The same choice as best(): a marked element with the largest share, else the deepest with most of the text.
     fits = elements.filter(f"(marked = 1 AND share >= 0.3) OR share >= {MOST}")
     order = F.struct(
@@ -257,9 +266,9 @@ def templates(pages: DataFrame) -> DataFrame:
         F.when((F.col("marked") == 1) & (F.col("share") >= 0.3), F.col("depth").cast("double")).otherwise(F.col("share")).alias("y"),
         (-F.col("token")).alias("t"),
     )
-    chosen = fits.groupBy("host").agg(F.max_by(F.struct("token", "vector"), order).alias("c")).select("host", F.col("c.token").alias("container"), F.col("c.vector").alias("frame"))
-    # Texts of the container's equivalence class are the template's own words.
-    fixed = near.filter(f"kind = 2 AND pages >= {SUPPORT}").join(chosen, "host").filter("vector = frame").groupBy("host").agg(F.collect_list("token").alias("fixed"))
+    chosen = fits.groupBy("host").agg(F.max_by(F.struct("token", "vector", "contents"), order).alias("c")).select("host", F.col("c.token").alias("container"), F.col("c.vector").alias("frame"), F.col("c.contents").alias("differing"))
+    # Texts of the container's equivalence class are the template's own words, if its pages differ in what it holds.
+    fixed = near.filter(f"kind = 2 AND pages >= {SUPPORT}").drop("contents").join(chosen.filter(f"differing >= {SUPPORT}"), "host").filter("vector = frame").groupBy("host").agg(F.collect_list("token").alias("fixed"))
     return chosen.join(fixed, "host", "left").select("host", "container", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed"))
 
 

@@ -38,6 +38,24 @@ def test_main_text_of_hosts(spark):
     assert (got[90], got[91], got[92], got[93]) == ("", "", "just text here", "no tags <here>")
 
 
+def test_main_text_of_copies(spark):
+    """Pages that are all copies of one article, with and without other marks around it, keep its text."""
+    same = page("One story", ["the first paragraph", "the second paragraph"])
+    rows = [(i, "https://copies.example/a", same) for i in range(6)]
+    rows += [(10 + i, None, same) for i in range(6)]  # null urls share one host
+    rows += [(20 + i, f"https://marks.example/{i}", page("One story", ["the first paragraph", "the second paragraph"], f"<p>served in {i} ms")) for i in range(6)]
+    rows += [(30 + i, "https://few.example/", page("Story %d" % (i % 2), ["a shared paragraph", f"own {i % 2}"])) for i in range(8)]
+    rows += [(40 + i, "https://many.example/", page("Story %d" % (i % 6), [f"own {i % 6} words"])) for i in range(12)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extract(pages(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for i in [*range(6), *range(10, 16), *range(20, 26)]:
+        assert got[i][:3] == ["One story", "the first paragraph", "the second paragraph"]
+    for i in range(8):
+        assert got[30 + i][:3] == [f"Story {i % 2}", "a shared paragraph", f"own {i % 2}"]
+    for i in range(12):
+        assert got[40 + i] == [f"Story {i % 6}", f"own {i % 6} words"]  # repeats do not hide the template's words
+
+
 def test_unclosed_and_nested_markup():
     text = html.main_text('<div class="content"><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table><!-- <p>no</p> -->tail <b>bo<i>ld</b> x<p hidden>gone</p></div>', None, set())
     assert text == "one\ntwo\na b\nc\ntail bold x"
