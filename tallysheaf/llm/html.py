@@ -7,7 +7,7 @@ aggregation with partial sums, whatever a host's number of pages. The class of t
 template that matters: its elements nest into the frame of the page, its texts are fixed words of the template,
 and what stands in its open slots is the article. Only containers of different content tell the two apart: copies
 of one article show no slots, so support counts what differs. Elements that are no content by their tag, role or
-class are no slots.
+class are no slots; a class only hints, and counts beside or inside the content, not around it.
 
 The container of a host is the element that holds the article: one marked so, or else the deepest that holds
 most of the text outside links on most pages. Pages that lack it are read by the same rule on their own.
@@ -38,6 +38,9 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 NO_CONTENT = set("head nav footer aside form button select option menu dialog object applet datalist".split())
 NO_ROLE = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NO_CLASS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager search masthead topbar copyright disclaimer".split())
+#: Words of a name that make it tell of a state, like no-sidebar, and not of a part of the page.
+STATE = set("no not non without with has have".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTENT_CLASS = set("article content entry post story body main text".split())
 ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "tbody", "thead", "tfoot", "tr", "legend", "summary"}
 #: An element that opens ends an open one of these, looked for up to the list or table around it.
@@ -55,9 +58,12 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
+HINTS = NO_CLASS | {"header"}
 MASK = (1 << 63) - 1
 #: Share of a page's text that the container holds at least, and of the host's pages that have it.
 MOST, PAGES = 0.6, 0.5
+#: The same for a container that is marked.
+LEAST = 0.3
 #: Pages, each with another content of the container, that show a text to be the template's at least.
 SUPPORT = 5
 #: Rules of hosts are broadcast below this measured size, and joined beyond.
@@ -65,10 +71,16 @@ BROADCAST_BYTES = 16 << 20
 
 
 class Element:
-    __slots__ = ("tag", "role", "parent", "depth", "out", "marked", "link", "text", "linked", "header", "content")
-
-    def __init__(self, tag, role, parent, out, marked, link, header):
-        self.tag, self.role, self.parent, self.out, self.marked, self.link, self.header = tag, role, parent, out, marked, link, header
+    __slots__ = ("tag", "role", "parent", "depth", "barred", "hint", "named", "out", "marked", "level", "within", "mark", "heading", "link", "text", "linked", "content")
+
+    def __init__(self, tag, role, parent, barred=False, hint=False, named=False, level=0):
+        self.tag, self.role, self.parent, self.barred, self.hint, self.named, self.marked, self.level = tag, role, parent, barred, hint, named, level > 0, level
+        self.out = barred or hint or parent is not None and parent.out
+        #: The highest level and the innermost of the marked elements from here up.
+        self.within = max(level, parent.within if parent else 0)
+        self.mark = self if level else parent and parent.mark
+        self.link = tag == "a" or parent is not None and parent.link
+        self.heading = tag in HEADINGS or parent is not None and parent.heading
         self.depth, self.text, self.linked, self.content = parent.depth + 1 if parent else 0, 0, 0, 0
 
 
@@ -83,24 +95,78 @@ def opened(tag: str, attributes: str, parent: Element) -> Element:
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = (found.get("class", "") + " " + found.get("id", "")).lower()
     words = set(WORD.findall(names))
+    hints = {w for name in names.split() for w in part_words(name)} if words & HINTS else words
     role = found.get("role", "").lower()
-    marked = tag in ("article", "main") or role in ("main", "article") or (tag in ("div", "section", "td") and bool(words & CONTENT_CLASS))
+    #: 3 for an article, 2 for the main part, 1 for what is marked by its class only.
+    level = 3 if "article" in (tag, role) else 2 if "main" in (tag, role) else int(tag in ("div", "section", "td") and bool(words & CONTENT_CLASS))
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    out = parent.out or tag in NO_CONTENT or role in NO_ROLE or hidden or (tag not in ("html", "body", "article", "main") and bool(words & NO_CLASS))
+    barred = parent.barred or tag in NO_CONTENT or role in NO_ROLE or hidden
+    named = bool(hints & NO_CLASS)
+    hint = named and tag not in ("html", "body", "article", "main")
     # A header is the page's unless an article is open around it.
-    header = parent.header
-    if tag == "header" or "header" in words:
-        around = parent
-        while around is not None and not around.marked:
-            around = around.parent
-        out = out or around is None
+    if not parent.within:
+        barred = barred or tag == "header"
+        hint = hint or (tag not in ("html", "body", "article", "main") and "header" in hints)
     key = tag + "." + ".".join(sorted(DIGITS.sub("0", names).split()))
-    return Element(tag, hashed(parent.role, key), parent, out, marked, parent.link or tag == "a", header)
+    return Element(tag, hashed(parent.role, key), parent, barred, hint, named, level)
+
+
+def part_words(name: str) -> list[str]:
+    """The words of a class or id up to one that makes the rest a state."""
+    words = WORD.findall(name)
+    return words[: next((i for i, w in enumerate(words) if w in STATE), len(words))]
+
+
+def settle(elements: list[Element], sizes: list[tuple[Element, int]]) -> None:
+    """Drop the hints of elements around the content: of the outermost that hold a marked element or most of the
+    text, unless another marked element, out of all hints, has text besides its headings. What they hold is looked
+    at again. sizes: texts outside links and their lengths."""
+    whole = sum(n for _, n in sizes)
+    while whole:
+        left = 0
+        hidden: dict[int, list] = {}
+        for e, n in sizes:
+            if not e.out:
+                left += n
+                continue
+            marks: list[Element] = []
+            x = e
+            while x is not None:
+                if x.level and not x.named:
+                    marks.append(x)
+                if x.hint:
+                    top, below = x, len(marks)
+                x = x.parent
+            found = hidden.setdefault(id(top), [top, 0, {}, {}])
+            found[1] += n
+            for x in marks[:below]:
+                found[2 if x.level > 1 else 3][id(x)] = found[2 if x.level > 1 else 3].get(id(x), 0) + n
+        if not hidden:
+            return
+        around, size, strong, weak = max(hidden.values(), key=lambda x: (max([0, *x[2].values(), *x[3].values()]), x[1]))
+        if not strong and size < MOST * whole and not (size > left and max(weak.values(), default=0) >= LEAST * whole):
+            return
+        over, x = set(), around
+        while x is not None:
+            over.add(id(x))
+            x = x.parent
+        kept = [0, 0, 0, 0]
+        for e, n in sizes:
+            # The main part's words beside a part that has the article and most of the text do not count.
+            if not e.out and not e.heading and (e.within == 3 or not (strong and size >= MOST * whole and id(e.mark) in over)):
+                kept[e.within] += n
+        if kept[3] or kept[2] or kept[1] >= LEAST * whole:
+            return
+        for top, *_ in hidden.values():
+            if top.role == around.role:
+                top.hint = False
+        for e in elements[1:]:  # parents come before children
+            e.out = e.barred or e.hint or e.parent.out
 
 
 def read(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
     """Elements in page order and (element, text, block number) of every text."""
-    top = Element("", 1, None, False, False, False, False)
+    top = Element("", 1, None)
     stack, elements, texts, block, last = [top], [top], [], 0, 0
 
     def add(raw):
@@ -145,6 +211,8 @@ def read(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
         elif tag in SPACED:
             texts.append((stack[-1], " ", block))
     add(page[last:])
+    if any(e.hint and not e.barred for e in elements):
+        settle(elements, [(e, n) for e, text, _ in texts if not e.barred and not e.link and (n := len(text.strip()))])
     for e, text, _ in texts:
         n = len(text.strip())
         if n and not e.out:
@@ -161,7 +229,7 @@ def read(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
 
 def best(roles) -> int | None:
     """roles: (role, depth, marked, share of the text), those on enough pages only. The container among them."""
-    marked = [r for r in roles if r[2] and r[3] >= 0.3]
+    marked = [r for r in roles if r[2] and r[3] >= LEAST]
     if marked:
         return max(marked, key=lambda r: (r[3], r[1], -r[0]))[0]
     deep = [r for r in roles if r[3] >= MOST]
@@ -259,11 +327,11 @@ def templates(pages: DataFrame) -> DataFrame:
     share = (F.col("text") / F.col("all_text")).alias("share")
     elements = near.filter("kind = 1").select("host", "token", "depth", "marked", share, "vector", "contents")
     # The same choice as best(): a marked element with the largest share, else the deepest with most of the text.
-    fits = elements.filter(f"(marked = 1 AND share >= 0.3) OR share >= {MOST}")
+    fits = elements.filter(f"(marked = 1 AND share >= {LEAST}) OR share >= {MOST}")
     order = F.struct(
-        ((F.col("marked") == 1) & (F.col("share") >= 0.3)).alias("m"),
-        F.when((F.col("marked") == 1) & (F.col("share") >= 0.3), F.col("share")).otherwise(F.col("depth").cast("double")).alias("x"),
-        F.when((F.col("marked") == 1) & (F.col("share") >= 0.3), F.col("depth").cast("double")).otherwise(F.col("share")).alias("y"),
+        ((F.col("marked") == 1) & (F.col("share") >= LEAST)).alias("m"),
+        F.when((F.col("marked") == 1) & (F.col("share") >= LEAST), F.col("share")).otherwise(F.col("depth").cast("double")).alias("x"),
+        F.when((F.col("marked") == 1) & (F.col("share") >= LEAST), F.col("depth").cast("double")).otherwise(F.col("share")).alias("y"),
         (-F.col("token")).alias("t"),
     )
     chosen = fits.groupBy("host").agg(F.max_by(F.struct("token", "vector", "contents"), order).alias("c")).select("host", F.col("c.token").alias("container"), F.col("c.vector").alias("frame"), F.col("c.contents").alias("differing"))

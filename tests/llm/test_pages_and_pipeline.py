@@ -56,6 +56,34 @@ def test_main_text_of_copies(spark):
         assert got[40 + i] == [f"Story {i % 6}", f"own {i % 6} words"]  # repeats do not hide the template's words
 
 
+STORY = "<h2>Title</h2><p>first paragraph of the story</p><p>second paragraph of the story</p>"
+SIDE = "<div class=sidebar><p>aside</p></div><div id=comments><article class=comment><p>reader words</p></article></div>"
+
+
+@pytest.mark.parametrize("around", ["class='layout no-sidebar'", "class=has-sidebar", "class='page with-comments'", "id=page-with-toolbar", "class='post has-share'", "class='row sidebar-left'", "class=has-header", "class='wrap menu'"])
+def test_class_names_around_the_content(around):
+    want = "Title\nfirst paragraph of the story\nsecond paragraph of the story"
+    for inner in (f"<article>{STORY}</article>", f"<div class=content>{STORY}</div>", f"<main><div {around}>{STORY}</div></main>", f"<div {around}><article>{STORY}</article></div>"):
+        assert html.main_text(f"<body><div {around}>{inner}{SIDE}</div></body>", None, set()) == want
+        assert html.main_text(f"<body {around}><div class=text-logo><p>My site</p></div><div {around}>{inner}</div>{SIDE}</body>", None, set()) == want
+    assert html.main_text(f"<main><p>Lead</p><div {around}><article>{STORY}</article></div></main>", None, set()).endswith(want)
+    assert html.main_text(f"<body><div {around}>{STORY}</div></body>", None, set()).endswith(want.partition("\n")[2])
+
+
+def test_class_names_beside_and_inside_the_content():
+    many = "<article class=comment><p>reader words that go on and on</p></article>" * 9
+    short = "<p>short story</p>"
+    for page_ in (f"<article>{short}<div class=comments>{many}</div></article>", f"<main><div class=post>{short}</div><div id=comments>{many}</div></main>", f"<div class='layout no-sidebar'><article>{short}</article><div class=comments>{many}</div></div>"):
+        assert html.main_text(page_, None, set()) == "short story"
+    assert html.main_text(f"<div class=content>{STORY}</div><div class=sidebar><div class=sidebar-content><p>aside</p></div></div>", None, set()).endswith("second paragraph of the story")
+
+
+def test_host_with_class_names_around_the_content(spark):
+    rows = [(i, f"https://wraps.example/{i}", page(f"T{i}", [f"para {i} {n}" for n in range(3)]).replace('"main-col"', '"main-col layout has-sidebar sidebar-left"')) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
+    assert got == {i: "\n".join([f"T{i}", *(f"para {i} {n}" for n in range(3))]) for i in range(8)}
+
+
 def test_unclosed_and_nested_markup():
     text = html.main_text('<div class="content"><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table><!-- <p>no</p> -->tail <b>bo<i>ld</b> x<p hidden>gone</p></div>', None, set())
     assert text == "one\ntwo\na b\nc\ntail bold x"
