@@ -27,6 +27,9 @@ from .bpe import SPACE
 from .common import byte_chunks, claim, distinct, mix, own_columns, powers, ship, stage, table, text_buffers, _BASE, _INV, _TABLE
 
 CAPACITY = 4096
+#: Of tokens, documents and attention cost in the score. Where the last two capacities are loose they cannot open a
+#: bin; they then choose among bins that are about as full.
+WEIGHTS = (1.0, 1.0, 1.0)
 #: Pieces that are packed together.
 SHARD = 16_384
 #: Words that a worker remembers.
@@ -210,7 +213,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     return rows.mapInArrow(run, schema)
 
 
-def fit(lengths: np.ndarray, capacity: int, most_docs: int, most_cost: float, weights=(1.0, 0.0, 0.0), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def fit(lengths: np.ndarray, capacity: int, most_docs: int, most_cost: float, weights=WEIGHTS, score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length; lengths must fall."""
     n = len(lengths)
     caps = np.array([capacity, most_docs, most_cost], float)
@@ -242,7 +245,7 @@ def fit(lengths: np.ndarray, capacity: int, most_docs: int, most_cost: float, we
     return bins, offsets
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, most_docs: int | None = None, most_cost: float | None = None, weights=(1.0, 0.0, 0.0), score: str = "norm") -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, most_docs: int | None = None, most_cost: float | None = None, weights=WEIGHTS, score: str = "norm") -> DataFrame:
     """Add sequence_id and offset to pieces. most_docs and most_cost (the sum of squared lengths) default to
     values that a full sequence cannot exceed."""
     ship(found.sparkSession)

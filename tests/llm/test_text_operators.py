@@ -217,6 +217,25 @@ def test_packing(spark):
     assert found.sequence_id.nunique() <= -(-found.length.sum() // 4096) + 1
 
 
+def test_packing_scores_every_dimension(spark):
+    """By default a piece goes where the least is left of tokens, documents and attention cost together."""
+    rng = random.Random(4)
+    lengths = [rng.randrange(1, 60) for _ in range(300)]
+    found = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").coalesce(1), 100).toPandas()
+    bins = []
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = np.array([lengths[i] / 100, 1 / 100, (lengths[i] / 100) ** 2])
+        fits = [b for b in bins if (b[0] >= need - 1e-9).all()]
+        if not fits:
+            bins.append([np.ones(3), []])
+        b = min(fits, key=lambda b: ((b[0] - need) ** 2).sum()) if fits else bins[-1]
+        b[0] = b[0] - need
+        b[1].append(i)
+    left = lambda groups: sorted(tuple(sorted((sum(lengths[i] for i in g), len(g), sum(lengths[i] ** 2 for i in g)))) for g in groups)
+    assert left(g["doc_id"] for _, g in found.groupby("sequence_id")) == left(b[1] for b in bins)
+    assert len(bins) <= -(-sum(lengths) // 100) + 1
+
+
 def test_packing_holds_every_capacity():
     lengths = np.sort(np.random.default_rng(0).integers(1, 900, 400))[::-1]
     for score in ("norm", "dot"):
