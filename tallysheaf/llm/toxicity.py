@@ -29,6 +29,8 @@ BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
 #: Labelled rows that a model is fitted on at most.
 TRAIN_ROWS = 6_144
+#: Training texts that an n-gram is in at least to count, whatever their number.
+LEAST_TEXTS = 3
 DIMENSIONS = 8
 #: Averages divide by this power of the number of distinct words.
 POWER = 0.5
@@ -153,7 +155,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     for ids, _ in bags:
         df[ids] += 1
     idf = np.log((1 + n) / (1 + df))
-    idf[df < max(3, 0.002 * n)] = 0  # an n-gram of one or two texts says nothing about another
+    idf[df < LEAST_TEXTS] = 0  # an n-gram of one or two texts says nothing about another
     seen = np.zeros(BUCKETS)
     for (ids, _), y in zip(bags, labels):
         seen[ids] += y

@@ -217,6 +217,18 @@ def test_packing(spark):
     assert found.sequence_id.nunique() <= -(-found.length.sum() // 4096) + 1
 
 
+def test_toxic_words_of_few_texts_count():
+    """A telling n-gram of five texts counts in a large sample too; one of two texts does not."""
+    n, rng = 4000, np.random.default_rng(2)
+    labels = np.zeros(n, np.int64)
+    labels[:60] = 1
+    plain = lambda: rng.choice(np.arange(1000, 1400), 20, replace=False)
+    own = lambda i: [100 + i // 5] if i < 60 else [300] if i in (70, 71) else []
+    bags = [(np.unique([*own(i), *plain()]), np.ones(len(own(i)) + 20, np.float32)) for i in range(n)]
+    model = toxicity.fit(bags, labels)
+    assert (model.value[100:112] > np.abs(model.value[1000:1400]).max()).all() and model.value[300] == 0
+
+
 def test_packing_scores_every_dimension(spark):
     """By default a piece goes where the least is left of tokens, documents and attention cost together."""
     rng = random.Random(4)
