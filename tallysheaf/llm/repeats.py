@@ -7,8 +7,8 @@
 2. Suffixes are sorted by these hashes over the cluster and compared with their neighbours in streams. A run of
    equal suffixes from several documents repeats as a whole; all but the first document's can go. Suffixes
    alone, without a neighbour of the same first words, are dropped.
-3. Where suffixes share first words but not the rest, or a partition ends, the match is extended left and right
-   word by word: the windows that the minimiser owns are hashed one by one and compared over all documents.
+3. Where suffixes share first words but not the rest, or a partition ends, no match is extended, as neighbours by
+   hash show no common length: all windows that the minimiser owns are hashed and joined over all documents.
 4. Overlapping matches of a document are joined to maximal passages.
 
 A passage repeats if MIN words or more stand in another document too, A-Z taken as a-z and any white space as one
