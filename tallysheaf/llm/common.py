@@ -31,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one, but only with a
+    local master, whose executors have the driver's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallysheaf-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -101,6 +104,20 @@ def mark_in_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, bit
     return out.withColumn(flag, hit).drop("_b", "_bucket", "_bitmap", "_byte")
 
 
+def bits_for(count: int, least: int = BITMAP_BITS, most: int = 1 << 28) -> int:
+    """Bits of a bitmap for so many keys: 8 each, within 1 and 32 MB."""
+    return min(max(least, 1 << max(0, 8 * count - 1).bit_length()), most)
+
+
+def split_by_ids(docs: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose key is not in ids (its column id), with docs' columns; and the others, with a few that
+    share a bit, as (row, key). Only those need a join, so the texts of the first part are not moved."""
+    bits = bits_for(ids.count())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    marked = mark_in_bitmap(rows, F.col("key"), bitmap_of(ids, F.col("id"), bits), "on", bits)
+    return marked.filter("NOT on").select("row.*"), marked.filter("on").select("row", "key")
+
+
 # ---- memory of Python workers -----------------------------------------------------------------
 
 _held: list = ["", None]

@@ -1,8 +1,12 @@
 """Exact dedup by progressive refinement, in DataFrame functions only.
 
-Texts are compared after white-space runs become one space; a null text counts as empty. Length, then a hash
-of the first characters, then the full hash decide. The survivors of the first two steps are known to the
-second pass through a bitmap of fixed size that is broadcast, so no text is ever shuffled.
+Texts are compared after white-space runs become one space; a null text counts as empty. Rows are counted by
+length; only those whose length repeats get a hash of their first characters and are counted by both; only those
+that repeat again get the full hash. The survivors of a step are known to the next one through a bitmap of fixed
+size that is broadcast, so the steps shuffle counts and hashes, never a text. A bit that two keys share lets a row
+through to the next step, which decides.
+
+keep_first moves the texts of those rows only whose id a dropped row has.
 
 Cases: null and empty texts are equal to each other; of rows that repeat an id with the same text one stays;
 null ids come after all others; an empty table gives an empty result; other columns are never looked at.
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, mark_in_bitmap, own_columns, stage, table
+from .common import bitmap_of, mark_in_bitmap, own_columns, split_by_ids, stage, table
 
 #: Characters under the prefix hash.
 PREFIX = 96
@@ -29,13 +33,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, keep_id, group_size, kept, full_hash (sha-256; of surviving groups only,
     or of every row with digest)."""
     rows = own_columns(docs, id=id_col, text=text_col).select("id", normalised(F.col("text")).alias("norm"))
-    shape = rows.select("id", F.length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("p"), "norm")
-    # Counts by (length, prefix hash) hold the counts by length too; both are partial sums before the shuffle.
-    by_prefix = stage(shape.groupBy("n", "p").agg(F.count("*").alias("c")), "by-prefix")  # read twice below
-    by_length = by_prefix.groupBy("n").agg(F.sum("c").alias("c")).filter("c > 1").select("n")
-    alive = by_prefix.filter("c > 1").join(by_length, "n", "left_semi")
+    sized = rows.select("id", F.length("norm").alias("n"), "norm")
+    # Each step counts with partial sums before its shuffle, and over rows that the step before has left only.
+    lengths = sized.groupBy("n").agg(F.count("*").alias("c")).filter("c > 1")
+    prefix = F.xxhash64(F.substring("norm", 1, PREFIX))
+    left = mark_in_bitmap(sized, F.col("n"), bitmap_of(lengths, F.col("n")), "on").filter("on").select("n", prefix.alias("p"))
+    alive = left.groupBy("n", "p").agg(F.count("*").alias("c")).filter("c > 1")
+    shape = sized.withColumn("p", prefix)
     key = F.struct("n", "p")
-    marked = mark_in_bitmap(shape, key, bitmap_of(alive, key), "alive")
+    marked = mark_in_bitmap(shape, key, stage(bitmap_of(alive, key), "alive"), "alive")
     full = F.sha2(F.col("norm"), 256)
     hashed = marked.select("id", "n", "p", "alive", (full if digest else F.when(F.col("alive"), full)).alias("full_hash"))
     hashed = stage(hashed.withColumn("row", F.monotonically_increasing_id()), "exact")
@@ -54,20 +60,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept")
-    gone = gone.select(F.col("id").alias("__own_id"), F.col("full_hash").alias("__own_hash"), "keep_id").distinct()
-    key = F.sha2(normalised(F.col(f"`{text_col}`")), 256)
-    repeats = gone.filter(F.col("__own_id").eqNullSafe(F.col("keep_id"))).select("__own_id", "__own_hash")
-    others = gone.filter(~F.col("__own_id").eqNullSafe(F.col("keep_id"))).select("__own_id", "__own_hash")
-    same = lambda g: docs[id_col].eqNullSafe(g["__own_id"]) & (key == g["__own_hash"])
-    out = docs.join(others, same(others), "left_anti")
-    if repeats.isEmpty():
+    gone = exact_groups(docs, id_col, text_col).filter("not kept").select("id", "full_hash", F.col("id").eqNullSafe(F.col("keep_id")).alias("same_id"))
+    gone = stage(gone.distinct(), "gone")
+    calm, some = split_by_ids(docs, F.col(f"`{id_col}`"), gone)
+    some = some.withColumn("hash", F.sha2(normalised(F.col("row")[text_col]), 256))
+    found = some.join(gone, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("full_hash")), "left").select("row", "key", "hash", "same_id")
+    out = calm.unionByName(found.filter("same_id IS NULL").select("row.*"))
+    if gone.filter("same_id").isEmpty():
         return out
     # Rows that repeat both id and text: one of each stays.
-    out = out.withColumn("__own_key", key)
-    once = out.join(repeats, out[id_col].eqNullSafe(repeats["__own_id"]) & (out["__own_key"] == repeats["__own_hash"]), "left_semi")
-    rest = out.join(repeats, out[id_col].eqNullSafe(repeats["__own_id"]) & (out["__own_key"] == repeats["__own_hash"]), "left_anti")
-    return rest.unionByName(once.dropDuplicates([id_col, "__own_key"])).drop("__own_key")
+    return out.unionByName(found.filter("same_id").dropDuplicates(["key", "hash"]).select("row.*"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
