@@ -14,8 +14,8 @@
    spare most of that.
 
 Cases: null and empty texts, and those of white space, have an empty set and link with nothing; with fewer words
-than n the whole sequence is the one n-gram; rows that share an id count as one document; rows without an id
-have no component; repeated rows repeat in the result; an empty table gives an empty result; other columns are
+than n the whole sequence is the one n-gram; rows that share an id are one document with several sets: it links
+where one of them does, and all of them have one component; rows without an id have no component; repeated rows repeat in the result; an empty table gives an empty result; other columns are
 never looked at. Ids are integers.
 """
 
@@ -23,14 +23,15 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, byte_chunks, claim, mark_in_bitmap, own_columns, rolling, ship, skew_join, stage, table, Words
+from .common import bitmap_of, byte_chunks, claim, mark_in_bitmap, own_columns, rolling, ship, skew_join, split_by_ids, stage, table, Words
 from .components import join_components, with_component
 
 #: Counters of the sketch: 16 MB, whatever the corpus has; more order a larger corpus better.
@@ -103,9 +104,8 @@ def need(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, s1, s2, p, prefix, parity) of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, k))
+def signatures(docs: DataFrame, shared: Broadcast, k: int, num: int, den: int) -> DataFrame:
+    """(id, n, s1, s2, p, prefix, parity) of every text; shared is the broadcast sketch."""
 
     def run(batches):
         claim("jaccard")
@@ -167,7 +167,8 @@ def possible(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFra
 def may_link(num: int, den: int):
     """Of sizes na and nb and bitmaps pa and pb."""
     flips = reduce(add, (F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY // 64)))
-    return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (flips * (num + den) <= (den - num) * (F.col("na") + F.col("nb")))
+    fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (flips * (num + den) <= (den - num) * (F.col("na") + F.col("nb")))
+    return F.col("na").isNull() | F.col("nb").isNull() | fits
 
 
 def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +176,9 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     ship(docs.sparkSession)
     rows = own_columns(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     texts = rows.select("text", "id").select("id", "text")
-    sig = stage(signatures(texts, k, num, den), "signatures")
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(texts, k))
+    sig = stage(signatures(texts, shared, k, num, den), "signatures")
+    shared.destroy()
     full = sig.filter("n > 0 AND id IS NOT NULL")
 
     # Classes (one set) and groups (one prefix and size).
@@ -199,8 +202,10 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     spots = spots.select("key", "rep", "n", "home")
     counts = spots.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("home"), F.col("rep"))).alias("pivot")).filter("c > 1 AND pivot IS NOT NULL")
     spots = stage(skew_join(spots, counts.select("key", "pivot"), "key"), "spots")
-    shapes = skew_join(full.select(F.col("id").alias("rep"), "n", "parity"), spots.select("rep").distinct(), "rep", "left_semi")
-    shapes = stage(shapes.groupBy("rep").agg(F.max("n").alias("n"), F.first("parity").alias("parity")), "shapes")
+    shapes = skew_join(full.select(F.col("id").alias("rep"), "n", "s1", "parity"), spots.select("rep").distinct(), "rep", "left_semi")
+    # An id with several sets has no size or parity of its own: nothing rules its pairs out before they are verified.
+    one = (F.min("n") == F.max("n")) & (F.min("s1") == F.max("s1"))
+    shapes = stage(shapes.groupBy("rep").agg(F.when(one, F.min("n")).alias("n"), F.when(one, F.first("parity")).alias("parity")), "shapes")
 
     # Pivots first: one pivot for each class, then its other pivots where these are still apart.
     stars = spots.filter("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -222,6 +227,8 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     more = stage(minor.join(every, (F.col("key") == F.col("k")) & fits).select("a", "b").distinct(), "more")
     comps = join_components(comps, verified(more, texts, k, num, den))
 
+    comps = one_document(comps, full, classes, keys)
+
     # Back to rows, through the class of each.
     reach = with_component(classes, comps, "rep", "comp")
     salts = part.select(*keys, "salt").join(reach.select(*keys, "comp"), keys)
@@ -230,6 +237,16 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     return found.unionByName(alone)
 
 
+def one_document(comps: DataFrame, full: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """The components after links between the classes that an id has several of."""
+    differ = reduce(or_, (F.min(c) != F.max(c) for c in keys))
+    several = stage(full.groupBy("id").agg(differ.alias("differ")).filter("differ").select("id"), "several")
+    if several.isEmpty():
+        return comps
+    own = skew_join(full.select("id", *keys), several, "id", "left_semi").distinct()
+    return join_components(comps, own.join(classes, keys).filter("id != rep").select("rep", "id"))
+
+
 def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     ends = with_component(with_component(pairs, comps, "a", "ca"), comps, "b", "cb")
     return ends.filter("ca != cb").select("a", "b")
@@ -237,8 +254,9 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that another document of their component stands for (the least id stays)."""
-    gone = linked(docs, k, num, den, id_col, text_col).filter("id != component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(stage(gone, "gone"), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = stage(linked(docs, k, num, den, id_col, text_col).filter("id != component_id").select("id").distinct(), "gone")
+    calm, some = split_by_ids(docs, F.col(f"`{id_col}`").cast("long"), gone)
+    return calm.unionByName(some.join(gone, F.col("key") == F.col("id"), "left_anti").select("row.*"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
