@@ -4,17 +4,19 @@ Pages become WARC records, and records segments of about SEGMENT_BYTES, in the o
 them; nothing is shuffled. A segment's index has the ordered offset ranges of its records. Leaves of the tree
 are the hashes of these ranges, each with its offset and length; FANOUT neighbours make a node, up to one root.
 An audit compares the roots of two replicas and descends into branches that differ, level by level, so that it
-reads as many hashes as damage asks for, and names the damaged records.
+reads as many hashes as damage asks for, and names the damaged records. The index, written with the segments, has
+the tree that both should have, and so tells which of two replicas is the damaged one, or that both are.
 
 Cases: null urls and pages are stored as empty; long pages make long records, a segment holds one record at
-least; repeated rows are records of their own; ranges that one replica lacks differ; empty replicas are equal;
-other columns are never looked at.
+least; repeated rows are records of their own, with ids of their own; ranges that one replica lacks differ; empty
+replicas are equal; an empty table makes an empty store; other columns are never looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,10 +32,10 @@ FANOUT = 64
 BREAK = b"\r\n"
 
 
-def record(url: str, payload: bytes, kind: str = "resource", date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """A WARC/1.1 record; its id and digest follow from its content."""
+def record(url: str, payload: bytes, kind: str = "resource", date: str = "1970-01-01T00:00:00Z", place: str = "") -> bytes:
+    """A WARC/1.1 record; its digest follows from its content, its id from that and from its place in the store."""
     digest = hashlib.sha256(payload).hexdigest()
-    own = hashlib.sha256(url.encode() + b"\0" + payload).hexdigest()
+    own = hashlib.sha256(f"{place}\0{digest}\0{url}".encode("utf-8", "surrogatepass")).hexdigest()
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{own[:8]}-{own[8:12]}-{own[12:16]}-{own[16:20]}-{own[20:32]}>",
         f"WARC-Date: {date}", "WARC-Target-URI: " + re.sub(r"[\r\n]", "", url), f"WARC-Payload-Digest: sha256:{digest}",
@@ -53,7 +55,7 @@ def records(data: bytes):
                 name, _, value = line.partition(":")
                 headers[name.strip().lower()] = value.strip()
         size = headers.get("content-length", "")
-        end = stop + 4 + int(size) if size.isdigit() else -1
+        end = stop + 4 + int(size) if re.fullmatch("[0-9]{1,18}", size) else -1
         if end >= 0 and data[end : end + 4] == BREAK * 2:
             yield at, headers, data[stop + 4 : end]
             at = data.find(b"WARC/1.", end)
@@ -93,9 +95,11 @@ def write_segments(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         for b in batches:
             id_type = b.column(0).type
             for i, url, page in zip(*(b.column(c).to_pylist() for c in range(3))):
-                x = record(url or "", (page or "").encode())
+                payload = (page or "").encode()
+                x = record(url or "", payload, place=f"{number}.{len(held)}")
                 if held and (size + len(x) > SEGMENT_BYTES or len(held) == RECORDS):
                     yield segment()
+                    x = record(url or "", payload, place=f"{number}.0")
                 held.append((i, x))
                 size += len(x)
         if held:
@@ -119,6 +123,11 @@ def read_back(store: DataFrame) -> DataFrame:
     return store.select("segment", "offsets", "lengths", "data").mapInArrow(run, "segment long, place int, hash string")
 
 
+def replica(store: DataFrame) -> DataFrame:
+    """A second copy of the stored bytes, in a table of its own, which is read and checked by itself."""
+    return stage(store, "warc-replica")
+
+
 def index(store: DataFrame) -> DataFrame:
     """(segment, place, id, start, length, hash) of every record, as written."""
     zipped = F.posexplode(F.arrays_zip("ids", "offsets", "lengths", "hashes")).alias("place", "x")
@@ -160,11 +169,28 @@ def audit(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     return bad.withColumnRenamed("up", "number")
 
 
+def damaged(written: DataFrame, stores: list[DataFrame]) -> DataFrame:
+    """(number, replica): the records that a replica does not hold as they were written. Replicas with equal roots
+    are held against the index once; where two differ, the differing branches are, for each."""
+    right, trees = tree(written.select("segment", "place", "hash")), [tree(stage(read_back(s), "warc-back")) for s in stores]
+    first = audit(right, trees[0])
+    found = [first.withColumn("replica", F.lit(0))]
+    for i, other in enumerate(trees[1:], 1):
+        apart = audit(trees[0], other)  # equal to the first elsewhere, so damaged there where the first is
+        told = trees[0][0].select("number").join(first, "number", "left_semi").join(apart, "number", "left_anti")
+        leaves = right[0].select("number", F.col("hash").alias("p")).join(apart, "number", "right")
+        wrong = leaves.join(other[0].select("number", F.col("hash").alias("q")), "number", "left").filter(~F.col("p").eqNullSafe(F.col("q"))).select("number")
+        found.append(told.unionByName(wrong).withColumn("replica", F.lit(i)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a stored record: where it is, its hash, and if the stored bytes still have it."""
+    """Every page as a stored record: where it is, its hash, and if both replicas still hold it."""
     store = stage(write_segments(table(spark, sf_dir, "pages")), "warc")
     written = stage(index(store), "warc-index")
-    bad = audit(tree(written.select("segment", "place", "hash")), tree(stage(read_back(store), "warc-back")))
-    marks = bad.withColumn("damaged", F.lit(True))
-    rows = written.withColumn("number", F.col("segment") * RECORDS + F.col("place")).join(marks, "number", "left")
-    return rows.select(F.col("id").alias("page_id"), "segment", F.col("start").alias("offset"), "length", F.col("hash").alias("record_sha256"), F.col("damaged").isNull().alias("intact"))
+    bad = damaged(written, [store, replica(store)]).groupBy("number").agg(F.count("*").alias("damaged"))
+    rows = written.withColumn("number", F.col("segment") * RECORDS + F.col("place")).join(bad, "number", "left")
+    return rows.select(
+        F.col("id").alias("page_id"), "segment", F.col("start").alias("offset"), "length", F.col("hash").alias("record_sha256"),
+        F.col("damaged").isNull().alias("intact"), (F.lit(2) - F.coalesce("damaged", F.lit(0))).cast("int").alias("replicas"),
+    )
