@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ RIDGE = 1e-3
 WIDTH = 4.0
 #: Score steps of the calibration.
 BINS = 512
-#: Tasks that sum the normal equations; each sends one matrix to the driver.
+#: Tasks that add up the sums of all partitions; each sends one vector to the driver.
 SUMMERS = 16
 
 NAMES = ["bytes", "words", "lines", "upper", "digit", "space", "newline", "stop", "symbol", "bang", "high", "triple", "word_mean", "word_sd", "word_long", "distinct_words", "distinct_threes", "ends_symbol", "ends_stop", "all_upper", "distinct_lines", "entropy"]
@@ -111,7 +112,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def summed(rows: DataFrame, size: int, part) -> np.ndarray:
-    """Sum of part(batch), vectors of one size, over all rows: one vector a task reaches the driver."""
+    """Sum of part(batch), vectors of one size, over all rows: every partition sums its own, SUMMERS tasks add these
+    up in the order of the partitions, and one vector each reaches the driver."""
 
     def run(batches):
         claim("quality")
@@ -119,10 +121,22 @@ def summed(rows: DataFrame, size: int, part) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 total += part(b)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+        n = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([n % SUMMERS], pa.int32()), pa.array([n], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "n", "v"])
 
-    found = rows.coalesce(SUMMERS).mapInArrow(run, "v binary").toArrow().column("v").to_pylist()
-    return np.sum([np.frombuffer(v) for v in sorted(found)], axis=0) if found else np.zeros(size)
+    def add_up(batches):
+        claim("quality")
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for slot, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                v = np.frombuffer(v)
+                totals[slot] = totals[slot] + v if slot in totals else v.copy()
+        for slot, v in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["slot", "v"])
+
+    sums = rows.mapInArrow(run, "slot int, n int, v binary").repartition(SUMMERS, "slot").sortWithinPartitions("slot", "n")
+    found = sums.mapInArrow(add_up, "slot int, v binary").collect()
+    return np.sum([np.frombuffer(r["v"]) for r in sorted(found, key=lambda r: r["slot"])], axis=0) if found else np.zeros(size)
 
 
 class Model:
@@ -205,12 +219,12 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
     """(id, score) from (id, x)."""
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    own = model  # of one size, a few dozen kilobytes
 
     def run(batches):
         claim("quality")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(matrix(b.column(1))), pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.score(matrix(b.column(1))), pa.float64())], ["id", "score"])
 
     return stats.mapInArrow(run, f"id {stats.schema['id'].dataType.simpleString()}, score double")
 
