@@ -5,7 +5,9 @@ components, so 192 bytes a unit; nothing is transformed or rounded, hence nothin
 is in a comment segment. Reader: parses markers, removes stuffing, and decodes Huffman codes of all restart
 intervals of all images in step, one code for each interval at a time; a DC-only luminance thumbnail follows
 from the first coefficients. The reader takes any sequential 8-bit Huffman file with one interleaved scan, or
-one component, in any sampling.
+one component, in any sampling. A long text is written and read by runs of restart intervals, which do not depend
+on each other, so that the arrays of a step stay small whatever a text's length; only a foreign file without
+restart markers is read in one step.
 
 Cases: null and empty texts give one unit of spaces; texts are stored whole; bytes that are no such file (null
 too) give null values in every derived column; repeated rows repeat; an empty table gives an empty result;
@@ -31,6 +33,8 @@ INTERVAL = 4
 COLUMNS = 512
 #: Payload bytes that are encoded or decoded in step.
 STEP_BYTES = 3 << 20
+#: Units of a long image that are written in one step: whole turns of the eight restart markers.
+PART = 8 * INTERVAL * 128
 
 
 def rule_tables() -> tuple[list[tuple[int, list[int]]], list[tuple[int, list[int]]]]:
@@ -85,15 +89,35 @@ _SIZE = np.array([int(abs(v)).bit_length() for v in range(-512, 512)], np.int64)
 
 def write_images(payloads: list[bytes]) -> list[bytes]:
     """One JPEG for each payload; payloads are positive multiples of UNIT bytes."""
-    shape, padded = [], []
-    for p in payloads:
+    shape, parts, of = [], [], []
+    for i, p in enumerate(payloads):
         n = len(p) // UNIT
         columns = min(n, max(COLUMNS, -(-n // 8191)))
         rows = -(-n // columns)
         shape.append((columns, rows))
-        padded.append(p + b" " * (columns * rows * UNIT - len(p)))
-    units = np.array([c * r for c, r in shape], np.int64)
-    values = np.frombuffer(b"".join(padded), np.uint8).astype(np.int64).reshape(-1, 64) - 128
+        size = columns * rows * UNIT
+        for at in range(0, size, PART * UNIT):
+            part = p[at : at + PART * UNIT]
+            parts.append(part + b" " * (min(size - at, PART * UNIT) - len(part)))
+            of.append(i)
+    scans: list[list[bytes]] = [[] for _ in payloads]
+    bounds = np.concatenate(([0], np.cumsum(list(map(len, parts))))).astype(np.int64)
+    for a, b in chunks(bounds, STEP_BYTES // 2):
+        for i, scan in zip(of[a:b], entropy(parts[a:b])):
+            if scans[i]:  # what came before goes on: a restart instead of the end
+                scans[i][-1] = scans[i][-1][:-1] + b"\xd7"
+            scans[i].append(scan)
+    files = []
+    for (columns, rows), p, scan in zip(shape, payloads, scans):
+        frame = segment(0xC0, struct.pack(">BHHB", 8, 8 * rows, 8 * columns, 3) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))
+        files.append(b"".join([b"\xff\xd8", segment(0xFE, b"bytes=%d" % len(p)), _HEAD, frame, _TABLES, *scan]))
+    return files
+
+
+def entropy(parts: list[bytes]) -> list[bytes]:
+    """The entropy-coded data of each part, with its restart markers and an end of image."""
+    units = np.array([len(p) // UNIT for p in parts], np.int64)
+    values = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64).reshape(-1, 64) - 128
     blocks = len(values)
     unit_in_image = np.arange(blocks // 3) - np.repeat(np.cumsum(units) - units, units)
     first = np.repeat(unit_in_image % INTERVAL == 0, 3)
@@ -160,11 +184,8 @@ def write_images(payloads: list[bytes]) -> list[bytes]:
     kind[image_last] = 0xD9
     out[marks], out[marks + 1] = 255, kind
     bounds = [0, *(marks[image_last] + 2).tolist()]
-    data, files = out.tobytes(), []
-    for (columns, rows), p, a, b in zip(shape, payloads, bounds, bounds[1:]):
-        frame = segment(0xC0, struct.pack(">BHHB", 8, 8 * rows, 8 * columns, 3) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))
-        files.append(b"\xff\xd8" + segment(0xFE, b"bytes=%d" % len(p)) + _HEAD + frame + _TABLES + data[a:b])
-    return files
+    data = out.tobytes()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 class Image:
@@ -231,47 +252,75 @@ def lookup(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
     return length, symbol
 
 
+def intervals(image: Image, per_unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The bytes of a scan without stuffing and markers, the bounds of its restart intervals, and their blocks."""
+    raw = np.frombuffer(image.scan, np.uint8)
+    mark = np.flatnonzero((raw[:-1] == 255) & (raw[1:] != 0) & (raw[1:] != 255))
+    stop = mark[(raw[mark + 1] & 0xF8) != 0xD0]
+    stop = int(stop[0]) if len(stop) else len(raw)
+    restarts = mark[mark < stop]
+    drop = np.zeros(stop, bool)
+    drop[1:] = (raw[: stop - 1] == 255) & (raw[1:stop] == 0)
+    drop[restarts], drop[restarts + 1] = True, True
+    units = image.columns * image.rows
+    step = image.interval or units
+    sizes = [step] * (units // step) + [units % step] * bool(units % step)
+    if len(sizes) != len(restarts) + 1:
+        return None
+    clean = raw[:stop][~drop]
+    before = restarts - np.searchsorted(np.flatnonzero(drop), restarts)  # bytes kept before each marker
+    return clean, np.concatenate(([0], before, [len(clean)])), np.array(sizes, np.int64) * per_unit
+
+
 def decode_scans(images: list[Image]) -> list[np.ndarray | None]:
     """Coefficients (blocks, 64) of each image in scan order; None where the data are damaged. One layout()."""
     shape = images[0]
     in_unit = [c for c, (h, v, _) in enumerate(shape.sampling) for _ in range(h * v)]
-    per_unit = len(in_unit)
     known = [lookup(*shape.huffman[(kind << 4) | (t >> 4 if not kind else t & 15)]) for kind in (0, 1) for t in shape.tables]
-    lengths, symbols = np.concatenate([x[0] for x in known]), np.concatenate([x[1] for x in known])
-    parts, starts, ends, blocks, owner, ok = [], [], [], [], [], [True] * len(images)
-    base = 0
+    codes = np.concatenate([x[0] for x in known]), np.concatenate([x[1] for x in known])
+    found: list = [[] for _ in images]
+    held: list[tuple] = []
+    size = 0
+
+    def decode_held():
+        nonlocal held, size
+        for (n, _, _, _), x in zip(held, decode_intervals([x[1:] for x in held], in_unit, len(shape.tables), codes)):
+            found[n] = None if found[n] is None or x is None else [*found[n], x]
+        held, size = [], 0
+
     for n, image in enumerate(images):
-        raw = np.frombuffer(image.scan, np.uint8)
-        mark = np.flatnonzero((raw[:-1] == 255) & (raw[1:] != 0) & (raw[1:] != 255))
-        stop = mark[(raw[mark + 1] & 0xF8) != 0xD0]
-        stop = int(stop[0]) if len(stop) else len(raw)
-        restarts = mark[mark < stop]
-        drop = np.zeros(stop, bool)
-        drop[1:] = (raw[: stop - 1] == 255) & (raw[1:stop] == 0)
-        drop[restarts], drop[restarts + 1] = True, True
-        units, step = image.columns * image.rows, image.interval or image.columns * image.rows
-        sizes = [step] * (units // step) + [units % step] * bool(units % step)
-        if len(sizes) != len(restarts) + 1:
-            ok[n] = False
+        parts = intervals(image, len(in_unit))
+        if parts is None:
+            found[n] = None
             continue
-        kept = np.concatenate(([0], np.cumsum(~drop)))
-        clean = raw[:stop][~drop]
-        bounds = base + np.concatenate(([0], kept[restarts], [len(clean)]))
-        starts.append(bounds[:-1]), ends.append(bounds[1:]), parts.append(clean), blocks.append(np.array(sizes, np.int64) * per_unit)
-        owner += [n] * len(sizes)
-        base += len(clean)
-    if not parts:
-        return [None] * len(images)
-    flat = np.concatenate([*parts, np.full(16, 255, np.uint8)])
+        clean, bounds, blocks = parts
+        for a, b in chunks(np.concatenate(([0], np.cumsum(blocks))) * 64, STEP_BYTES):
+            own = int(blocks[a:b].sum()) * 64
+            if held and size + own > STEP_BYTES:
+                decode_held()
+            held.append((n, clean[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], blocks[a:b]))
+            size += own
+    if held:
+        decode_held()
+    return [None if x is None else np.concatenate(x) if len(x) > 1 else x[0] for x in found]
+
+
+def decode_intervals(parts: list[tuple], in_unit: list[int], tables: int, codes: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray | None]:
+    """Coefficients of each part (bytes, bounds of its intervals, blocks of its intervals); None where damaged."""
+    lengths, symbols = codes
+    per_unit, ok = len(in_unit), [True] * len(parts)
+    base = np.cumsum([0, *(len(x) for x, _, _ in parts)])
+    flat = np.concatenate([*(x for x, _, _ in parts), np.full(16, 255, np.uint8)])
     wide = np.zeros(len(flat) - 8, np.uint64)
     for j in range(8):
         wide = wide << np.uint64(8) | flat[j : len(flat) - 8 + j]
-    position, limit = np.concatenate(starts) * 8, np.concatenate(ends) * 8
-    n_blocks, owner = np.concatenate(blocks), np.array(owner)
+    position = np.concatenate([b[:-1] + o for (_, b, _), o in zip(parts, base)]) * 8
+    limit = np.concatenate([b[1:] + o for (_, b, _), o in zip(parts, base)]) * 8
+    n_blocks, owner = np.concatenate([x for _, _, x in parts]), np.repeat(np.arange(len(parts)), [len(x) for _, _, x in parts])
     block = np.cumsum(n_blocks) - n_blocks
     stop_block = block + n_blocks
-    out = np.zeros(int(n_blocks.sum()) * 64, np.int64)
-    component, tables = np.array(in_unit, np.int64), len(shape.tables)
+    out = np.zeros(int(n_blocks.sum()) * 64, np.int16)
+    component = np.array(in_unit, np.int64)
     in_interval = np.zeros(len(block), np.int64)
     k = np.zeros(len(block), np.int64)
     predicted = np.zeros((len(block), tables), np.int64)
@@ -309,17 +358,14 @@ def decode_scans(images: list[Image]) -> list[np.ndarray | None]:
         if finished.any():
             lane = lane[~finished]
     out = out.reshape(-1, 64)
-    result: list = [None] * len(images)
-    first, present = 0, set(owner.tolist())
-    for n, image in enumerate(images):
-        if n in present:
-            size = image.columns * image.rows * per_unit
-            result[n] = out[first : first + size] if ok[n] else None
-            first += size
+    result, first = [], 0
+    for fine, (_, _, x) in zip(ok, parts):
+        size = int(x.sum())
+        result.append(out[first : first + size] if fine else None)
+        first += size
     return result
 
 
-
 def thumbnail(image: Image, coefficients: np.ndarray) -> np.ndarray:
     """Luminance, a pixel for each 8 x 8 block, from first coefficients alone."""
     per_unit = sum(h * v for h, v, _ in image.sampling)
@@ -329,7 +375,7 @@ def thumbnail(image: Image, coefficients: np.ndarray) -> np.ndarray:
     wide = max(x for x, _, _ in image.sampling)
     high = max(x for _, x, _ in image.sampling)
     grid = grid[: -(-image.height * v // (8 * high)), : -(-image.width * h // (8 * wide))]
-    return np.clip(np.rint(grid * image.quant[q][0] / 8) + 128, 0, 255).astype(np.uint8)
+    return np.clip(np.rint(grid * float(image.quant[q][0]) / 8) + 128, 0, 255).astype(np.uint8)
 
 
 def read_images(files: list[bytes | None]) -> list[tuple[Image, np.ndarray] | None]:
@@ -351,7 +397,7 @@ def read_images(files: list[bytes | None]) -> list[tuple[Image, np.ndarray] | No
 def payload_of(image: Image, coefficients: np.ndarray) -> bytes | None:
     """The payload that write_images stored, if it was that which wrote the file."""
     n = next((int(c[6:]) for c in image.comments if c.startswith(b"bytes=") and c[6:].isdigit()), None)
-    return None if n is None else (coefficients + 128).astype(np.uint8).tobytes()[:n]
+    return None if n is None else (coefficients + np.int16(128)).astype(np.uint8).tobytes()[:n]
 
 
 def feature_of(image: Image, coefficients: np.ndarray) -> str:
