@@ -23,10 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, claim, mix, own_columns, powers, rolling, ship, skew_join, stage, table, text_buffers, _BASE, _INV, Words
+from .common import byte_chunks, claim, mix, own_columns, powers, rolling, ship, skew_join, split_by_ids, stage, table, text_buffers, _BASE, _INV, Words
 
 MIN = 50
 GRAM = 25
@@ -170,9 +171,8 @@ def compare_neighbours(batches):
         yield work(held, True)
 
 
-def windows(texts: DataFrame, marked: bytes) -> DataFrame:
+def windows(texts: DataFrame, shared: Broadcast) -> DataFrame:
     """(w, id, h, s): the windows of all minimisers whose bit is set."""
-    shared = texts.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches):
         claim("repeats")
@@ -225,7 +225,9 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ordered = found.repartitionByRange(parts, "gram", "suffix", "id", "h").sortWithinPartitions("gram", "suffix", "id", "h", "p")
     compared = stage(ordered.mapInArrow(compare_neighbours, "id long, h long, p int, a int, b int, kind int"), "neighbours")
     direct = compared.filter(f"kind & {REPEATS} > 0").select("id", "h", F.col("a").alias("a"), (F.col("b") + MIN).alias("b"), F.expr(f"kind & {GOES} > 0").alias("goes"))
-    extended = stage(windows(texts, bits_of(compared.filter(f"kind & {EXTEND} > 0"))), "windows")
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(compared.filter(f"kind & {EXTEND} > 0")))
+    extended = stage(windows(texts, shared), "windows")
+    shared.destroy()
     who = F.struct("id", "h")
     seen = extended.groupBy("w").agg(F.min(who).alias("least"), F.max(who).alias("most")).filter("least != most").select("w", "least")
     more = skew_join(extended, seen, "w").select("id", "h", F.col("s").alias("a"), (F.col("s") + MIN).alias("b"), (who != F.col("least")).alias("goes"))
@@ -256,12 +258,13 @@ def union(a: np.ndarray, b: np.ndarray) -> list[dict]:
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the passages that an earlier document has; every row and column stays."""
+    """docs without the passages that an earlier document has; every row and column stays. Texts of documents
+    without a cut are not moved."""
     at, names = docs.columns.index(text_col), docs.columns
-
-    cuts = stage(matches(docs, id_col, text_col).filter("size(cuts) > 0").select(F.col("id").alias("__own_id"), F.col("h").alias("__own_hash"), "cuts"), "cuts")
-    keyed = docs.withColumn("__own_hash", text_hash(F.col(text_col))).withColumn("__own_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))))
-    joined = keyed.join(cuts.withColumnRenamed("cuts", "__cuts"), ["__own_id", "__own_hash"], "left").select(*names, "__cuts")
+    cuts = stage(matches(docs, id_col, text_col).filter("size(cuts) > 0").select("id", "h", "cuts"), "cuts")
+    calm, some = split_by_ids(docs, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(LAST))), cuts)
+    some = some.withColumn("hash", text_hash(F.col("row")[text_col]))
+    joined = some.join(cuts, (F.col("key") == F.col("id")) & (F.col("hash") == F.col("h")), "left").select("row.*", F.col("cuts").alias("__cuts"))
 
     def cut(batches):
         claim("repeats")
@@ -282,7 +285,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return calm.unionByName(joined.mapInArrow(cut, docs.schema))
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
