@@ -1,16 +1,22 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Tokens are the elements of a page, told apart by their path of tags, classes and ids, and its texts in their
-place. A token's occurrence vector says how often each page of the host has it; tokens with equal vectors form
-an equivalence class. Vectors are compared by a sum over pages of count times page hash, so they come from one
-aggregation with partial sums, whatever a host's number of pages. The class of the content container is the
-template that matters: its elements nest into the frame of the page, its texts are fixed words of the template,
-and what stands in its open slots is the article. Only containers of different content tell the two apart: copies
-of one article show no slots, so support counts what differs. Elements that are no content by their tag, role or
-class are no slots; a class only hints, and counts beside or inside the content, not around it.
-
-The container of a host is the element that holds the article: one marked so, or else the deepest that holds
-most of the text outside links on most pages. Pages that lack it are read by the same rule on their own.
+1. Tokens are the elements of a page, told apart by their path of tags, classes and ids, and its texts in their
+   place. A token's occurrence vector says how often each page of the host has it; tokens with equal vectors form
+   an equivalence class. Vectors are compared by a sum over pages of count times page hash, so they come from one
+   aggregation with partial sums, whatever a host's number of pages.
+2. Classes nest: a token belongs into the innermost section around it that the page has as often, its owner. A text
+   is the template's own if it has the vector of its owner, the same owner on all pages, and if all such texts of
+   this owner stand in one order on every page. A class needs SUPPORT pages of different content, as fewer cannot
+   tell template and content apart; and VARIES of a host's text must remain outside the template, as pages that
+   differ by less are copies of one article, which show no slots.
+3. What the template does not hold stands in its slots. A block goes if all its texts are the template's, so no
+   sentence loses a word. In the slots, elements that are no content by their tag, role or class go too; a class
+   only hints, and counts beside or inside the content, not around it.
+4. An article or main element with LEAST of a page's text, or an element named as the content that has MOST of it,
+   is the content: the one that most pages of the host have, or else the page's own. Without one all slots are the
+   content, but for blocks of links outside the element that holds most of the text.
+
+A host with fewer than SUPPORT different pages has no template; its pages are read by 3 and 4 on their own.
 
 Cases: null, empty and broken html give what text can be read, or an empty text; entities are decoded once;
 unclosed elements end where html lets them; null urls share one host; pages that repeat repeat in the result; an
@@ -27,17 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, own_columns, ship, stage, table
+from .common import claim, own_columns, ship, skew_join, stage, table
 
 #: Elements of html.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style textarea title noscript template iframe svg math canvas xmp noembed noframes".split()
+RAW = "script style textarea title template iframe svg canvas noembed noframes".split()
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = set("td th br wbr img input".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 NO_CONTENT = set("head nav footer aside form button select option menu dialog object applet datalist".split())
+#: Elements that can own words of the template.
+SECTIONS = set("html body div section article main center ul ol dl table tbody figure details fieldset header footer".split())
 NO_ROLE = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NO_CLASS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager search masthead topbar copyright disclaimer".split())
+#: Words that hint only as a whole name or beside one of COMPANY: a section on related work is content.
+UNSURE = set("related share sharing social recommended recommendations notice notices alert reply replies respond search promotion popup overlay login signup disclaimer copyright".split())
+COMPANY = set("article articles area bar block box button buttons container content form group heading icon icons inner item items link links list message messages news now on outer panel post posts row section stories story text this title to tools top bottom us wrap wrapper".split())
 #: Words of a name that make it tell of a state, like no-sidebar, and not of a part of the page.
 STATE = set("no not non without with has have".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -60,28 +71,31 @@ WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 HINTS = NO_CLASS | {"header"}
 MASK = (1 << 63) - 1
-#: Share of a page's text that the container holds at least, and of the host's pages that have it.
+#: Share of a page's text that the element named as content, or that holds most, has at least; and of the host's
+#: pages that have the content's element.
 MOST, PAGES = 0.6, 0.5
-#: The same for a container that is marked.
+#: The same for an article or main element.
 LEAST = 0.3
-#: Pages, each with another content of the container, that show a text to be the template's at least.
-SUPPORT = 5
+#: Pages of different content that a class needs.
+SUPPORT = 3
+#: Share of a host's text that is not the template's at least.
+VARIES = 0.2
 #: Rules of hosts are broadcast below this measured size, and joined beyond.
 BROADCAST_BYTES = 16 << 20
 
 
 class Element:
-    __slots__ = ("tag", "role", "parent", "depth", "barred", "hint", "named", "out", "marked", "level", "within", "mark", "heading", "link", "text", "linked", "content")
+    __slots__ = ("tag", "role", "parent", "depth", "barred", "hint", "named", "out", "level", "within", "mark", "heading", "link", "text")
 
     def __init__(self, tag, role, parent, barred=False, hint=False, named=False, level=0):
-        self.tag, self.role, self.parent, self.barred, self.hint, self.named, self.marked, self.level = tag, role, parent, barred, hint, named, level > 0, level
+        self.tag, self.role, self.parent, self.barred, self.hint, self.named, self.level = tag, role, parent, barred, hint, named, level
         self.out = barred or hint or parent is not None and parent.out
         #: The highest level and the innermost of the marked elements from here up.
         self.within = max(level, parent.within if parent else 0)
         self.mark = self if level else parent and parent.mark
         self.link = tag == "a" or parent is not None and parent.link
         self.heading = tag in HEADINGS or parent is not None and parent.heading
-        self.depth, self.text, self.linked, self.content = parent.depth + 1 if parent else 0, 0, 0, 0
+        self.depth, self.text = parent.depth + 1 if parent else 0, 0
 
 
 def hashed(parent: int, key: str) -> int:
@@ -95,7 +109,7 @@ def opened(tag: str, attributes: str, parent: Element) -> Element:
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = (found.get("class", "") + " " + found.get("id", "")).lower()
     words = set(WORD.findall(names))
-    hints = {w for name in names.split() for w in part_words(name)} if words & HINTS else words
+    hints = {w for name in names.split() for w in part_words(name)} if words & HINTS else set()
     role = found.get("role", "").lower()
     #: 3 for an article, 2 for the main part, 1 for what is marked by its class only.
     level = 3 if "article" in (tag, role) else 2 if "main" in (tag, role) else int(tag in ("div", "section", "td") and bool(words & CONTENT_CLASS))
@@ -105,16 +119,19 @@ def opened(tag: str, attributes: str, parent: Element) -> Element:
     hint = named and tag not in ("html", "body", "article", "main")
     # A header is the page's unless an article is open around it.
     if not parent.within:
-        barred = barred or tag == "header"
+        barred = barred or tag in ("header", "noscript")
         hint = hint or (tag not in ("html", "body", "article", "main") and "header" in hints)
     key = tag + "." + ".".join(sorted(DIGITS.sub("0", names).split()))
     return Element(tag, hashed(parent.role, key), parent, barred, hint, named, level)
 
 
 def part_words(name: str) -> list[str]:
-    """The words of a class or id up to one that makes the rest a state."""
+    """The words of a class or id up to one that makes the rest a state, without those that hint in company only."""
     words = WORD.findall(name)
-    return words[: next((i for i, w in enumerate(words) if w in STATE), len(words))]
+    words = words[: next((i for i, w in enumerate(words) if w in STATE), len(words))]
+    if any(w not in UNSURE and w not in COMPANY and w not in HINTS for w in words):
+        return [w for w in words if w not in UNSURE]
+    return words
 
 
 def settle(elements: list[Element], sizes: list[tuple[Element, int]]) -> None:
@@ -213,51 +230,83 @@ def read(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
     add(page[last:])
     if any(e.hint and not e.barred for e in elements):
         settle(elements, [(e, n) for e, text, _ in texts if not e.barred and not e.link and (n := len(text.strip()))])
+    return elements, texts
+
+
+def weigh(elements: list[Element], texts: list[tuple[Element, str, int]]) -> None:
+    """Lengths of these texts outside links, by element."""
+    for e in elements:
+        e.text = 0
     for e, text, _ in texts:
-        n = len(text.strip())
-        if n and not e.out:
-            if e.link:
-                e.linked += n
-            else:
-                e.text += n
+        if not e.link:
+            e.text += len(text.strip())
     for e in reversed(elements):  # children come after parents
         if e.parent is not None:
             e.parent.text += e.text
-            e.parent.linked += e.linked
-    return elements, texts
 
 
-def best(roles) -> int | None:
-    """roles: (role, depth, marked, share of the text), those on enough pages only. The container among them."""
-    marked = [r for r in roles if r[2] and r[3] >= LEAST]
-    if marked:
-        return max(marked, key=lambda r: (r[3], r[1], -r[0]))[0]
-    deep = [r for r in roles if r[3] >= MOST]
-    return max(deep, key=lambda r: (r[1], r[3], -r[0]))[0] if deep else None
-
-
-def own_container(elements: list[Element]) -> int | None:
-    total = elements[0].text
-    shares: dict[int, list] = {}
+def shares(elements: list[Element]) -> dict[int, list]:
+    """role -> [role, depth, level, share of the page's text]."""
+    total, out = elements[0].text, {}
     for e in elements[1:]:
         if not e.out:
-            x = shares.setdefault(e.role, [e.role, e.depth, e.marked, 0.0])
+            x = out.setdefault(e.role, [e.role, e.depth, e.level, 0.0])
+            x[2] = max(x[2], e.level)
             x[3] += e.text / total if total else 0
-    return best([tuple(x) for x in shares.values()])
+    return out
+
+
+def marked_container(roles) -> int | None:
+    """The marked element with the largest share, the deepest of equals. roles: (role, depth, level, share)."""
+    fits = [r for r in roles if r[2] > 1 and r[3] >= LEAST or r[2] == 1 and r[3] >= MOST]
+    return max(fits, key=lambda r: (r[3], r[1], -r[0]))[0] if fits else None
+
+
+def core(roles) -> int | None:
+    """The deepest element that holds most of the text."""
+    fits = [r for r in roles if r[3] >= MOST]
+    return max(fits, key=lambda r: (r[1], r[3], -r[0]))[0] if fits else None
+
+
+def within(elements: list[Element], role: int | None) -> set[int]:
+    """The elements of this role and all that is in them."""
+    found: set[int] = set()
+    for e in elements:
+        if e.role == role or (e.parent is not None and id(e.parent) in found):
+            found.add(id(e))
+    return found
+
+
+def template_blocks(texts: list[tuple[Element, str, int]], fixed: set[int]) -> set[int]:
+    """The blocks in which all texts are the template's."""
+    own: dict[int, bool] = {}
+    for e, text, block in texts:
+        if text.strip():
+            own[block] = own.get(block, True) and text_token(e, text) in fixed
+    return {block for block, all_ in own.items() if all_}
 
 
 def main_text(page: str, container: int | None, fixed: set[int]) -> str:
     elements, texts = read(page)
-    if container is None or not any(e.role == container for e in elements):
-        container = own_container(elements)
-    inside: dict[int, bool] = {}
-    for e in elements:
-        inside[id(e)] = container is None or e.role == container or (e.parent is not None and inside[id(e.parent)])
+    shown = [x for x in texts if not x[0].out]
+    taken = template_blocks(shown, fixed) if fixed else set()
+    for slots in ([x for x in shown if x[2] not in taken], shown) if taken else (shown,):
+        weigh(elements, slots)
+        roles = shares(elements)
+        marked = container if container in roles else marked_container(roles.values())
+        if marked is None:
+            middle = core(roles.values())
+            inside = within(elements, middle) if middle is not None else {id(e) for e in elements}
+            lists = {block for _, _, block in slots} - {block for e, text, block in slots if text.strip() and (id(e) in inside or not e.link)}
+            found = [x for x in slots if x[2] not in lists]
+        else:
+            inside = within(elements, marked)
+            found = [x for x in slots if id(x[0]) in inside]
+        if any(text.strip() for _, text, _ in found):
+            break  # else all of the content would be the template's
     blocks: list[str] = []
     now = None
-    for e, text, block in texts:
-        if e.out or not inside[id(e)] or (fixed and text_token(e, text) in fixed):
-            continue
+    for _, text, block in found:
         if block != now:
             blocks.append("")
             now = block
@@ -273,71 +322,99 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-TOKENS = "host string, token long, kind int, depth int, marked int, n long, page long, text long, total long, content long"
+PAGE, ELEMENT, TEXT = 0, 1, 2
+#: The page itself is a token too, and the owner of what no section owns.
+ROOT = 1
+TOKENS = "host string, token long, kind int, owner long, place int, depth int, level int, n long, page long, text long, total long, content long"
+
+
+def tokens_of(page: str) -> list[list]:
+    """[token, kind, owner, place, depth, level, count, text] of every token of a page that may be content."""
+    elements, texts = read(page)
+    shown = [(e, text, n) for e, text, n in texts if not e.out and text.strip()]
+    weigh(elements, shown)
+    found = {ROOT: [ROOT, PAGE, 0, 0, 0, 0, 1, elements[0].text]}
+    for e in elements[1:]:
+        if not e.out:
+            x = found.setdefault(e.role, [e.role, ELEMENT, 0, 0, e.depth, 0, 0, 0])
+            x[5] = max(x[5], e.level)
+            x[6] += 1
+            x[7] += e.text
+    own: dict[int, list] = {}
+    around: dict[int, Element] = {}
+    for place, (e, text, _) in enumerate(shown):
+        t = text_token(e, text)
+        x = own.setdefault(t, [t, TEXT, 0, place, e.depth, 0, 0, 0])
+        around.setdefault(t, e)
+        x[6] += 1
+        x[7] += 0 if e.link else len(text.strip())
+    for t, x in own.items():
+        if t not in found:
+            e = around[t]
+            while e.parent is not None and not (e.tag in SECTIONS and found[e.role][6] == x[6]):
+                e = e.parent
+            x[2] = e.role if found[e.role][6] == x[6] else 0
+            found[t] = x
+    return list(found.values())
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """One row for each token and page: its count, page hash and text; kind 0 is the page, 1 an element, 2 a text.
-    content is a hash of all texts in an element."""
+    """One row for each token and page. page is a hash of the row, content of the texts of the page."""
 
     def run(batches):
         claim("html")
         for batch in batches:
             rows = []
-            for i, (host, page_id, page) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                elements, texts = read(page or "")
+            for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                found = tokens_of(page or "")
                 key = zlib.crc32(f"{page_id} {zlib.crc32((page or '').encode('utf-8', 'replace'))}".encode()) | 1
-                total = elements[0].text
-                seen: dict[int, list] = {1: [1, 0, 0, 0, 1, total, 0]}
-                own: dict[int, list] = {}
-                for e, text, _ in texts:
-                    if not e.out and text.strip():
-                        t = text_token(e, text)
-                        x = own.setdefault(t, [t, 2, e.depth, 0, 0, 0, 0])
-                        x[4] += 1
-                        e.content = e.content + t & MASK
-                for e in reversed(elements[1:]):  # children come after parents
-                    e.parent.content = e.parent.content + e.content & MASK
-                for e in elements[1:]:
-                    if not e.out:
-                        x = seen.setdefault(e.role, [e.role, 1, e.depth, int(e.marked), 0, 0, 0])
-                        x[4] += 1
-                        x[5] += e.text
-                        x[6] = x[6] + e.content & MASK
-                for t, x in own.items():
-                    seen.setdefault(t, x)
-                rows += [(host, *x[:5], key, x[5], total, x[6]) for x in seen.values()]
-            names = [x.split()[0] for x in TOKENS.split(", ")]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*rows)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                content = sum(x[0] * x[6] for x in found if x[1] == TEXT) & MASK
+                rows += [(host, *x[:7], key, x[7], found[0][7], content) for x in found]
+            fields = [x.split() for x in TOKENS.split(", ")]
+            kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+            columns = list(zip(*rows)) or [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [name for name, _ in fields])
 
     return pages.select("host", "page_id", "html").mapInArrow(run, TOKENS)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, container, fixed array<long>) of hosts whose pages agree on a container."""
+def classes(tokens: DataFrame) -> DataFrame:
+    """One row for each token of a host on two pages or more: its vector, which names its class, on how many pages
+    and contents it is, and its owner, null where pages do not agree."""
     vector = F.sum((F.col("n") * F.col("page")).cast("decimal(38,0)")).alias("vector")
-    tokens = page_tokens(pages).groupBy("host", "token", "kind").agg(
-        F.count("*").alias("pages"), F.count_distinct("content").alias("contents"), vector, F.max("depth").alias("depth"), F.max("marked").alias("marked"), F.sum("text").alias("text"), F.sum("total").alias("total")
+    found = tokens.groupBy("host", "token", "kind").agg(
+        F.count("*").alias("pages"), F.count_distinct("content").alias("contents"), vector, F.when(F.min("owner") == F.max("owner"), F.min("owner")).alias("owner"),
+        F.max("depth").alias("depth"), F.max("level").alias("level"), F.sum("text").alias("text"), F.sum("total").alias("total"),
     )
-    tokens = stage(tokens.filter("pages > 1 OR kind < 2"), "tokens")
-    whole = tokens.filter("kind = 0").select("host", F.col("pages").alias("all_pages"), F.greatest("text", F.lit(1)).alias("all_text"), F.col("vector").alias("every"))
-    near = tokens.join(whole, "host").filter(F.col("pages") >= PAGES * F.col("all_pages"))
-    share = (F.col("text") / F.col("all_text")).alias("share")
-    elements = near.filter("kind = 1").select("host", "token", "depth", "marked", share, "vector", "contents")
-    # The same choice as best(): a marked element with the largest share, else the deepest with most of the text.
-    fits = elements.filter(f"(marked = 1 AND share >= {LEAST}) OR share >= {MOST}")
-    order = F.struct(
-        ((F.col("marked") == 1) & (F.col("share") >= LEAST)).alias("m"),
-        F.when((F.col("marked") == 1) & (F.col("share") >= LEAST), F.col("share")).otherwise(F.col("depth").cast("double")).alias("x"),
-        F.when((F.col("marked") == 1) & (F.col("share") >= LEAST), F.col("depth").cast("double")).otherwise(F.col("share")).alias("y"),
-        (-F.col("token")).alias("t"),
-    )
-    chosen = fits.groupBy("host").agg(F.max_by(F.struct("token", "vector", "contents"), order).alias("c")).select("host", F.col("c.token").alias("container"), F.col("c.vector").alias("frame"), F.col("c.contents").alias("differing"))
-    # Texts of the container's equivalence class are the template's own words, if its pages differ in what it holds.
-    fixed = near.filter(f"kind = 2 AND pages >= {SUPPORT}").drop("contents").join(chosen.filter(f"differing >= {SUPPORT}"), "host").filter("vector = frame").groupBy("host").agg(F.collect_list("token").alias("fixed"))
-    return chosen.join(fixed, "host", "left").select("host", "container", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed"))
+    return found.filter(f"pages > 1 OR kind = {PAGE}")
+
+
+def own_texts(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """(host, token, text): texts of the template. tokens by page, known: their classes."""
+    firm = known.filter(f"contents >= {SUPPORT}")
+    owners = firm.filter(f"kind < {TEXT}").select("host", F.col("token").alias("owner"), F.col("vector").alias("frame"))
+    nested = firm.filter(f"kind = {TEXT} AND owner > 0").join(owners, ["host", "owner"]).filter("vector = frame").select("host", "token", "owner", "text")
+    nested = stage(nested, "nested")
+    # The texts of an owner must come in one order on all pages; an array here is one page's, also if its row repeats.
+    places = tokens.filter(f"kind = {TEXT}").select("host", "page", "place", F.col("token").alias("t"), F.xxhash64("host", "token").alias("key"))
+    placed = skew_join(places, nested.select(F.col("token").alias("u"), "owner", F.xxhash64("host", "token").alias("key")), "key").filter("t = u")
+    turns = placed.groupBy("host", "owner", "page").agg(F.xxhash64(F.transform(F.array_sort(F.collect_set(F.struct("place", "t"))), lambda x: x["t"])).alias("turn"))
+    ordered = turns.groupBy("host", "owner").agg(F.min("turn").alias("a"), F.max("turn").alias("b")).filter("a = b").select("host", "owner")
+    return nested.join(ordered, ["host", "owner"]).select("host", "token", "text")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, container, fixed array<long>) of hosts whose pages agree on a container or have a template."""
+    tokens = stage(page_tokens(pages), "page-tokens")
+    known = stage(classes(tokens), "classes")
+    whole = known.filter(f"kind = {PAGE}").select("host", F.col("pages").alias("all_pages"), F.greatest("text", F.lit(1)).alias("all_text"))
+    # The same choice as marked_container(), over the pages of the host.
+    marked = known.filter(f"kind = {ELEMENT} AND level > 0").join(whole, "host").withColumn("share", F.col("text") / F.col("all_text"))
+    marked = marked.filter(f"pages >= {PAGES} * all_pages AND share >= if(level > 1, {LEAST}, {MOST})")
+    chosen = marked.groupBy("host").agg(F.max_by("token", F.struct("share", "depth", (-F.col("token")).alias("t"))).alias("container"))
+    fixed = own_texts(tokens, known).groupBy("host").agg(F.collect_list("token").alias("fixed"), F.sum("text").alias("text"))
+    fixed = fixed.join(whole, "host").filter(f"all_text - text >= {VARIES} * all_text").select("host", "fixed")
+    return chosen.join(fixed, "host", "full").select("host", "container", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
