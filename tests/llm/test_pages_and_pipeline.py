@@ -161,3 +161,78 @@ def test_pipeline_stages(spark, tmp_path):
     assert dict(zip(cut.doc_id, cut.text))[244].strip() == " ".join(head) and dict(zip(cut.doc_id, cut.n_chars))[244] == len(dict(zip(cut.doc_id, cut.text))[244])
     assert set(packed.doc_id) == set(cut.doc_id)
     assert pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def plain(i, story, place="mid", order=0):
+    """A page of a host that marks nothing: long words of the site around a short story, in divs."""
+    lines = ["<div>About this site and all that we have written on it since the beginning of the century.</div>", "<div>Our editors meet every day and talk about the things that matter to our readers.</div>"]
+    left = f"<div class=alpha>{lines[order]}{lines[1 - order]}</div>"
+    right = "<div class=beta><span>All articles are the work of their authors, who answer for what they say here.</span></div><div class=gamma>Written by hand in a small town at the sea, printed on the first of every month.</div>"
+    body = f"<div class=b1><h2>{story[0]}</h2>" + "".join(f"<p>{x}</p>" for x in story[1:]) + "</div>"
+    return f"<html><body><div class={place}>{left}{body}{right}</div></body></html>"
+
+
+def stories(n):
+    rng = random.Random(n)
+    return [[f"Story {i}", *(" ".join(rng.choice(["sun", "moon", "tide", "rain", "wind"]) + str(rng.randrange(99)) for _ in range(rng.randrange(4, 9))) for _ in range(3))] for i in range(n)]
+
+
+def test_template_of_pages_that_mark_nothing(spark):
+    told = stories(7)
+    rows = [(i, f"https://bare.example/{i}", plain(i, s)) for i, s in enumerate(told)]
+    rows += [(100 + i, "https://bare.example/again", rows[i][2]) for i in (0, 0, 3)]  # repeated pages
+    rows += [(200 + i, "https://two.example/", plain(i, s)) for i, s in enumerate(told[:2])]  # too few to tell
+    got = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
+    for i, s in enumerate(told):
+        assert got[i] == "\n".join(s)
+        assert html.main_text(rows[i][2], None, set()) != got[i]  # a page alone does not show its template
+    assert got[100] == got[0] and got[103] == got[3]
+    assert all(got[200 + i] == html.main_text(rows[i][2], None, set()) for i in (0, 1))
+
+
+def test_template_words_inside_sentences_and_in_changing_order(spark):
+    told = stories(6)
+    mark = lambda s, i: [s[0], f"<b>Note</b> {s[1]}", *s[2:]]
+    rows = [(i, "https://note.example/", plain(i, mark(s, i))) for i, s in enumerate(told)]
+    rows += [(50 + i, "https://turns.example/", plain(i, s, "t", i % 2)) for i, s in enumerate(told)]
+    got = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
+    for i, s in enumerate(told):
+        assert got[i] == "\n".join([s[0], "Note " + s[1], *s[2:]])
+        assert "Our editors" in got[50 + i] and "printed on" not in got[50 + i]  # texts without one order are no template
+
+
+def test_classes_equal_all_vectors(spark):
+    rng = random.Random(4)
+    bits = ["<div class=n1><p>note one</p></div>", "<div class=n2>other <i>words</i></div>", "<ul><li>x</li><li>y</li></ul>", "<section><h3>head</h3>tail</section>"]
+    rows = [(i, f"https://{'ab'[i % 2]}.example/", f"<body>{''.join(b * rng.randrange(3) for b in bits)}<div>own {i}</div></body>") for i in range(14)]
+    by: dict = {}
+    for i, url, page_ in rows:
+        for token, kind, *_, n, _ in html.tokens_of(page_):
+            by.setdefault((url[8:17], token, kind), {})[i] = n
+    want: dict = {}
+    for (host, token, _), vector in by.items():
+        if len(vector) > 1 or token == html.ROOT:
+            want.setdefault((host, tuple(sorted(vector.items()))), set()).add(token)
+    got: dict = {}
+    for r in html.classes(html.page_tokens(pages(spark, rows).withColumn("host", html.host_of(F.col("url"))))).collect():
+        got.setdefault((r["host"], r["vector"]), set()).add(r["token"])
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+
+
+def test_nothing_of_the_content_is_cut():
+    text = lambda page_: html.main_text(page_, None, set())
+    rest = " ".join(["and so the story goes on for many words"] * 6)
+    assert text(f"<div class=content><p>The standfirst.</p></div><div><p>{rest}</p></div>") == f"The standfirst.\n{rest}"
+    assert text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p><xmp>raw words</xmp><noscript><p>shown without scripts</p></noscript></article>") == "If x=1 then\nraw words\nshown without scripts"
+    assert text(f"<noscript>Turn scripts on</noscript><article><p>{rest}</p></article>") == rest
+    for name in ("class=related-work", "id=main-share", "class=search-methods"):
+        assert text(f"<article><p>{rest}</p><section {name}><p>one more part</p></section></article>") == f"{rest}\none more part"
+    for name in ("class=related-posts", "class=share-buttons", "id=search", "class=related"):
+        assert text(f"<article><p>{rest}</p><section {name}><p>no part</p></section></article>") == rest
+    assert text(f"<ul><li><a href=x>one</a><li><a href=y>two</a></ul><div><p>{rest}</p><p>see <a href=z>there</a></p></div><p>end, <a href=q>too</a></p>") == f"{rest}\nsee there\nend, too"
+
+
+def test_a_page_of_many_megabytes(spark):
+    long = page("Long", [f"paragraph {i} " + "w " * 400 for i in range(4000)])
+    got = html.extract(pages(spark, [(1, "https://long.example/", long)])).first()["text"]
+    assert got.split("\n")[0] == "Long" and len(got.split("\n")) >= 4001 and "paragraph 3999 w" in got

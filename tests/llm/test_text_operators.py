@@ -120,6 +120,32 @@ def test_jaccard_rows_that_repeat_and_no_ids(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 2, None, 6], key=str)
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", "red green blue black white grey pink")
+    got = {(r["id"], r["component_id"]) for r in jaccard.linked(frame(spark, [(1, a), (5, a), (5, b), (9, b), (12, c)])).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (12, 12)}
+    rng = random.Random(11)
+    for _ in range(1):
+        pool = [" ".join(words(rng, 40, 60)) for _ in range(12)]
+        pool += [p + " " + q for p in pool[:4] for q in ("x", "x y")]
+        rows = [(rng.randrange(25), rng.choice(pool)) for _ in range(45)]
+        sets = [(i, *sets_of([(0, t)], 5).values()) for i, t in rows]
+        up = {i: i for i, _ in rows}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i, s in sets:
+            for j, t in sets:
+                if s and 100 * len(s & t) >= 80 * len(s | t):
+                    x, y = sorted((top(i), top(j)))
+                    up[y] = x
+        got = {(r["id"], r["component_id"]) for r in jaccard.linked(frame(spark, rows)).collect()}
+        assert got == {(i, top(i)) for i, _ in rows}
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 140)] + [(200, 201), (201, 202), (200, 202)]
@@ -224,8 +250,11 @@ def test_toxic_words_of_few_texts_count():
     labels[:60] = 1
     plain = lambda: rng.choice(np.arange(1000, 1400), 20, replace=False)
     own = lambda i: [100 + i // 5] if i < 60 else [300] if i in (70, 71) else []
-    bags = [(np.unique([*own(i), *plain()]), np.ones(len(own(i)) + 20, np.float32)) for i in range(n)]
-    model = toxicity.fit(bags, labels)
+    bags = toxicity.Bags()
+    for i in range(n):
+        ids = np.unique([*own(i), *plain()]).astype("<u2")
+        bags.add(ids.tobytes(), np.ones(len(ids), "<f2").tobytes(), int(labels[i]))
+    model = toxicity.fit(*bags.arrays())
     assert (model.value[100:112] > np.abs(model.value[1000:1400]).max()).all() and model.value[300] == 0
 
 
@@ -292,6 +321,78 @@ def test_quality_learns_and_survives_no_labels(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_toxicity_without_anything_to_learn(spark):
+    docs = frame(spark, [(i, f"tree river {i}") for i in range(20)] + [(20, None)])
+    kinds = "doc_id long, quality int, toxic int"
+    for rows, score in (([], 0.5), ([(i, 1, 0) for i in range(9)], None), ([(i, 1, 1) for i in range(9)], None), ([(3, 1, 1), (3, 1, 0)], None)):
+        model = toxicity.train(docs, spark.createDataFrame(rows, kinds))
+        assert not model.learnt
+        found = [r["score"] for r in toxicity.score(docs, model).collect()]
+        assert len(found) == 21 and len(set(found)) == 1 and (score is None or found[0] == score)
+        assert toxicity.filter_toxic(docs, model).count() == 21
+    empty = docs.filter("doc_id > 99")
+    model = toxicity.train(empty, spark.createDataFrame([(1, 1, 1)], kinds))
+    assert not model.learnt and toxicity.filter_toxic(empty, model).count() == 0
+
+
+def test_toxicity_sample_is_bounded_in_buckets(spark):
+    rows, labels = labelled(random.Random(9), 60)
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    bags = toxicity.Bags(10)
+    for n in (4, 5, 3, 1):
+        bags.add(np.arange(n, dtype="<u2").tobytes(), np.ones(n, "<f2").tobytes(), n % 2)
+    assert bags.full and bags.sizes == [4, 5]  # from the first that does not fit on, all stay out
+    assert [list(x) for x in bags.arrays()] == [[0, 1, 2, 3, 0, 1, 2, 3, 4], [1] * 9, [0, 4, 9], [0, 1]]
+    first = toxicity.Bags(1)
+    first.add(np.arange(9, dtype="<u2").tobytes(), np.ones(9, "<f2").tobytes(), 1)
+    assert not first.full and first.sizes == [9]  # one text is taken whatever its size
+    whole, part = toxicity.train(docs, labels), toxicity.train(docs, labels, entries=9_000)
+    assert part.learnt and (whole.value != part.value).any()
+
+
+def test_toxicity_equals_plain_adam():
+    """The batched fit against one that goes text by text."""
+    rng, n, d = np.random.default_rng(5), 200, toxicity.DIMENSIONS
+    labels = rng.integers(0, 2, n)
+    texts = [np.unique(rng.integers(0, 40, 6) + 30 * labels[i]) for i in range(n)]
+    bags = toxicity.Bags()
+    for ids, y in zip(texts, labels):
+        bags.add(ids.astype("<u2").tobytes(), np.full(len(ids), 0.5, "<f2").tobytes(), int(y))
+    model = toxicity.fit(*bags.arrays())
+    df, pos, k = np.zeros(toxicity.BUCKETS), np.zeros(toxicity.BUCKETS), int(labels.sum())
+    for ids, y in zip(texts, labels):
+        df[ids] += 1
+        pos[ids] += y
+    weight = np.where(df >= toxicity.LEAST_TEXTS, np.log((1 + n) / (1 + df)), 0)
+    weight *= np.abs(np.tanh(np.log((pos + 0.5) / (k + 1)) - np.log((df - pos + 0.5) / (n - k + 1)))) * toxicity.SCALE
+    r = np.random.default_rng(7)
+    v, s, b = r.normal(0, 0.1, (toxicity.BUCKETS, d)), r.normal(0, 0.5, (d, 2)), np.array([0, np.log((k + 0.5) / (n - k + 0.5))])
+    m = [np.zeros_like(x) for x in (v, s, b)]
+    q = [0.0, np.zeros_like(s), np.zeros_like(b)]
+    epochs, step = max(toxicity.EPOCHS, -(-toxicity.LEAST_STEPS * toxicity.BATCH // n)), 0
+    for epoch in range(epochs):
+        rate, order = 0.02 * (1 - epoch / epochs) + 1e-3, r.permutation(n)
+        for at in range(0, n, toxicity.BATCH):
+            rows, g = order[at : at + toxicity.BATCH], [np.zeros_like(x) for x in (v, s, b)]
+            for i in rows:
+                h = 0.5 * (v[texts[i]] * weight[texts[i], None]).sum(0)
+                e = np.exp(h @ s + b)
+                e = e / e.sum()
+                e[labels[i]] -= 1
+                e /= len(rows)
+                g[0][texts[i]] += 0.5 * weight[texts[i], None] * (s @ e)
+                g[1] += np.outer(h, e)
+                g[2] += e
+            step += 1
+            for j, x in enumerate((v, s, b)):
+                m[j] = 0.9 * m[j] + 0.1 * g[j]
+                q[j] = 0.99 * q[j] + 0.01 * ((g[j] ** 2).sum() if j == 0 else g[j] ** 2)
+                x -= rate * (toxicity.VECTOR_RATE if j == 0 else 1) * (m[j] / (1 - 0.9**step)) / (np.sqrt(q[j] / (1 - 0.99**step)) + 1e-12)
+    value, bias = weight * (v @ (s[:, 1] - s[:, 0])), b[1] - b[0]
+    score = lambda m, c: np.array([1 / (1 + np.exp(-(c + 0.5 * m[ids].sum()))) for ids in texts])
+    assert np.abs(score(model.value, model.bias) - score(value, bias)).max() < 0.02
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(1)
     count = rng.integers(0, 5, 512).astype(float)
