@@ -5,13 +5,15 @@ never saw share n-grams with those that it saw.
 
 N-grams have 3 to 6 characters of a lower-cased word with one mark for either end. They are hashed to BUCKETS rows
 and weigh by inverse document frequency in the training sample. Training takes at most TRAIN_ROWS labelled
-rows, those with the smallest hash of their id; everything else reads all texts whole. As the model is linear
-in the average, the scorer needs one number a bucket.
+rows, those with the smallest hash of their id, and of these as many as have TRAIN_ENTRIES buckets together;
+everything else reads all texts whole. One task trains, on bounded arrays, so that nothing but the model reaches
+the driver. As the model is linear in the average, the scorer needs one number a bucket.
 
 Cases: a null or empty text, or one without letters, gets the bias alone, which is the rate of the label; null
 labels and labels without a document are left out, conflicting ones count by majority (a tie is 0); without
-labels every score is 0.5, with one class only it is near that class; rows that repeat repeat in the result;
-an empty table gives an empty result; other columns are never looked at.
+labels every score is 0.5, with one class only it is near that class, and as nothing was learnt that tells texts
+apart the filter keeps every row then; rows that repeat repeat in the result; an empty table gives an empty result;
+other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
 #: Labelled rows that a model is fitted on at most.
 TRAIN_ROWS = 6_144
+#: Buckets of all training texts together at most (two arrays of two bytes each: 96 MB).
+TRAIN_ENTRIES = 24 << 20
 #: Training texts that an n-gram is in at least to count, whatever their number.
 LEAST_TEXTS = 3
 DIMENSIONS = 8
@@ -135,30 +139,58 @@ class Subwords:
 
 
 class Model:
-    """score(text) = sigmoid(bias + average of value over its words)."""
+    """score(text) = sigmoid(bias + average of value over its words). learnt: whether both classes were seen."""
 
-    def __init__(self, value: np.ndarray, bias: float):
-        self.value, self.bias = value, bias
+    def __init__(self, value: np.ndarray, bias: float, learnt: bool = True):
+        self.value, self.bias, self.learnt = value, bias, learnt
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.bias + Subwords(data, offsets).average(self.value), -40, 40)))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
-    """bags: (buckets, counts) of each text. Adam on the cross-entropy of the softmax over the averaged vectors."""
+class Bags:
+    """Training texts in two flat arrays: the buckets of all texts one after the other and their weights; bounds
+    has where each text begins."""
+
+    def __init__(self, most: int = TRAIN_ENTRIES):
+        self.most, self.ids, self.weights, self.sizes, self.labels = most, [], [], [], []
+        self.entries, self.full = 0, False
+
+    def add(self, ids: bytes, weights: bytes, label: int) -> None:
+        n = len(ids) // 2
+        self.full = self.full or bool(self.sizes) and self.entries + n > self.most
+        if not self.full:
+            self.ids.append(np.frombuffer(ids, "<u2")), self.weights.append(np.frombuffer(weights, "<f2"))
+            self.sizes.append(n), self.labels.append(label)
+            self.entries += n
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, weights, bounds, labels; the parts are let go one by one."""
+        flat = []
+        for parts, kind in ((self.ids, "<u2"), (self.weights, "<f2")):
+            out, at = np.empty(self.entries, kind), 0
+            for i, x in enumerate(parts):
+                out[at : at + len(x)] = x
+                at += len(x)
+                parts[i] = None
+            flat.append(out)
+        return flat[0], flat[1], np.concatenate(([0], np.cumsum(np.array(self.sizes, np.int64)))), np.array(self.labels, np.int64)
+
+
+def fit(ids: np.ndarray, weights: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+    """Adam on the cross-entropy of the softmax over the averaged vectors of the texts ids[bounds[i]:bounds[i + 1]]."""
     n, positive = len(labels), int(labels.sum())
     prior = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     if not n or positive in (0, n):
-        return Model(np.zeros(BUCKETS), prior)
+        return Model(np.zeros(BUCKETS), prior, False)
     rng = np.random.default_rng(seed)
-    df = np.zeros(BUCKETS)
-    for ids, _ in bags:
-        df[ids] += 1
+    df, seen = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for i, y in enumerate(labels):  # a bucket is once in a text
+        own = ids[bounds[i] : bounds[i + 1]]
+        df[own] += 1
+        seen[own] += y
     idf = np.log((1 + n) / (1 + df))
     idf[df < LEAST_TEXTS] = 0  # an n-gram of one or two texts says nothing about another
-    seen = np.zeros(BUCKETS)
-    for (ids, _), y in zip(bags, labels):
-        seen[ids] += y
     odds = np.log((seen + 0.5) / (positive + 1)) - np.log((df - seen + 0.5) / (n - positive + 1))
     idf = (idf * np.abs(np.tanh(odds)) * SCALE).astype(np.float32)  # n-grams alike in both classes hardly count
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -172,25 +204,22 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
         order = rng.permutation(n)
         for first in range(0, n, BATCH):
             rows = order[first : first + BATCH]
-            ids = np.concatenate([bags[r][0] for r in rows])
-            sizes = np.array([len(bags[r][0]) for r in rows])
-            weight = np.concatenate([bags[r][1] for r in rows]).astype(np.float32)
-            whose = np.repeat(np.arange(len(rows)), sizes)
-            weight *= idf[ids]
+            own = np.concatenate([ids[bounds[r] : bounds[r + 1]] for r in rows]).astype(np.int64)
+            weight = np.concatenate([weights[bounds[r] : bounds[r + 1]] for r in rows]).astype(np.float32)
+            whose = np.repeat(np.arange(len(rows)), bounds[rows + 1] - bounds[rows])
+            weight *= idf[own]
             hidden = np.zeros((len(rows), DIMENSIONS), np.float32)
-            part = vectors[ids] * weight[:, None]
+            part = vectors[own] * weight[:, None]
             for d in range(DIMENSIONS):
                 hidden[:, d] = np.bincount(whose, part[:, d], len(rows))
-            logits = hidden @ softmax + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+            p = softmax_of(hidden, softmax, bias)
             error = p.astype(np.float32)
             error[np.arange(len(rows)), labels[rows]] -= 1
             error /= len(rows)
             back = error @ softmax.T
             slope = np.empty_like(vectors)
             for d in range(DIMENSIONS):
-                slope[:, d] = np.bincount(ids, weight * back[whose, d], BUCKETS)
+                slope[:, d] = np.bincount(own, weight * back[whose, d], BUCKETS)
             step += 1
             for i, (x, g) in enumerate(((vectors, slope), (softmax, hidden.T @ error), (bias, error.sum(0)))):
                 m, v = state[2 * i], state[2 * i + 1]
@@ -204,6 +233,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     return Model(value.astype(np.float64), float(bias[1] - bias[0]))
 
 
+def softmax_of(hidden: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    logits = hidden @ softmax + bias
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 def held_out(id_: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
@@ -214,11 +249,11 @@ def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return rows.groupBy("id").agg((F.avg(F.col("label").cast("double")) > 0.5).cast("int").alias("label"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> Model:
-    """Fit on the labelled rows with the smallest hash of the id, at most `most`; only these are broadcast."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, entries: int = TRAIN_ENTRIES) -> Model:
+    """Fit on the labelled rows with the smallest hash of the id, at most `most` ids and about `entries` buckets."""
     ship(docs.sparkSession)
     sample = one_label(labels, id_col, label_col).orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = own_columns(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id").select("text", "label")
+    rows = own_columns(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id").select("text", "label", F.xxhash64("id").alias("place"))
 
     def run(batches):
         claim("toxicity")
@@ -227,24 +262,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for i, j in chunks(offsets):
                 bags = Subwords(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).bags()
                 one, two = [x.astype("<u2").tobytes() for x, _ in bags], [x.astype("<f2").tobytes() for _, x in bags]
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary()), b.column(1).slice(i, j - i)], ["ids", "weights", "label"])
+                digest = [hashlib.md5(x).digest() for x in one]
+                columns = [pa.array(one, pa.binary()), pa.array(two, pa.binary()), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digest, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "weights", "label", "place", "digest"])
+
+    def learn(batches):
+        claim("toxicity")
+        bags = Bags(entries)
+        for b in batches:
+            for x, w, y in zip(b.column(0), b.column(1), b.column(2)):
+                bags.add(x.as_py(), w.as_py(), y.as_py())
+            if bags.full:  # rows come by their hash: the rest is beyond the bound
+                break
+        model = fit(*bags.arrays())
+        yield pa.RecordBatch.from_arrays([pa.array([model.value.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.learnt])], ["value", "bias", "learnt"])
 
-    found = rows.mapInArrow(run, "ids binary, weights binary, label int").toArrow()
-    bags = [(np.frombuffer(a, "<u2"), np.frombuffer(c, "<f2")) for a, c in zip(found.column("ids").to_pylist(), found.column("weights").to_pylist())]
-    order = sorted(range(len(bags)), key=lambda i: hashlib.md5(bags[i][0].data).digest())  # the same model whatever the tasks' order
-    return fit([bags[i] for i in order], np.array(found.column("label").to_pylist(), np.int64)[order] if bags else np.zeros(0, np.int64))
+    bagged = rows.mapInArrow(run, "ids binary, weights binary, label int, place long, digest binary")
+    # The same order, and so the same model, whatever the tasks are.
+    ordered = bagged.repartition(1).sortWithinPartitions("place", "digest", "label").select("ids", "weights", "label")
+    found = ordered.mapInArrow(learn, "value binary, bias double, learnt boolean").first()
+    return Model(np.frombuffer(found["value"]).copy(), found["bias"], found["learnt"]) if found else Model(np.zeros(BUCKETS), 0.0, False)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every whole text."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast((model.value, model.bias))
+    ship(docs.sparkSession)
+    own = model  # half a megabyte, sent with the function
     rows = own_columns(docs, id=id_col, text=text_col)
 
     def run(batches):
         claim("toxicity")
-        own = Model(*shared.value)
         for b in batches:
             raw, offsets = text_buffers(b.column(1))
             for i, j in chunks(offsets):
@@ -255,15 +302,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def filter_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns; no join, so no text is moved."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast((model.value, model.bias))
-    at = docs.columns.index(text_col)
+    """The rows of docs that score below the threshold, with all their columns; no join, so no text is moved. All
+    rows where the model has seen no label or one class only."""
+    if not model.learnt:
+        return docs
+    ship(docs.sparkSession)
+    own, at = model, docs.columns.index(text_col)
 
     def run(batches):
         claim("toxicity")
-        own = Model(*shared.value)
         for b in batches:
             raw, offsets = text_buffers(b.column(at))
             for i, j in chunks(offsets):
