@@ -38,9 +38,10 @@ def first_and_last(rows: DataFrame, keys: list[str], order: str, last: int) -> D
 
 
 def next_marker(rows: DataFrame, keys: list[str], order: str, marker: Column, value: Column, out: str, forward: bool = True) -> DataFrame:
-    """Add the value of the next marked row after this one (or the last one before, backward); null where none."""
-    frame = W.partitionBy(*keys).orderBy(F.asc(order) if forward else F.desc(order)).rowsBetween(1, W.unboundedFollowing)
-    return rows.withColumn(out, F.first(F.when(marker, value), ignorenulls=True).over(frame))
+    """Add the value of the next marked row after this one (or the last one before, backward); null where none. The
+    frame grows with the rows, from the far end for what follows, so each row is looked at once."""
+    frame = W.partitionBy(*keys).orderBy(F.desc(order) if forward else F.asc(order)).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn(out, F.last(F.when(marker, value), ignorenulls=True).over(frame))
 
 
 def found_on(sections: DataFrame, pages: DataFrame, title: str, text: str, keys: list[str], page: str, size: int = 30) -> DataFrame:
@@ -68,6 +69,16 @@ def valid_text(text: Column, least: int = 80, most_broken: int = 5) -> Column:
     return F.coalesce((F.length(F.trim(text)) >= least) & (broken <= most_broken), F.lit(False))
 
 
+def valid_item(item: Column, text: Column, section: Column) -> Column:
+    """An item of a section: its id and text are there, the id begins with the section's number, the text is valid."""
+    return F.coalesce((item != "") & (text != "") & item.startswith(F.concat(section.cast("string"), F.lit("."))) & valid_text(text), F.lit(False))
+
+
+def offset(rows: DataFrame, keys: list[str], order: str, start_from: Column) -> DataFrame:
+    """The rows after the first start_from ones of each key."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).filter(F.col("_n") > start_from).drop("_n")
+
+
 def success(rows: DataFrame, keys: list[str], order: str, good: Column, ratio: float = 0.8) -> DataFrame:
     """(keys, share, accepted, last_good): the share of good rows and the last good place, -1 without."""
     return rows.groupBy(*keys).agg(

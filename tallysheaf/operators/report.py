@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import clean_name
 from .hierarchy import ancestors, path
 
 
@@ -19,6 +20,34 @@ def expand_definitions(definitions: DataFrame, items: DataFrame, ids: str = "pla
     return found.join(branch, [order, "at"])
 
 
+def named_by_hierarchy(ids: DataFrame, names: DataFrame, fid: str = "fid", full: str = "full_fid", name: str = "name", order: str = "row_no") -> DataFrame:
+    """Add found: the cleaned name of the first row of the sheet whose five-level id goes on with a zero after the id.
+    Names are blank-free keys: each five-level id is met through its prefixes that a zero follows."""
+    parts = F.split(full, r"\.")
+    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.get(parts, i).startswith("0"))
+    up = names.filter(F.col(name).isNotNull()).select(F.explode(F.transform(cuts, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))).alias(fid), name, order)
+    first = up.groupBy(fid).agg(clean_name(F.min_by(name, order)).alias("found"))
+    return ids.join(first, fid, "left")
+
+
+def labelled(rows: DataFrame, starting: Column, code: Column, name: str = "name") -> DataFrame:
+    """Add label, name (STARTINGcode), and budget_id, STARTINGcode; rows without a code go."""
+    known = rows.withColumn("_code", code).filter("_code <> ''").withColumn("budget_id", F.concat(starting, "_code"))
+    return known.withColumn("label", F.concat(F.col(name), F.lit(" ("), F.col("budget_id"), F.lit(")"))).drop("_code")
+
+
+def positive(rows: DataFrame, amount: str) -> DataFrame:
+    """Report rows with an amount; null counts as none."""
+    return rows.filter(F.coalesce(F.col(amount), F.lit(0)) > 0)
+
+
+def name_counts(names: DataFrame, key: str, least: int = 10) -> DataFrame:
+    """(key, extracted, kept): names of a group, and those of some length that no other group has."""
+    kinds = names.groupBy("name").agg(F.count_distinct(key).alias("_kinds"))
+    good = (F.length("name") >= least) & (F.col("_kinds") == 1)
+    return names.join(kinds, "name").groupBy(key).agg(F.count("*").alias("extracted"), F.count_if(good).alias("kept"))
+
+
 def unreferenced(items: DataFrame, definitions: DataFrame, key: Column, ids: str = "places") -> DataFrame:
     """Chapters of items that no definition mentions."""
     used = definitions.select(F.explode(F.transform(F.split(ids, ","), lambda x: F.trim(x))).alias("top")).select(F.substring_index("top", ".", 1).alias("key")).distinct()

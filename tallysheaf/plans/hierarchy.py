@@ -123,14 +123,14 @@ def parent_synth(spark, sf):
     return H.missing_parents(filled(spark, sf))
 
 
-_ORDERS = "paths AS (SELECT concat_ws('.', n_regionkey, n_nationkey, c_custkey) AS fid, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
+_ORDERS = "paths AS (SELECT concat_ws('.', n_regionkey, n_nationkey, c_custkey) AS fid, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderpriority, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
 
 
 def order_paths(spark, sf):
     o, c, n = read(spark, sf, "orders"), read(spark, sf, "customer"), read(spark, sf, "nation")
-    joined = o.select("o_custkey", "o_totalprice", "o_orderpriority").join(c.select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")).join(n.select("n_nationkey", "n_regionkey"), F.col("n_nationkey") == F.col("c_nationkey"))
+    joined = o.select("o_custkey", "o_totalprice", "o_orderpriority", "o_orderkey").join(c.select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")).join(n.select("n_nationkey", "n_regionkey"), F.col("n_nationkey") == F.col("c_nationkey"))
     fid = F.concat_ws(".", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.col("c_custkey").cast("string"))
-    return joined.select(fid.alias("fid"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_orderpriority")
+    return joined.select(fid.alias("fid"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_orderpriority", "o_orderkey")
 
 
 @query(

@@ -17,8 +17,8 @@ _LINES = (
     f" train AS (SELECT * FROM lines WHERE year < {TEST_YEAR}), test AS (SELECT * FROM lines WHERE year >= {TEST_YEAR})"
 )
 _GUESSES = (
-    _LINES + ", a AS (SELECT ahtt, arg_min(code, priority) AS ahtt_exact FROM train WHERE ahtt % 3 <> 0 GROUP BY 1), b AS (SELECT nation, segment, arg_min(code, priority) AS name_exact FROM train WHERE nation % 4 <> 0 GROUP BY 1, 2),"
-    " c AS (SELECT region, arg_min(code, priority) AS fid_exact FROM train WHERE region <> 1 GROUP BY 1),"
+    _LINES + ", a AS (SELECT ahtt, arg_min(code, priority) AS ahtt_exact FROM train GROUP BY 1), b AS (SELECT nation, segment, arg_min(code, priority) AS name_exact FROM train GROUP BY 1, 2),"
+    " c AS (SELECT region, arg_min(code, priority) AS fid_exact FROM train GROUP BY 1),"
     " guess AS (SELECT test.*, ahtt_exact, name_exact, fid_exact FROM test LEFT JOIN a USING (ahtt) LEFT JOIN b USING (nation, segment) LEFT JOIN c USING (region))"
 )
 
@@ -42,9 +42,9 @@ def guesses(spark, sf):
     all_ = lines(spark, sf)
     train, test = all_.filter(F.col("year") < TEST_YEAR), all_.filter(F.col("year") >= TEST_YEAR)
     p = F.col("priority")
-    out = match.first_match(test, train.filter("ahtt % 3 <> 0"), ["ahtt"], "code", p, "ahtt_exact")
-    out = match.first_match(out, train.filter("nation % 4 <> 0"), ["nation", "segment"], "code", p, "name_exact")
-    return match.first_match(out, train.filter("region <> 1"), ["region"], "code", p, "fid_exact")
+    out = match.first_match(test, train, ["ahtt"], "code", p, "ahtt_exact")
+    out = match.first_match(out, train, ["nation", "segment"], "code", p, "name_exact")
+    return match.first_match(out, train, ["region"], "code", p, "fid_exact")
 
 
 @query(f"WITH {_LINES}, k AS (SELECT ahtt, arg_min(code, priority) AS guess FROM train GROUP BY 1) SELECT id, guess FROM test LEFT JOIN k USING (ahtt)")
@@ -107,12 +107,13 @@ def metric_report(spark, sf):
 
 
 @query(
-    f"WITH {_ORDERS}, k AS (SELECT regexp_replace(fid, '\\.[^.]*$', '') AS parent, o_orderpriority AS v, count(*) AS c, min(fid) AS p FROM paths GROUP BY 1, 2), b AS (SELECT parent, v, row_number() OVER (PARTITION BY parent ORDER BY c DESC, v) AS r FROM k)"
+    f"WITH {_ORDERS}, k AS (SELECT regexp_replace(fid, '\\.[^.]*$', '') AS parent, o_orderpriority AS v, count(*) AS c, min(o_orderkey) AS p FROM paths GROUP BY 1, 2), b AS (SELECT parent, v, row_number() OVER (PARTITION BY parent ORDER BY c DESC, p) AS r FROM k)"
     " SELECT fid, b.v AS mode, count(*) AS n FROM paths LEFT JOIN b ON b.parent = regexp_replace(fid, '\\.[^.]*$', '') AND r = 1 GROUP BY 1, 2"
 )
 def prefix_mode(spark, sf):
-    rows = order_paths(spark, sf).withColumn("first", F.ascii("o_orderpriority"))
-    return match.prefix_mode(rows, rows, "fid", "o_orderpriority", "first").groupBy("fid", "mode").agg(F.count("*").alias("n"))
+    """The most frequent value under the parent; of equals the one of the first order."""
+    rows = order_paths(spark, sf)
+    return match.prefix_mode(rows, rows, "fid", "o_orderpriority", "o_orderkey").groupBy("fid", "mode").agg(F.count("*").alias("n"))
 
 
 _SIM = "1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))"
@@ -126,14 +127,14 @@ def name_fuzzy(spark, sf):
 
 
 @query(
-    "WITH t AS (SELECT p_name, min(p_partkey) AS k, arg_min(p_type, p_partkey) AS v FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1), own AS (SELECT DISTINCT p_name FROM part WHERE p_brand = 'Brand#1'),"
-    f" pr AS (SELECT a.p_name, b.v, b.k, {_SIM} AS s FROM own a, t b WHERE {_SIM} > 0.2 AND a.p_name <> b.p_name OR a.p_name = b.p_name), r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY s DESC, k) AS n FROM pr)"
-    " SELECT p_partkey, v AS guess, round(s, 6) AS guess_similarity FROM part LEFT JOIN (SELECT * FROM r WHERE n = 1) USING (p_name) WHERE p_brand = 'Brand#1'"
+    "WITH h AS (SELECT *, p_size > 25 AS later FROM part), t AS (SELECT later, p_name, min(p_partkey) AS k, arg_min(p_type, p_partkey) AS v FROM h GROUP BY 1, 2), own AS (SELECT DISTINCT later, p_name FROM h),"
+    f" pr AS (SELECT a.later, a.p_name, b.v, b.k, {_SIM} AS s FROM own a JOIN t b ON b.later <> a.later WHERE {_SIM} > 0.2), r AS (SELECT *, row_number() OVER (PARTITION BY later, p_name ORDER BY s DESC, k) AS n FROM pr)"
+    " SELECT p_partkey, v AS guess, round(s, 6) AS guess_similarity FROM h LEFT JOIN (SELECT * FROM r WHERE n = 1) USING (later, p_name)"
 )
 def name_fallback(spark, sf):
-    p = read(spark, sf, "part")
-    own, other = p.filter("p_brand = 'Brand#1'").select("p_partkey", "p_name"), p.filter("p_brand <> 'Brand#1'")
-    found = match.best_similar(own, other, "p_name", "p_type", "p_partkey", 0.2, "guess")
+    """Every part against the parts of the other half of the sizes."""
+    p = read(spark, sf, "part").withColumn("later", F.col("p_size") > 25)
+    found = match.best_similar(p, p.withColumn("later", ~F.col("later")), "p_name", "p_type", "p_partkey", 0.2, "guess", ("later",))
     return found.select("p_partkey", "guess", F.round("guess_similarity", 6).alias("guess_similarity"))
 
 
@@ -144,9 +145,10 @@ def name_jw(spark, sf):
     return pairs.filter("left_name <> right_name").select("left_name", "right_name", F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY 1 HAVING count(DISTINCT p_type) = 1)")
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1)")
 def cross_group_names(spark, sf):
-    return match.single_group_names(read(spark, sf, "part"), "p_name", "p_type").select("p_partkey", "p_name")
+    """Lines of orders that have one flag only."""
+    return match.single_group_names(read(spark, sf, "lineitem"), "l_orderkey", "l_returnflag").select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
 _CONTAIN_LABEL = "CASE WHEN length(fid) % 2 = 1 AND length(fid) > 4 THEN 'F' || left(fid, 1) END"

@@ -51,6 +51,15 @@ def asof_backward(spark, sf):
     return P.next_marker(e, ["user_id"], "event_id", F.col("event_type") == "purchase", F.col("event_id"), "last_purchase", forward=False).select("event_id", "last_purchase")
 
 
+@query(
+    "SELECT doc_id, coalesce(source <> '' AND text <> '' AND starts_with(source || '.' || doc_id, 'src' || (doc_id % 20) || '.') AND length(trim(text)) >= 80 AND length(text) - length(replace(text, chr(65533), '')) <= 5, false) AS valid FROM documents"
+)
+def item_valid(spark, sf):
+    """Ids are the source and the number; the section that is asked for, a number from 0 to 19."""
+    d = read(spark, sf, "documents").withColumn("item", F.concat("source", F.lit("."), F.col("doc_id").cast("string")))
+    return d.select("doc_id", P.valid_item(F.col("item"), F.col("text"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"))).alias("valid"))
+
+
 @query("SELECT doc_id, length(trim(text)) >= 80 AND length(text) - length(replace(text, chr(65533), '')) <= 5 AS valid FROM documents")
 def text_valid(spark, sf):
     return read(spark, sf, "documents").select("doc_id", P.valid_text(F.col("text")).alias("valid"))
@@ -76,12 +85,12 @@ def whole_text(spark, sf):
 
 
 @query(
-    "WITH t AS (SELECT conv_id, turn, lower(left(text, 30)) AS k FROM conversations WHERE turn % 2 = 0) SELECT conv_id, left(t.k, 30) AS title, CAST(min(c.turn) AS BIGINT) AS first_page FROM t JOIN conversations c USING (conv_id) WHERE contains(lower(c.text), t.k) GROUP BY 1, 2"
+    "WITH t AS (SELECT conv_id, turn, lower(left(text, 30)) AS k FROM conversations) SELECT conv_id, left(t.k, 30) AS title, CAST(min(c.turn) AS BIGINT) AS first_page FROM t JOIN conversations c USING (conv_id) WHERE contains(lower(c.text), t.k) GROUP BY 1, 2"
 )
 def section_pages(spark, sf):
     """The first page of a document that has a section's title."""
     c = read(spark, sf, "conversations").withColumn("turn", F.col("turn").cast("long"))
-    titles = c.filter("turn % 2 = 0").select("conv_id", F.lower(F.left("text", F.lit(30))).alias("title")).distinct()
+    titles = c.select("conv_id", F.lower(F.left("text", F.lit(30))).alias("title")).distinct()
     return P.found_on(titles, c, "title", "text", ["conv_id"], "turn").select("conv_id", "title", "first_page")
 
 
@@ -103,11 +112,30 @@ def positional_zip(spark, sf):
 
 
 @query(
-    "WITH s AS (SELECT conv_id, role, count(*) AS page_count, min(turn) AS first FROM conversations GROUP BY 1, 2) SELECT conv_id, CAST(max(page_count) AS BIGINT) AS page_count, count(*) FILTER (role <> 'user') AS n_other FROM s GROUP BY 1"
+    "SELECT conv_id, role, CAST(max(turn) - min(turn) + 1 AS BIGINT) AS page_count, count(*) - 1 AS n_subsections FROM conversations GROUP BY 1, 2"
 )
 def section_summary(spark, sf):
-    s = read(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("page_count"))
-    return s.groupBy("conv_id").agg(F.max("page_count").alias("page_count"), F.count_if(F.col("role") != "user").alias("n_other"))
+    """A role is a section, its first turn the section's own row."""
+    c = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("section"), F.col("turn").cast("long").alias("start"))
+    first = F.row_number().over(W.partitionBy("doc_id", "section").orderBy("start")) == 1
+    found = P.section_counts(c.withColumn("end", F.col("start")).withColumn("is_main", first))
+    return found.select(F.col("doc_id").alias("conv_id"), F.col("section").alias("role"), "page_count", "n_subsections")
+
+
+@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, conv_id % 3 AS start_from FROM conversations) WHERE n > start_from")
+def offset_rows(spark, sf):
+    """The turns after as many as were done before."""
+    c = read(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"))
+    return P.offset(c, ["conv_id"], "turn", F.col("conv_id") % 3).select("conv_id", "turn")
+
+
+@query(
+    "WITH p AS (SELECT conv_id, turn, (SELECT count(*) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND length(b.text) > 100) AS done FROM conversations a) SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(done AS BIGINT) AS start_from FROM p"
+)
+def resume_pointer(spark, sf):
+    """A turn is a part, which has done one item where its text is long, else none."""
+    c = read(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.when(F.length("text") > 100, 0).otherwise(-1).alias("last_good"))
+    return P.resume_points(c, ["conv_id"], "turn", "last_good").select("conv_id", "turn", F.col("start_from").cast("long").alias("start_from"))
 
 
 @query(

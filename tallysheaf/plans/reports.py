@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import hierarchy as H
 from ..operators import report
-from .hierarchy import FILL, UP, filled
+from .hierarchy import FILL, FILLED, UP, filled
 from .registry import query, read
 
 _CELLS = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -38,12 +39,13 @@ def definitions(spark):
 
 @query(
     FILL + _DEF + ", i AS (SELECT DISTINCT fid FROM filled), f AS (SELECT d.row_no, d.name, d.idx, i.fid FROM d JOIN i ON i.fid = d.top OR starts_with(i.fid, d.top || '.')),"
-    " b AS (SELECT row_no, idx, row_number() OVER (PARTITION BY row_no ORDER BY idx) AS branch FROM (SELECT DISTINCT row_no, idx FROM f)) SELECT name, fid, branch, regexp_extract(name, '\\((.*?)\\)', 1) || printf('%02d', branch) AS budget_id FROM f JOIN b USING (row_no, idx)"
+    " b AS (SELECT row_no, idx, row_number() OVER (PARTITION BY row_no ORDER BY idx) AS branch FROM (SELECT DISTINCT row_no, idx FROM f)) SELECT name, fid, branch, regexp_extract(name, '\\((.*?)\\)', 1) || printf('%02d', branch) AS budget_id, name || ' (' || regexp_extract(name, '\\((.*?)\\)', 1) || printf('%02d', branch) || ')' AS label FROM f JOIN b USING (row_no, idx)"
 )
 def definition_items(spark, sf):
     items = filled(spark, sf).select("fid").distinct()
     rows = report.expand_definitions(definitions(spark), items)
-    return rows.select("name", "fid", F.col("branch").cast("long").alias("branch"), F.concat(X.bracketed(F.col("name")), F.format_string("%02d", "branch")).alias("budget_id"))
+    rows = report.labelled(rows, X.bracketed(F.col("name")), F.format_string("%02d", "branch"))
+    return rows.select("name", "fid", F.col("branch").cast("long").alias("branch"), "budget_id", "label")
 
 
 @query(FILL + _DEF + " SELECT DISTINCT CAST(f_s1 AS VARCHAR) AS key FROM filled WHERE CAST(f_s1 AS VARCHAR) NOT IN (SELECT string_split(top, '.')[1] FROM d)")
@@ -51,10 +53,37 @@ def unreferenced_chapters(spark, sf):
     return report.unreferenced(filled(spark, sf), definitions(spark), F.col("f_s1"))
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def unmatched_dim(spark, sf):
-    c = read(spark, sf, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
-    return read(spark, sf, "nation").join(c, "n_nationkey", "left_anti").select("n_name")
+    """Parts that no large line has."""
+    lines = read(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return read(spark, sf, "part").join(lines, "p_partkey", "left_anti").select("p_partkey", "p_name")
+
+
+@query(
+    FILL + ", names AS (SELECT concat_ws('.', " + ", ".join(FILLED) + ") AS full_fid, event_type || '  ' || event_id AS name, event_id FROM filled WHERE event_type <> 'error'), ids AS (SELECT DISTINCT fid FROM filled)"
+    " SELECT ids.fid, replace(replace(arg_min(name, event_id), chr(10), ' '), '  ', ' ') AS found FROM ids LEFT JOIN names ON starts_with(full_fid, ids.fid || '.0') GROUP BY 1"
+)
+def hierarchy_names(spark, sf):
+    """The first name whose five-level id goes on with a zero after an id."""
+    rows = filled(spark, sf)
+    name = F.when(F.col("event_type") != "error", F.concat("event_type", F.lit("  "), F.col("event_id").cast("string")))
+    names = rows.select(H.dotted([F.col(c) for c in FILLED], collapse=False).alias("full_fid"), name.alias("name"), F.col("event_id").alias("row_no"))
+    return report.named_by_hierarchy(rows.select("fid").distinct(), names).select("fid", "found")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE coalesce(c_acctbal, 0) > 0")
+def positive_rows(spark, sf):
+    return report.positive(read(spark, sf, "customer"), "c_acctbal").select("c_custkey", "c_acctbal")
+
+
+@query(
+    "WITH n AS (SELECT lang AS code, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS name FROM documents), k AS (SELECT name, count(DISTINCT code) AS kinds FROM n GROUP BY 1)"
+    " SELECT code, count(*) AS extracted, count(*) FILTER (length(name) >= 10 AND kinds = 1) AS kept FROM n JOIN k USING (name) GROUP BY 1"
+)
+def name_counts(spark, sf):
+    names = read(spark, sf, "documents").select(F.col("lang").alias("code"), F.substring_index("text", " ", 2).alias("name"))
+    return report.name_counts(names, "code")
 
 
 @query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN o_orderstatus <> 'P' THEN o_custkey END ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1 OR o_orderstatus = 'P'")
@@ -95,11 +124,12 @@ def unknown_codes(spark, sf):
     return read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("code")).distinct().join(F.broadcast(known), "code", "left_anti")
 
 
-@query()
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL ORDER BY md5(o_orderkey || ':42'), o_orderkey LIMIT 100")
 def seeded_sample(spark, sf):
-    """A hundred rows by a hash of the key: the same ones on every run."""
+    """A hundred rows by a hash of the key and the seed: the same ones on every run."""
     o = read(spark, sf, "orders").filter("o_orderpriority IS NOT NULL")
-    return o.orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(100).select("o_orderkey", "o_orderpriority")
+    place = F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(":42")))
+    return o.orderBy(place, "o_orderkey").limit(100).select("o_orderkey", "o_orderpriority")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.stem import stem_words
 from ..operators import textmodel as M
+from ..sources.readers import html_rows
 from .registry import query, read
 
 TEST = ["src15", "src16", "src17", "src18", "src19"]
@@ -50,7 +51,7 @@ def ctfidf_class(spark, sf):
     f"WITH {_WORDS}, c AS (SELECT lang, term, sum(tf) AS tf FROM tf WHERE source NOT IN ({_TEST_SQL}) GROUP BY 1, 2), t AS (SELECT term, sum(tf) AS a FROM c GROUP BY 1), s AS (SELECT lang, sum(tf) AS s FROM c GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents WHERE source NOT IN ({_TEST_SQL})),"
     " k AS (SELECT c.lang AS cls, term, tf / s * ln(n / a) AS weight FROM c JOIN t USING (term) JOIN s USING (lang), n), q AS (SELECT doc_id, term, tf * ln(n / a) AS x FROM tf JOIN t USING (term), n WHERE source IN (" + _TEST_SQL + ")),"
     " dn AS (SELECT doc_id, sqrt(sum(x * x)) AS dn FROM q GROUP BY 1), cn AS (SELECT cls, sqrt(sum(weight * weight)) AS cn FROM k GROUP BY 1), dot AS (SELECT doc_id, cls, sum(x * weight) AS dot FROM q JOIN k USING (term) GROUP BY 1, 2),"
-    " cs AS (SELECT doc_id, cls, round(dot / (dn * cn), 6) AS cosine FROM dot JOIN dn USING (doc_id) JOIN cn USING (cls) WHERE dn > 0 AND cn > 0), b AS (SELECT doc_id, arg_max(cls, cosine) AS predicted, max(cosine) AS cosine FROM cs GROUP BY 1)"
+    " cs AS (SELECT doc_id, cls, round(dot / (dn * cn), 6) AS cosine FROM dot JOIN dn USING (doc_id) JOIN cn USING (cls) WHERE dn > 0 AND cn > 0), b AS (SELECT doc_id, cls AS predicted, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, cls) AS r FROM cs) WHERE r = 1)"
     " SELECT doc_id, predicted, cosine, cosine >= 0.18 AS accepted, predicted = lang AS is_correct FROM b JOIN documents USING (doc_id)"
 )
 def ctfidf_predict(spark, sf):
@@ -60,39 +61,40 @@ def ctfidf_predict(spark, sf):
     n = train.count()
     idf = counts.groupBy("term").agg(F.log(F.lit(float(n)) / F.sum("tf")).alias("idf"))
     found = M.cosine_to_classes(M.term_counts(test, ["doc_id"], "text", pairs=False), "doc_id", M.class_tfidf(counts, "cls", n), "cls", idf)
-    best = found.withColumn("cosine", F.round("cosine", 6)).groupBy("doc_id").agg(F.max(F.struct("cosine", "cls")).alias("b"))
+    first = F.struct(-F.col("cosine"), "cls")  # of equals the first class
+    best = found.withColumn("cosine", F.round("cosine", 6)).groupBy("doc_id").agg(F.min_by(F.struct("cosine", "cls"), first).alias("b"))
     return best.join(test.select("doc_id", "lang"), "doc_id").select("doc_id", F.col("b.cls").alias("predicted"), F.col("b.cosine").alias("cosine"), (F.col("b.cosine") >= 0.18).alias("accepted"), (F.col("b.cls") == F.col("lang")).alias("is_correct"))
 
 
 @query(
     f"WITH {_WORDS}, df AS (SELECT term, count(*) AS df FROM tf WHERE source NOT IN ({_TEST_SQL}) GROUP BY 1), n AS (SELECT count(*) AS n FROM documents WHERE source NOT IN ({_TEST_SQL})), w AS (SELECT doc_id, source, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM tf JOIN df USING (term), n),"
-    f" z AS (SELECT doc_id, source IN ({_TEST_SQL}) AS test, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS v FROM w), p AS (SELECT a.doc_id, b.doc_id AS nearest, round(sum(a.v * b.v), 6) AS cosine FROM z a JOIN z b USING (term) WHERE a.test AND NOT b.test GROUP BY 1, 2 HAVING round(sum(a.v * b.v), 6) > 0.45)"
-    " SELECT doc_id, nearest, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, nearest) AS r FROM p) WHERE r = 1"
+    f" z AS (SELECT doc_id, source IN ({_TEST_SQL}) AS test, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS v FROM w), p AS (SELECT a.doc_id, b.doc_id AS nearest, sum(a.v * b.v) AS cosine FROM z a JOIN z b USING (term) WHERE a.test AND NOT b.test GROUP BY 1, 2 HAVING sum(a.v * b.v) > 0.45)"
+    " SELECT doc_id, nearest, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(cosine, 12) DESC, nearest) AS r FROM p) WHERE r = 1"
 )
 def cosine_nn(spark, sf):
     docs = read(spark, sf, "documents")
-    counts = M.term_counts(docs, ["doc_id", "source"], "text", pairs=False)
-    train = counts.filter(~F.col("source").isin(TEST))
-    weights = M.tfidf(counts.drop("source"), "doc_id", docs.filter(~F.col("source").isin(TEST)).count(), train)
-    sources = docs.select("doc_id", F.col("source").isin(TEST).alias("test"))
-    placed = weights.join(sources, "doc_id")
-    return M.nearest(placed.filter("test"), placed.filter("NOT test"), "doc_id", 0.45)
+    test = F.col("source").isin(TEST)
+    counts = M.term_counts(docs.withColumn("test", test), ["doc_id", "test"], "text", pairs=False)
+    n = docs.filter(~test).count()
+    weights = M.tfidf(counts, "doc_id", n, counts.filter("NOT test"), carry=["test"])
+    return M.nearest(weights.filter("test"), weights.filter("NOT test"), "doc_id", 0.45).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(
-    "WITH t AS (SELECT lang, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY 1) SELECT lang, length(text) AS n_chars, md5(text) AS digest FROM t"
+    "WITH t AS (SELECT lang, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY 1), w AS (SELECT lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM t),"
+    " x AS (SELECT lang, unnest(list_concat(w, list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda p: p[1] || ' ' || p[2]))) AS term FROM w) SELECT lang, term, count(*) AS tf FROM x GROUP BY 1, 2"
 )
 def class_text(spark, sf):
-    """All texts of a class in order, as one text."""
-    docs = read(spark, sf, "documents")
-    joined = docs.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return joined.select("lang", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+    """Words and pairs of all texts of a class, joined in order, with those over the joints."""
+    return M.class_terms(read(spark, sf, "documents"), ["lang"], "text", ["doc_id"])
 
 
 @query("SELECT page_id, i AS place, trim(regexp_replace(x, '<[^>]*>', '', 'g')) AS cell FROM (SELECT page_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS l FROM pages))")
 def html_cells(spark, sf):
-    cells = read(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<li>(.*?)</li>"), F.lit(1))).alias("i", "x"))
-    return cells.select("page_id", (F.col("i") + 1).cast("long").alias("place"), F.trim(F.regexp_replace("x", "<[^>]*>", "")).alias("cell"))
+    """The pages have lists instead of tables: a list is a row, its items the cells."""
+    rows = html_rows(read(spark, sf, "pages"), "page_id", "html", table="body", row="ul", cells=("li",))
+    cells = rows.select(F.col("page_id"), F.posexplode("cells").alias("i", "cell"))
+    return cells.select("page_id", (F.col("i") + 1).cast("long").alias("place"), "cell")
 
 
 @query(

@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import parse_amount
+from ..functions.text import parse_amount, title_tail
 from ..operators import hierarchy as H
-from ..operators import report
 from . import schema
 
 
@@ -52,9 +51,12 @@ def normalised(rows: DataFrame, year: int, skip_first: bool = False) -> DataFram
 
 
 def dataset(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """One row a leaf and year in the canonical columns: functions inherited, neighbours deduped, leaves summed."""
+    """One row a leaf and year in the canonical columns: functions inherited, neighbours deduped, leaves summed. texts
+    have a column year where rows have several years: each year has explanations of its own."""
+    if texts is not None and "year" not in texts.columns and rows.select("year").distinct().limit(2).count() > 1:
+        raise ValueError("rows have several years: the texts need a column year")
     levels = [f"f_s{i}" for i in range(1, 6)]
-    chapters = rows.filter("name IS NOT NULL").groupBy("year", F.col("f_s1").alias("section")).agg(F.min_by("name", "row_no").alias("section_name"))
+    chapters = rows.filter("name IS NOT NULL").groupBy("year", F.col("f_s1").alias("section")).agg(title_tail(F.min_by("name", "row_no")).alias("section_name"))
     per_year = F.concat(F.col("year").cast("string"), F.lit("."), F.col("fid"))
     labelled = H.inherit(rows.withColumn("_key", per_year), "function", "_key", "row_no").drop("_key", "function").withColumnRenamed("inherited", "function")
     kept = H.neighbour_dedup(labelled, ["year"], "row_no", levels).select("year", "fid").distinct()
@@ -65,16 +67,20 @@ def dataset(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     if texts is None:
         out = out.withColumn("indoklas", F.lit(None).cast("string"))
     else:
-        good = texts.filter(~F.col("text").rlike("Nincs indoklás|The justification"))
-        out = out.join(report.keep_first(good, "id", ["text"]).select(F.col("id").alias("fid"), F.col("text").alias("indoklas")), "fid", "left")
+        good = texts.filter(~F.col("text").rlike("Nincs indoklás|The justification")).withColumnRenamed("id", "fid")
+        on = [c for c in ("year", "fid") if c in good.columns]
+        order = "row_no" if "row_no" in good.columns else "text"  # the first text of an id
+        out = out.join(good.groupBy(*on).agg(F.min_by("text", order).alias("indoklas")), on, "left")
     section = F.col("section").cast("string").alias("section")
     return out.select("year", section, "section_name", F.col("ahtt").alias("ÁHT-T"), "fid", "function", "name", "indoklas", *schema.AMOUNTS)
 
 
-def texts(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text) from a CSV whose first column is the id, whatever its name; ids stay text."""
+def texts(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
+    """(id, text, row_no[, year]) from a CSV whose first column is the id, whatever its name; ids stay text, row_no
+    rises with the lines of a file."""
     rows = spark.read.schema(schema.TEXTS).csv(path, header=True, multiLine=True, escape='"', enforceSchema=True)
-    return rows.filter("id IS NOT NULL")
+    rows = rows.withColumn("row_no", F.monotonically_increasing_id()).filter("id IS NOT NULL")
+    return rows if year is None else rows.withColumn("year", F.lit(int(year)))
 
 
 def semicolon_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -109,27 +115,28 @@ def optional(spark: SparkSession, read: Callable[[], DataFrame], columns: str) -
 
 
 class _Cells(HTMLParser):
-    """Rows of cells of the first table, or of all tables."""
+    """Rows of cells of all tables; what a table, a row and a cell are is given by their tags."""
 
-    def __init__(self):
+    def __init__(self, table="table", row="tr", cells=("td", "th")):
         super().__init__(convert_charrefs=True)
+        self.table, self.row_tag, self.cells = table, row, cells
         self.rows, self.row, self.cell, self.depth = [], None, None, 0
 
     def handle_starttag(self, tag, attrs):
-        self.depth += tag == "table"
-        if tag == "tr" and self.depth:
+        self.depth += tag == self.table
+        if tag == self.row_tag and self.depth:
             self.close_row()
             self.row = []
-        elif tag in ("td", "th") and self.row is not None:
+        elif tag in self.cells and self.row is not None:
             self.close_cell()
             self.cell = []
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th"):
+        if tag in self.cells:
             self.close_cell()
-        elif tag == "tr" or tag == "table":
+        elif tag in (self.row_tag, self.table):
             self.close_row()
-            self.depth -= tag == "table"
+            self.depth -= tag == self.table
 
     def handle_data(self, data):
         if self.cell is not None:
@@ -148,7 +155,7 @@ class _Cells(HTMLParser):
         self.row = None
 
 
-def html_rows(pages: DataFrame, page_no: str = "page_no", html: str = "html") -> DataFrame:
+def html_rows(pages: DataFrame, page_no: str = "page_no", html: str = "html", table: str = "table", row: str = "tr", cells: tuple[str, ...] = ("td", "th")) -> DataFrame:
     """(page_no, row_no, cells) of the tables in fetched pages. Pages come as a table: fetching is not the engine's."""
 
     def run(frames):
@@ -156,15 +163,15 @@ def html_rows(pages: DataFrame, page_no: str = "page_no", html: str = "html") ->
 
         for f in frames:
             out = []
-            for n, h in zip(f["page_no"], f["html"]):
-                p = _Cells()
+            for n, h in zip(f[page_no], f["html"]):
+                p = _Cells(table, row, cells)
                 p.feed(h or "")
                 p.close_row()
                 out += [(n, i + 1, r) for i, r in enumerate(p.rows)]
-            yield pd.DataFrame(out, columns=["page_no", "row_no", "cells"])
+            yield pd.DataFrame(out, columns=[page_no, "row_no", "cells"])
 
-    rows = pages.select(F.col(page_no).cast("long").alias("page_no"), F.col(html).alias("html"))
-    return rows.mapInPandas(run, "page_no long, row_no long, cells array<string>")
+    rows = pages.select(F.col(page_no).cast("long").alias(page_no), F.col(html).alias("html"))
+    return rows.mapInPandas(run, f"{page_no} long, row_no long, cells array<string>")
 
 
 def pdf_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:

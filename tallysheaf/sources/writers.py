@@ -16,15 +16,19 @@ def json_lines(rows: DataFrame, path: str, by: str | None = None) -> None:
     (rows.write.partitionBy(by) if by else rows.write).json(path)
 
 
-def headless_csv(rows: DataFrame, first: Column, path: str) -> None:
-    """CSV with ; without a header, with one more column in front; arrays become columns of their own."""
+def headless_csv(rows: DataFrame, first: Column, path: str, widths: dict[str, int] | None = None) -> None:
+    """CSV with ; without a header, with one more column in front; arrays become columns of their own, as many as
+    widths says. Widths that are not given are measured, all in one job."""
+    arrays = [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+    widths = dict(widths or {})
+    if unknown := [a for a in arrays if a not in widths]:
+        widths |= rows.agg(*[F.coalesce(F.max(F.size(F.col(f"`{a}`"))), F.lit(0)).alias(a) for a in unknown]).first().asDict()
     columns = [first.cast("string").alias("_first")]
     for f in rows.schema:
-        if f.dataType.typeName() == "array":
-            size = rows.agg(F.max(F.size(f.name))).first()[0] or 0
-            columns += [F.try_element_at(F.col(f.name), F.lit(i + 1)).alias(f"{f.name}_{i}") for i in range(size)]
+        if f.name in arrays:
+            columns += [F.try_element_at(F.col(f"`{f.name}`"), F.lit(i + 1)).alias(f"{f.name}_{i}") for i in range(max(0, widths[f.name]))]
         else:
-            columns.append(F.col(f.name))
+            columns.append(F.col(f"`{f.name}`"))
     rows.select(*columns).write.csv(path, header=False, sep=";", escape='"')
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallysheaf.functions import stem as S
 from tallysheaf.functions import text as X
-from tallysheaf.operators import evaluate, lawtable, match, textmodel
+from tallysheaf.operators import evaluate, lawtable, match, report, textmodel
 from tallysheaf.operators import pages as P
 
 
@@ -165,3 +165,95 @@ def test_law_table_rows(spark):
     assert got[4]["nums"] == [1, 0, 2, 0, 0, 0] and got[4]["name"] == "Név" and got[4]["amounts"] == [1234.5, 2.0, 0.0, 3.0, 4.0]
     ch = lawtable.chapters(lawtable.classify_rows(spark.createDataFrame(rows, "n int, cells array<string>")), "n").first()
     assert (ch["start_idx"], ch["number"], ch["title"]) == (1, "I", "ORSZÁGGYŰLÉS")
+
+
+def test_jaro_winkler_pairs_lose_nothing(spark):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 14))) for _ in range(150)] + ["a", "b", "ab", "martha", "marhta", "aaaa", "aaaaa"]
+    df = spark.createDataFrame([(n,) for n in names] + [(None,), ("",)], "x string")
+    for above in (0.9, 0.85):
+        got = {(r["x"], r["y"]) for r in match.jaro_winkler_pairs(df, df.withColumnRenamed("x", "y"), "x", "y", above).collect()}
+        assert got == {(a, b) for a in names for b in names if S.jaro_winkler(a, b) > above}
+
+
+def test_best_similar_equals_all_pairs(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 9)))
+    known, own = [(word(), f"v{i}", i) for i in range(60)], [word() for _ in range(60)]
+    got = match.best_similar(spark.createDataFrame([(w,) for w in own], "name string"), spark.createDataFrame(known, "name string, code string, p int"), "name", "code", "p", 0.2, "g")
+    for r in got.collect():
+        alike = sorted((-(1 - distance(r["name"], n) / max(len(r["name"]), len(n))), p, v) for n, v, p in known)
+        assert r["g"] == (alike[0][2] if -alike[0][0] > 0.2 else None)
+
+
+def test_mode_counts_all_depths_below_the_parent(spark):
+    train = spark.createDataFrame([("1.2", "A", 0), ("1.3.1", "B", 1), ("1.3.2.5", "B", 2), ("2", "C", 3), ("21.1", "C", 4)], "fid string, v string, p int")
+    rows = spark.createDataFrame([("1.9",), ("1.3.9",), ("2.7",), ("2",)], "fid string")
+    assert {r["fid"]: r["mode"] for r in match.prefix_mode(rows, train, "fid", "v", "p").collect()} == {"1.9": "B", "1.3.9": "B", "2.7": None, "2": None}
+
+
+def test_nearest_equals_all_cosines(spark):
+    rng = random.Random(12)
+    pool = [f"t{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choice(pool[: rng.choice([6, 15, 40])]) for _ in range(rng.randrange(1, 12)))) for i in range(120)] + [(200, ""), (201, "t1 t2"), (202, "t1 t2"), (203, "t1 t2")]
+    counts = textmodel.term_counts(spark.createDataFrame(docs, "d int, t string"), ["d"], "t", pairs=False)
+    train = counts.filter("d % 3 = 0")
+    weights = textmodel.tfidf(counts, "d", 41, train)
+    by = {}
+    for r in weights.collect():
+        by.setdefault(r["d"], {})[r["term"]] = r["weight"]
+    for above in (0.45, 0.8):
+        want = {}
+        for a, x in by.items():
+            if a % 3:
+                near = sorted((-round(sum(w * y.get(t, 0) for t, w in x.items()), 12), b) for b, y in by.items() if b % 3 == 0)
+                if near and -near[0][0] > above:
+                    want[a] = near[0][1]
+        got = {r["d"]: r["nearest"] for r in textmodel.nearest(weights.filter("d % 3 > 0"), weights.filter("d % 3 = 0"), "d", above).collect()}
+        assert got == want and len(want) > 5
+
+
+def test_class_terms_equal_the_joined_text(spark):
+    rng = random.Random(2)
+    docs = [(i, rng.choice("xy"), " ".join(rng.choice(["az", "alma", "a", "fa", "és", "ág"]) for _ in range(rng.randrange(5)))) for i in range(60)] + [(99, "x", None)]
+    df = spark.createDataFrame(docs, "i int, c string, t string").repartition(5)
+    for stop in (None, ["az", "és"]):
+        want = {}
+        for c in "xy":
+            w = [x for x in " ".join(t or "" for _, k, t in docs if k == c).split() if len(x) > 1 and x not in (stop or [])]
+            for term in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]:
+                want[(c, term)] = want.get((c, term), 0) + 1
+        assert {(r["c"], r["term"]): r["tf"] for r in textmodel.class_terms(df, ["c"], "t", ["i"], stop).collect()} == want
+
+
+def test_stop_words_are_those_of_spark(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    assert len(S.STOP_WORDS) == 199 and sorted(S.STOP_WORDS) == sorted(StopWordsRemover.loadDefaultStopWords("hungarian"))
+
+
+def test_next_markers_and_offsets(spark):
+    rows = spark.createDataFrame([(1, i, i in (3, 6)) for i in range(1, 9)], "k int, i int, m boolean")
+    forward = P.next_marker(rows, ["k"], "i", F.col("m"), F.col("i"), "x")
+    assert [r["x"] for r in forward.orderBy("i").collect()] == [3, 3, 6, 6, 6, None, None, None]
+    backward = P.next_marker(rows, ["k"], "i", F.col("m"), F.col("i"), "x", forward=False)
+    assert [r["x"] for r in backward.orderBy("i").collect()] == [None, None, None, 3, 3, 3, 6, 6]
+    assert "UnboundedFollowing" not in forward._jdf.queryExecution().toString()
+    assert [r["i"] for r in P.offset(rows, ["k"], "i", F.lit(6)).collect()] == [7, 8]
+
+
+def test_valid_items(spark):
+    long = "x" * 80
+    rows = spark.createDataFrame([("3.1", long, True), ("31.1", long, False), (None, long, False), ("", long, False), ("3.1", None, False), ("3.1", "", False), ("3.2", "x" * 79, False), ("3.3", long + "�" * 6, False)], "id string, t string, ok boolean")
+    assert rows.filter(P.valid_item(F.col("id"), F.col("t"), F.lit(3)) != F.col("ok")).count() == 0
+
+
+def test_report_helpers(spark):
+    ids = spark.createDataFrame([("1",), ("1.2",), ("1.2.3",), ("9",)], "fid string")
+    names = spark.createDataFrame([("1.0.0.0.0", "One\nline", 1), ("1.0.0.0.0", "later", 2), ("1.2.0.0.0", None, 3), ("1.2.0.0.0", "Two  words", 4), ("1.2.3.4.5", "no", 5)], "full_fid string, name string, row_no int")
+    assert {r["fid"]: r["found"] for r in report.named_by_hierarchy(ids, names).collect()} == {"1": "One line", "1.2": "Two words", "1.2.3": None, "9": None}
+    got = report.labelled(spark.createDataFrame([("a", "01"), ("b", ""), ("c", None)], "name string, code string"), F.lit("K1"), F.col("code")).collect()
+    assert [(r["label"], r["budget_id"]) for r in got] == [("a (K101)", "K101")]
+    assert report.positive(spark.createDataFrame([(1.0,), (0.0,), (-1.0,), (None,)], "x double"), "x").count() == 1
+    n = spark.createDataFrame([("F1", "a long enough name"), ("F1", "short"), ("F2", "in two functions"), ("F1", "in two functions")], "code string, name string")
+    assert {r["code"]: (r["extracted"], r["kept"]) for r in report.name_counts(n, "code").collect()} == {"F1": (3, 1), "F2": (1, 0)}

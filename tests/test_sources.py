@@ -19,7 +19,7 @@ def write(path, text):
 
 def test_sheet_to_dataset(spark, tmp_path):
     head = "row_no,FEJEZET,CIM,ALCIM,JOGCIM1,JOGCIM2,MEGNEVEZÉS,ÁHT-T,Funkció,Működési kiadás,Működési bevétel,Felhalmozási kiadás,Felhalmozási bevétel\n"
-    body = ["1,1,,,,,ORSZÁGGYŰLÉS,,F01.a,,,,", "2,1.0,1,,,,Hivatal,7,,,,,", "3,1,,1,,,Bér,8,,\"1 234,5\",,2,", "4,1,,2,,,Ház,9,F02,3,1,,", "5,1,2,,,,Egyéb,,,4,,,", "6,,,,,,nincs,,,9,,,", "7,2,,,,,VÉG,,,1,,,"]
+    body = ["1,1,,,,,ORSZÁGGYŰLÉS NAGY háza,,F01.a,,,,", "2,1.0,1,,,,Hivatal,7,,,,,", "3,1,,1,,,Bér,8,,\"1 234,5\",,2,", "4,1,,2,,,Ház,9,F02,3,1,,", "5,1,2,,,,Egyéb,,,4,,,", "6,,,,,,nincs,,,9,,,", "7,2,,,,,VÉG,,,1,,,"]
     path = write(tmp_path / "s.csv", head + "\n".join(body) + "\n")
     rows = readers.normalised(readers.sheet(spark, path, 2019), 2019)
     assert [r["fid"] for r in rows.orderBy("row_no").collect()] == ["1", "1.1", "1.1.1", "1.1.2", "1.2", "2"]
@@ -27,7 +27,20 @@ def test_sheet_to_dataset(spark, tmp_path):
     got = {r["fid"]: r for r in readers.dataset(rows, texts).collect()}
     assert set(got) == {"1.1.1", "1.1.2", "1.2"}
     assert got["1.1.1"]["spending"] == 1234.5 and got["1.1.1"]["function"] == "F01.a" and got["1.1.2"]["function"] == "F02"
-    assert got["1.1.2"]["indoklas"] == "több\nsor, vessző" and got["1.1.1"]["indoklas"] is None and got["1.2"]["section_name"] == "ORSZÁGGYŰLÉS"
+    assert got["1.1.2"]["indoklas"] == "több\nsor, vessző" and got["1.1.1"]["indoklas"] is None and got["1.2"]["section_name"] == "ORSZÁGGYŰLÉS Nagy Háza"
+
+
+def test_texts_belong_to_their_year(spark, tmp_path):
+    head = "row_no,FEJEZET,CIM,ALCIM,JOGCIM1,JOGCIM2,MEGNEVEZÉS,ÁHT-T,Funkció,Működési kiadás,Működési bevétel,Felhalmozási kiadás,Felhalmozási bevétel\n"
+    body = ["1,1,,,,,FEJEZET,,F01.a,,,,", "2,1,1,,,,Hivatal,7,,1,,,", "3,1,2,,,,Bér,8,,2,,,", "4,2,,,,,VÉG,,,1,,,"]
+    path = write(tmp_path / "s.csv", head + "\n".join(body) + "\n")
+    rows = readers.normalised(readers.sheet(spark, path, 2018), 2018).unionByName(readers.normalised(readers.sheet(spark, path, 2019), 2019))
+    one = readers.texts(spark, write(tmp_path / "a.csv", "fid,text\n1.1,zebra első\n1.1,alma második\n"), 2018)
+    two = readers.texts(spark, write(tmp_path / "b.csv", "fid,text\n1.1,másik év\n"), 2019)
+    got = {(r["year"], r["fid"]): r["indoklas"] for r in readers.dataset(rows, one.unionByName(two)).collect()}
+    assert got == {(2018, "1.1"): "zebra első", (2018, "1.2"): None, (2019, "1.1"): "másik év", (2019, "1.2"): None}
+    with pytest.raises(ValueError):
+        readers.dataset(rows, one.drop("year"))
 
 
 def test_json_and_optional(spark, tmp_path):
