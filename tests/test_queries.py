@@ -46,3 +46,22 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if os.path.isdir(SF):
         assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_optional_parts(monkeypatch):
+    """What cannot be imported is left out, whether it is missing or broken."""
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    for gone in ("tallysheaf.llm.queries", "tallysheaf.llm", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, gone, None)
+    if hasattr(sys.modules["tallysheaf"], "llm"):
+        monkeypatch.delattr(sys.modules["tallysheaf"], "llm")
+    try:
+        bare = importlib.reload(entry)
+        assert set(bare.queries()) == set(plans.queries()) and set(bare.oracle_sql()) == set(plans.oracle_sql())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
