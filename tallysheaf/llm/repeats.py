@@ -32,6 +32,7 @@ from .common import byte_chunks, claim, mix, own_columns, powers, rolling, ship,
 MIN = 50
 GRAM = 25
 #: The Bloom filter that tells the second pass which minimisers to extend: bits a minimiser, and 1 to 64 MB in all.
+#: Beyond that the places of each text are joined to it.
 BITS_EACH, LEAST_BITS, MOST_BITS = 12, 1 << 23, 1 << 29
 SHIFTS = (0, 17, 34)
 LAST = np.iinfo(np.int64).max
@@ -171,12 +172,12 @@ def compare_neighbours(batches):
         yield work(held, True)
 
 
-def windows(texts: DataFrame, shared: Broadcast) -> DataFrame:
-    """(w, id, h, s): the windows of all minimisers whose bit is set."""
+def windows(texts: DataFrame, shared: Broadcast | None = None) -> DataFrame:
+    """(w, id, h, s): the windows of all minimisers whose bit is set, or else whose place is in the column places."""
 
     def run(batches):
         claim("repeats")
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits = np.frombuffer(shared.value, np.uint8) if shared else np.zeros(1, np.uint8)
         mask = len(bits) * 8 - 1
         for rows, raw, offsets in byte_chunks(batches):
             m = Minimisers(raw, offsets)
@@ -185,10 +186,15 @@ def windows(texts: DataFrame, shared: Broadcast) -> DataFrame:
             ids, h = ids_of(rows.column(0)), rows.column(2).to_numpy()
             p = m.place - m.start
             x = (h[m.text] ^ (p << 7) ^ (p << 24) ^ (p << 41)).view(np.uint64)
-            on = np.ones(len(x), bool)
-            for shift in SHIFTS:
-                bit = (x >> np.uint64(shift)).astype(np.int64) & mask
-                on &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) == 1
+            if shared:
+                on = np.ones(len(x), bool)
+                for shift in SHIFTS:
+                    bit = (x >> np.uint64(shift)).astype(np.int64) & mask
+                    on &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) == 1
+            else:
+                lists = rows.column(3)
+                of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                on = np.isin(m.text << 32 | p, of << 32 | lists.flatten().to_numpy(zero_copy_only=False))
             on = np.flatnonzero(on)
             if len(on):
                 size = (m.last - m.first + 1)[on]
@@ -200,11 +206,10 @@ def windows(texts: DataFrame, shared: Broadcast) -> DataFrame:
     return texts.mapInArrow(run, "w long, id long, h long, s int")
 
 
-def bits_of(rows: DataFrame) -> bytes:
-    """A Bloom filter of (h, p) on the driver: BITS_EACH bits a row, within LEAST_BITS and MOST_BITS. A row that
-    is in it by chance is extended too, which changes no result."""
-    n = rows.count()
-    bits = min(max(LEAST_BITS, 1 << max(0, BITS_EACH * n - 1).bit_length()), MOST_BITS)
+def bits_of(rows: DataFrame, n: int) -> bytes:
+    """A Bloom filter of (h, p) of n rows on the driver: BITS_EACH bits a row, LEAST_BITS at least. A row that is in
+    it by chance is extended too, which changes no result."""
+    bits = max(LEAST_BITS, 1 << max(0, BITS_EACH * n - 1).bit_length())
     p = F.col("p").cast("long")
     x = F.col("h").bitwiseXOR(F.shiftleft(p, 7)).bitwiseXOR(F.shiftleft(p, 24)).bitwiseXOR(F.shiftleft(p, 41))
     spots = F.array(*[F.shiftrightunsigned(x, s).bitwiseAND(bits - 1) for s in SHIFTS])
@@ -225,9 +230,16 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ordered = found.repartitionByRange(parts, "gram", "suffix", "id", "h").sortWithinPartitions("gram", "suffix", "id", "h", "p")
     compared = stage(ordered.mapInArrow(compare_neighbours, "id long, h long, p int, a int, b int, kind int"), "neighbours")
     direct = compared.filter(f"kind & {REPEATS} > 0").select("id", "h", F.col("a").alias("a"), (F.col("b") + MIN).alias("b"), F.expr(f"kind & {GOES} > 0").alias("goes"))
-    shared = docs.sparkSession.sparkContext.broadcast(bits_of(compared.filter(f"kind & {EXTEND} > 0")))
-    extended = stage(windows(texts, shared), "windows")
-    shared.destroy()
+    extend = compared.filter(f"kind & {EXTEND} > 0")
+    n = extend.count()
+    if BITS_EACH * n <= MOST_BITS:
+        shared = docs.sparkSession.sparkContext.broadcast(bits_of(extend, n))
+        extended = stage(windows(texts, shared), "windows")
+        shared.destroy()
+    else:
+        places = extend.groupBy("id", "h").agg(F.collect_set("p").alias("places"))  # of one text
+        keyed = texts.withColumn("id", F.coalesce("id", F.lit(int(LAST))))
+        extended = stage(windows(keyed.join(places, ["id", "h"]).select("id", "text", "h", "places")), "windows")
     who = F.struct("id", "h")
     seen = extended.groupBy("w").agg(F.min(who).alias("least"), F.max(who).alias("most")).filter("least != most").select("w", "least")
     more = skew_join(extended, seen, "w").select("id", "h", F.col("s").alias("a"), (F.col("s") + MIN).alias("b"), (who != F.col("least")).alias("goes"))
