@@ -40,6 +40,8 @@ def join_components(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components after more links."""
     if comps is None:
         return stage(components(links), "comps")
+    if links.isEmpty():
+        return comps
     a, b = links.columns[:2]
     ends = with_component(with_component(links.select(a, b), comps, a, "ca"), comps, b, "cb")
     merged = components(ends.select("ca", "cb")).select(F.col("id").alias("comp"), F.col("comp").alias("top"))

@@ -131,7 +131,9 @@ def signatures(docs: DataFrame, shared: Broadcast, k: int, num: int, den: int) -
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Sets are made again from the texts of these ids only."""
+    """The pairs (a, b) whose sets link; pairs are staged. Sets are made again from the texts of these ids only."""
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def sets_of(batches):
@@ -210,7 +212,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     # Pivots first: one pivot for each class, then its other pivots where these are still apart.
     stars = spots.filter("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = possible(stars, shapes, num, den)
-    first = stars.groupBy("a").agg(F.min("b").alias("b"))
+    first = stage(stars.groupBy("a").agg(F.min("b").alias("b")), "first")
     comps = join_components(None, verified(first, texts, k, num, den))
     rest = apart(stars.join(first, ["a", "b"], "left_anti"), comps)
     comps = join_components(comps, verified(stage(rest, "rest"), texts, k, num, den))
