@@ -236,3 +236,33 @@ def test_a_page_of_many_megabytes(spark):
     long = page("Long", [f"paragraph {i} " + "w " * 400 for i in range(4000)])
     got = html.extract(pages(spark, [(1, "https://long.example/", long)])).first()["text"]
     assert got.split("\n")[0] == "Long" and len(got.split("\n")) >= 4001 and "paragraph 3999 w" in got
+
+
+def run_stages(spark, folder, rows, labels, columns="doc_id long, text string, lang string, source string, n_chars long"):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame(rows, columns).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for n, (_, step) in enumerate(pipeline.STAGES):
+        docs = step(spark, docs, str(folder))
+        docs.write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+        seen.append(docs)
+    return seen
+
+
+def test_pipeline_without_labels_repeated_ids_and_clashing_columns(spark, tmp_path):
+    """Nothing is dropped but equal texts; ids that repeat with other texts stay."""
+    names = "doc_id long, text string, `row` string, `on` int, `key` string, gone int, hash string, cuts string, id long, n long"
+    row = lambda i, t: (i, t, "r", 1, "k", 2, "h", "c", 9, None)
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue black white grey")
+    rows = [row(1, a), row(1, b), row(2, a), row(2, c), row(3, None), row(3, None), row(None, ""), row(4, "")]
+    toxic, exact, near, cut, packed = run_stages(spark, tmp_path, rows, [], names)
+    assert toxic.count() == len(rows) and all(x.columns == toxic.columns for x in (exact, near, cut))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in exact.collect()) == sorted([(1, a), (1, b), (2, c), (3, "")])
+    # 1 and 2 are one document each, but nothing links them any more.
+    assert near.count() == exact.count() and cut.count() == near.count() and packed.select("doc_id").count() == 4
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    assert [x.count() for x in run_stages(spark, tmp_path, [], [(1, 1, 1)])] == [0] * 5

@@ -188,6 +188,13 @@ def test_repeats_equal_all_windows(spark):
     assert len(cut) == len(rows)
 
 
+def test_repeats_beyond_the_filter(spark, monkeypatch):
+    rows = corpus(random.Random(5))
+    monkeypatch.setattr(repeats, "MOST_BITS", 1)
+    got = {r["id"]: {x for s in r["spans"] for x in range(s["start"], s["end"])} for r in repeats.matches(frame(spark, rows, 5)).collect()}
+    assert got == {i: span for i, (span, _) in repeats_by_hand(rows).items()}
+
+
 def test_repeats_of_rows_that_repeat(spark):
     text = " ".join(words(random.Random(2), 120))
     assert repeats.matches(frame(spark, [(1, text), (1, text)])).count() == 0
@@ -277,6 +284,39 @@ def test_packing_scores_every_dimension(spark):
     assert len(bins) <= -(-sum(lengths) // 100) + 1
 
 
+def test_word_tokens_that_are_forgotten(monkeypatch):
+    """A small memory gives the same ids, and keeps the words in use."""
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    monkeypatch.setattr(packing, "KEPT", 10)
+    tokens, rng = packing.WordTokens(packing.default_path()), random.Random(5)
+    for n in range(30):
+        texts = [" ".join(["the", "of", *(rng.choice("aeiou") + f"x{rng.randrange(99)}é{n}" for _ in range(12)), "the"]) for _ in range(3)]
+        assert tokens.encode_batch(texts) == [tokens.whole(t) for t in texts]
+    assert "the" in tokens.known and "of" in tokens.known and len(tokens.known) < 40 + 3 * 60
+
+
+def test_packing_is_not_one_dimensional_and_needs_no_more(spark, monkeypatch):
+    """Documents and cost change which bin a piece goes to, over several shards, without more sequences."""
+    lengths = np.sort(np.random.default_rng(3).integers(1, 4097, 4000))[::-1]
+    one, three = packing.fit(lengths, 4096, 4096, 4096.0**2, (1.0, 0.0, 0.0))[0], packing.fit(lengths, 4096, 4096, 4096.0**2)[0]
+    groups = lambda bins: {tuple(sorted(lengths[bins == b])) for b in np.unique(bins)}
+    assert groups(one) != groups(three) and three.max() <= one.max() + 1
+    monkeypatch.setattr(packing, "SHARD", 500)
+    rng = np.random.default_rng(4)
+    many = [int(x) for x in np.minimum(4096, rng.lognormal(5, 1.2, 6000)).astype(int) + 1 if x <= 4096]
+    found = packing.pack(spark.createDataFrame(list(enumerate(many)), "doc_id long, length long")).toPandas()
+    assert len(found) == len(many) and (found.sequence_id // (1 << 32)).nunique() == -(-len(many) // 500)
+    for _, own in found.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert list(own.offset) == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() <= 4096
+    assert found.sequence_id.nunique() <= sum(many) / 4096 + (found.sequence_id // (1 << 32)).nunique()
+
+
+def test_packing_of_ties(spark):
+    found = packing.pack(spark.createDataFrame([(i % 7, 1000) for i in range(50)], "doc_id long, length long")).toPandas()
+    assert found.sequence_id.nunique() == 13 and len(found) == 50 and sorted(found.groupby("sequence_id").length.sum())[1:] == [4000] * 12
+
+
 def test_packing_holds_every_capacity():
     lengths = np.sort(np.random.default_rng(0).integers(1, 900, 400))[::-1]
     for score in ("norm", "dot"):
