@@ -32,10 +32,10 @@ CAPACITY = 4096
 WEIGHTS = (1.0, 1.0, 1.0)
 #: Pieces that are packed together.
 SHARD = 16_384
-#: Words that a worker remembers.
-REMEMBERED = 400_000
+#: Words that a worker remembers, and those of them that it keeps when there are more: the ones used most.
+REMEMBERED, KEPT = 250_000, 80_000
 #: Text bytes whose words are looked up together.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 3 << 18
 #: Fixed value: the published splitting pattern of this vocabulary.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Texts with these go through the tokenizer whole: final sigma lower-cases by context, controls, added tokens.
@@ -115,7 +115,7 @@ class WordTokens:
     def encode_buffers(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each text of a UTF-8 buffer."""
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.forget_rare()
         n, whole = len(offsets) - 1, data.tobytes()
         plain, start, end, lower = split_plain(data, offsets)
         owner = np.repeat(np.arange(n), np.diff(np.searchsorted(start, offsets)))
@@ -145,6 +145,7 @@ class WordTokens:
             new, self.known.new = self.known.new, []
             for i in range(0, len(new), 4096):
                 self.remember(self.ids_of_words(new[i : i + 4096]))
+        self.uses[: self.words_stored] += np.bincount(number, minlength=self.words_stored)
         size = self.size[number]
         ends = np.cumsum(size)
         at = np.repeat(self.first[number] - (ends - size), size) + np.arange(int(size.sum()))
@@ -157,14 +158,28 @@ class WordTokens:
 
     def forget(self) -> None:
         self.known, self.words_stored, self.stored = Numbers(), 0, 0
-        self.store, self.first, self.size = np.zeros(1 << 20, "<u4"), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.store, self.first, self.size, self.uses = np.zeros(1 << 19, "<u4"), *(np.zeros(1 << 17, np.int64) for _ in range(3))
+
+    def forget_rare(self) -> None:
+        """Keep the KEPT words that were used most."""
+        n = self.words_stored
+        keep = np.sort(np.argpartition(-self.uses[:n], min(KEPT, n - 1))[:KEPT])
+        words = [w for w, k in zip(self.known, np.isin(np.arange(n), keep).tolist()) if k]  # in the order of their numbers
+        ids = [self.store[a : a + k].tobytes() for a, k in zip(self.first[keep].tolist(), self.size[keep].tolist())]
+        uses = self.uses[keep]
+        self.forget()
+        for w in words:
+            self.known[w]  # numbers it
+        self.known.new.clear()
+        self.remember(ids)
+        self.uses[: len(uses)] = uses >> 1  # so that what is not used any more goes in time
 
     def remember(self, ids: list[bytes]) -> None:
         flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array(list(map(len, ids)), np.int64) >> 2
         while self.stored + len(flat) > len(self.store):
             self.store = np.concatenate((self.store, np.zeros_like(self.store)))
         while self.words_stored + len(ids) > len(self.size):
-            self.first, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size))
+            self.first, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size, self.uses))
         here = slice(self.words_stored, self.words_stored + len(ids))
         self.size[here], self.first[here] = size, self.stored + np.cumsum(size) - size
         self.store[self.stored : self.stored + len(flat)] = flat
