@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html, jaccard, media, packing, quality, repeats, toxicity, warc
+from . import bpe, centroids, exact_dedup, html, jaccard, media, neighbours, packing, quality, repeats, rowpattern, toxicity, warc
 
-_MODULES = [exact_dedup, bpe, jaccard, toxicity, warc, packing, quality, media, repeats, html]
+_MODULES = [exact_dedup, bpe, jaccard, toxicity, warc, packing, quality, media, repeats, html, neighbours, rowpattern, centroids]
 
 
 def queries() -> dict:
