@@ -9,7 +9,7 @@ the residuals give, and a cell is taken if d less `deviations` of it is within t
 cells, and takes few where the data are clustered, many where they are noise. With deviations=None the largest residuals
 bound the distance instead and the result is exact.
 
-Cells are put into bins of about BIN entries, large ones split by hash; a task holds the entries of one bin at a
+Cells are put into bins of about the same number of entries, large ones split by hash; a task holds the entries of one bin at a
 time and streams the requests of all queries through it. Bins with many requests are copied. Vectors are reranked on
 the original components in double precision, in a fixed order of additions.
 
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import claim, own_columns, ship, stage, table
 
-#: Vectors that fit the codebooks; entries that the first pass looks at; entries of a bin; requests for one copy of a bin.
-FIT, SEED, BIN, REQUESTS = 16384, 1024, 8192, 4096
+#: Vectors that fit the codebooks; entries that the first pass looks at; requests for one copy of a bin.
+FIT, SEED, REQUESTS = 16384, 1024, 4096
+#: Entries of a bin: a BINS-th of all, within these.
+BINS, SMALL_BIN, LARGE_BIN = 64, 512, 8192
 #: Centroids of a half: about the root of a twelfth of the entries, within these.
 LEAST, MOST = 4, 1024
 ENTRY, REQUEST = 0, 1
@@ -72,15 +74,16 @@ class Index:
         return [squared(x[:, : self.half], self.books[0]), squared(x[:, self.half :], self.books[1])]
 
     def count(self, cells: dict[int, int], residuals: list[np.ndarray]):
+        size = min(LARGE_BIN, max(SMALL_BIN, sum(cells.values()) // BINS))
         k = [len(b) for b in self.books]
         self.counts = np.zeros(k[0] * k[1], np.int64)
         self.counts[list(cells)] = list(cells.values())
         self.mean, self.most = [r[0] / np.maximum(r[1], 1) for r in residuals], [np.sqrt(r[2]) for r in residuals]
-        self.parts = -(-self.counts // BIN)
-        full = np.where(self.parts > 1, BIN * self.parts, self.counts)  # a large cell has bins of its own
+        self.parts = -(-self.counts // size)
+        full = np.where(self.parts > 1, size * self.parts, self.counts)  # a large cell has bins of its own
         at = np.concatenate(([0], np.cumsum(full)))[:-1]
         new = np.ones(len(full), bool)
-        new[1:] = (at[1:] // BIN != at[:-1] // BIN) | (self.parts[1:] > 1) | (self.parts[:-1] > 1)
+        new[1:] = (at[1:] // size != at[:-1] // size) | (self.parts[1:] > 1) | (self.parts[:-1] > 1)
         steps = np.where(new, 1, 0)
         steps[1:] += np.maximum(self.parts[:-1] - 1, 0)
         self.bin = np.cumsum(steps)
@@ -255,6 +258,7 @@ def _scored(q: dict, e: dict, k: int):
 
 def search(asked: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     """(row, id, vec_row, vec_id, score): of each request the k nearest entries in its cells."""
+    asked = stage(asked, "requests")
     many = asked.groupBy("bin").agg(F.ceil(F.count("*") / REQUESTS).alias("copies"))
     salted = asked.join(many, "bin").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("copies"))).drop("copies")
     copied = entries.join(many, "bin").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")

@@ -241,7 +241,7 @@ def test_op11_small_tables_are_exact(spark, tmp_path):
 def test_op11_through_the_cells(spark, monkeypatch, deviations, least):
     """With few entries in the first pass, small bins and copies of bins, against brute force."""
     monkeypatch.setattr(neighbours, "SEED", 60)
-    monkeypatch.setattr(neighbours, "BIN", 100)
+    monkeypatch.setattr(neighbours, "LARGE_BIN", 100)
     monkeypatch.setattr(neighbours, "REQUESTS", 8)
     rows = vectors(np.random.default_rng(2), 2500)
     found = neighbours.nearest(spark.createDataFrame(rows, VECTORS).repartition(4), 50, 5, deviations).collect()
@@ -265,7 +265,8 @@ def test_op11_traversal_is_by_rising_sum():
     assert all(abs(s - d1[0][i] - d2[0][j]) < 1e-12 for s, i, j in told)
 
 
-def test_op11_bins_hold_whole_small_cells():
+def test_op11_bins_hold_whole_small_cells(monkeypatch):
+    monkeypatch.setattr(neighbours, "SMALL_BIN", 8192)
     index = neighbours.Index(neighbours.unit(np.random.default_rng(3).normal(size=(200, 8))), 4)
     counts = {0: 5000, 1: 5000, 2: 20000, 3: 10, 5: 8192, 6: 1, 15: 3}
     index.count(counts, [np.ones((3, 4)), np.ones((3, 4))])
@@ -273,7 +274,7 @@ def test_op11_bins_hold_whole_small_cells():
     for c, n in counts.items():
         for p in range(max(1, index.parts[c])):
             held.setdefault(int(index.bin[c]) + p, []).append((c, n))
-    assert all(len({c for c, _ in v}) == 1 or (sum(n for _, n in v) <= 2 * neighbours.BIN and all(n <= neighbours.BIN for _, n in v)) for v in held.values())
+    assert all(len({c for c, _ in v}) == 1 or (sum(n for _, n in v) <= 2 * 8192 and all(n <= 8192 for _, n in v)) for v in held.values())
     assert index.parts[2] == 3 and len([b for b, v in held.items() if v[0][0] == 2]) == 3
 
 
@@ -350,4 +351,4 @@ def test_trees_prune_and_assign_whole_nodes():
     want = ((t.x[:, None] - c[None]) ** 2).sum(2)
     assert (number == want.argmin(1)).all() and (d == want.min(1)).all() and (again.summed(c)[:, 0] == np.bincount(number, minlength=4)).all()
     (nodes, _), (single, _) = t.filtered(c[:3])
-    assert len(single) < 200 and len(nodes) < 12
+    assert len(single) < 200 and len(nodes) < 30
