@@ -29,19 +29,18 @@ def method_metrics(rows: DataFrame, keys: list[str], methods: list[str], truth:
 
 def group_metrics(rows: DataFrame, keys: list[str], groups: dict[str, list[str]], truth: str, amount: str) -> DataFrame:
     """Groups in order of trust; a row counts for the first group that has a guess, and is right if any method of
-    the group is right."""
+    the group is right. Each row is looked at once and makes one short row a group."""
     cases, rights = [], {}
     for name, methods in groups.items():
         some = reduce(lambda a, b: a | b, (F.col(m).isNotNull() for m in methods))
         cases.append(F.when(some, F.lit(name)))
         rights[name] = reduce(lambda a, b: a | b, (F.coalesce(F.col(m) == F.col(truth), F.lit(False)) for m in methods))
-    rows = rows.withColumn("_first", F.coalesce(*cases))
-    parts = []
-    for name in groups:
-        own = rows.withColumn("method_group", F.lit(name))
-        right = F.when(F.col(truth).isNotNull(), rights[name])
-        parts.append(own.groupBy(*keys, "method_group").agg(*_measures(F.coalesce(F.col("_first") == name, F.lit(False)), right, F.col(amount))))
-    return reduce(DataFrame.unionByName, parts)
+    marks = [
+        F.struct(F.lit(name).alias("method_group"), F.coalesce(F.col("_first") == name, F.lit(False)).alias("hit"), F.when(F.col(truth).isNotNull(), rights[name]).alias("right"))
+        for name in groups
+    ]
+    each = rows.withColumn("_first", F.coalesce(*cases)).select(*keys, F.col(amount).alias("_amount"), F.inline(F.array(*marks)))
+    return each.groupBy(*keys, "method_group").agg(*_measures(F.col("hit"), F.col("right"), F.col("_amount")))
 
 
 def metric_table(metrics: DataFrame, name: str, over: str, columns: list, value: str) -> DataFrame:

@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import segments
+
 
 def fill_levels(rows: DataFrame, keys: list[str], order: str, levels: list[str], prefix: str = "f_") -> DataFrame:
     """Fill sparse levels from the rows above. From left to right a row inherits blanks (0) until a level gives a
-    value that differs from the row above; all levels after that are taken as they are. One exchange, one sort."""
+    value that differs from the row above; all levels after that are taken as they are. One exchange, one sort; a
+    sheet with much more than a task's share of the rows goes by segments."""
+    if segments.large_key(rows, keys):
+        return segments.fill(rows, keys, order, levels, prefix)
     w = W.partitionBy(*keys).orderBy(order)
     up = w.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_new", F.row_number().over(w) == 1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import segments
+
 
 def ranges(starts: DataFrame, keys: list[str], start: str, last: str) -> DataFrame:
     """Add end: one before the next start, or the last page."""
@@ -21,14 +23,13 @@ def equal_ranges(documents: DataFrame, pages: str, parts: Column) -> DataFrame:
 
 
 def runs(rows: DataFrame, keys: list[str], order: str, blank: Column, at_least: int = 2) -> DataFrame:
-    """(keys, first, n): runs of blank rows that a row with content follows."""
-    w = W.partitionBy(*keys).orderBy(order)
-    marked = rows.select(*keys, F.col(order).alias("_o"), blank.alias("_blank"), F.row_number().over(w).alias("_i"))
-    inner = W.partitionBy(*keys, "_blank").orderBy("_i")
-    islands = marked.withColumn("_g", F.col("_i") - F.row_number().over(inner))
-    last = marked.groupBy(*keys).agg(F.max("_i").alias("_last"))
-    found = islands.filter("_blank").groupBy(*keys, "_g").agg(F.min("_o").alias("first"), F.count("*").alias("n"), F.max("_i").alias("_end"))
-    return found.join(last, keys).filter(f"n >= {at_least} AND _end < _last").select(*keys, "first", "n")
+    """(keys, first, n): runs of blank rows that a row with content follows. The blank rows of a run have the same number
+    of rows with content above them, and those of the last run as many as there are."""
+    marked = rows.select(*keys, F.col(order).alias("_o"), (~F.coalesce(blank, F.lit(False))).alias("_content"))
+    islands = segments.scan(marked, keys, ["_o"], count={"_above": "_content"})
+    every = marked.groupBy(*keys).agg(F.count_if("_content").alias("_all"))
+    found = islands.filter("NOT _content").groupBy(*keys, "_above").agg(F.min("_o").alias("first"), F.count("*").alias("n"))
+    return found.join(every, keys).filter(f"n >= {at_least} AND _above < _all").select(*keys, "first", "n")
 
 
 def first_and_last(rows: DataFrame, keys: list[str], order: str, last: int) -> DataFrame:
@@ -38,10 +39,10 @@ def first_and_last(rows: DataFrame, keys: list[str], order: str, last: int) -> D
 
 
 def next_marker(rows: DataFrame, keys: list[str], order: str, marker: Column, value: Column, out: str, forward: bool = True) -> DataFrame:
-    """Add the value of the next marked row after this one (or the last one before, backward); null where none. The
-    frame grows with the rows, from the far end for what follows, so each row is looked at once."""
-    frame = W.partitionBy(*keys).orderBy(F.desc(order) if forward else F.asc(order)).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn(out, F.last(F.when(marker, value), ignorenulls=True).over(frame))
+    """Add the value of the next marked row after this one (or the last one before, backward); null where none. For
+    what follows, rows are scanned from the far end, so each row is looked at once."""
+    marked = rows.withColumn("_mark", F.when(marker, value))
+    return segments.scan(marked, keys, [F.desc(order) if forward else F.asc(order)], before={out: "_mark"}).drop("_mark")
 
 
 def found_on(sections: DataFrame, pages: DataFrame, title: str, text: str, keys: list[str], page: str, size: int = 30) -> DataFrame:

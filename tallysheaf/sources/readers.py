@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import parse_amount, title_tail
 from ..operators import hierarchy as H
+from ..shared import ship
 from . import schema
 
 
@@ -170,6 +171,7 @@ def html_rows(pages: DataFrame, page_no: str = "page_no", html: str = "html", ta
                 out += [(n, i + 1, r) for i, r in enumerate(p.rows)]
             yield pd.DataFrame(out, columns=[page_no, "row_no", "cells"])
 
+    ship(pages.sparkSession)
     rows = pages.select(F.col(page_no).cast("long").alias(page_no), F.col(html).alias("html"))
     return rows.mapInPandas(run, f"{page_no} long, row_no long, cells array<string>")
 
