@@ -5,10 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, ship, stage  # noqa: F401
+
 #: Text bytes that one numpy step handles at once; a longer text makes a step of its own.
 CHUNK_BYTES = 1 << 19
-#: Bytes of an Arrow batch on its way to a Python worker, so that long texts do not add up to large batches.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Bits of a broadcast bitmap: 2**23 bits are 1 MB however large the corpus is.
 BITMAP_BITS = 1 << 23
 _BUCKET = 32768  # bits that one row of bitmap_construct_agg holds
@@ -30,45 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a temporary one, but only with a
-    local master, whose executors have the driver's disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tallysheaf-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to Python workers, once a context, as --py-files would, and bound Arrow batches by bytes."""
-    if spark.conf.get(BATCH_SETTING) == "67108864b":  # the default; a setting of the session's own stays
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if getattr(sc, "_tallysheaf_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tallysheaf-zip-"), "tallysheaf_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(top):
-            for x in names:
-                if x.endswith(".py"):
-                    full = os.path.join(d, x)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    sc._tallysheaf_shipped = True
-
-
 def own_columns(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that other columns cannot clash."""
     return df.select(*(F.col(f"`{have}`").alias(name) for name, have in columns.items()))
