@@ -257,3 +257,76 @@ def test_report_helpers(spark):
     assert report.positive(spark.createDataFrame([(1.0,), (0.0,), (-1.0,), (None,)], "x double"), "x").count() == 1
     n = spark.createDataFrame([("F1", "a long enough name"), ("F1", "short"), ("F2", "in two functions"), ("F1", "in two functions")], "code string, name string")
     assert {r["code"]: (r["extracted"], r["kept"]) for r in report.name_counts(n, "code").collect()} == {"F1": (3, 1), "F2": (1, 0)}
+
+
+def test_nearest_by_tiles(spark, monkeypatch):
+    """Several tiles on both sides, keys, ties and documents without a common term, against all pairs."""
+    from tallysheaf.operators import textmodel
+
+    rng = random.Random(8)
+    rows = [(k, d, f"t{t}", rng.choice([0.2, 0.5, 0.7])) for k in (1, 2) for d in range(30) for t in rng.sample(range(12), 3)]
+    rows += [(2, 100 + d, t, w) for d in range(4) for _, e, t, w in rows if _ == 2 and e == 0]  # equal documents
+    monkeypatch.setattr(textmodel, "TILE", 7)
+    df = spark.createDataFrame(rows, "k int, doc int, term string, weight double")
+    got = textmodel.nearest(df.filter("doc % 3 = 0"), df.filter("doc % 3 <> 0"), "doc", 0.45, ("k",)).collect()
+    vectors = {}
+    for k, d, t, w in rows:
+        vectors.setdefault((k, d), {})[t] = w
+    want = {}
+    for (k, d), v in vectors.items():
+        if d % 3 == 0:
+            found = [(-round(sum(w * o.get(t, 0) for t, w in v.items()), 12), e) for (j, e), o in vectors.items() if j == k and e % 3]
+            s, e = min(found)
+            if -s > 0.45:
+                want[k, d] = e, round(-s, 9)
+    assert {(r["k"], r["doc"]): (r["nearest"], round(r["cosine"], 9)) for r in got} == want and len(want) > 5
+
+
+def test_tiles_in_small_steps(monkeypatch):
+    import numpy as np
+
+    from tallysheaf.operators import textmodel
+
+    rng = np.random.default_rng(1)
+    dense = lambda n: rng.random((n, 20)) * (rng.random((n, 20)) < 0.3)
+    parts = lambda x: (np.nonzero(x)[1], x[np.nonzero(x)], (x > 0).sum(1))
+    a, b = dense(40), dense(25)
+    for step in (1, 200, 1 << 22):
+        monkeypatch.setattr(textmodel, "STEP", step)
+        x, y, c = textmodel._Tile(*parts(b)).best(*parts(a), 0.8)
+        s = np.round(a @ b.T, 12)
+        assert x.tolist() == np.flatnonzero(s.max(1) > 0.8).tolist() and y.tolist() == s.argmax(1)[x].tolist() and np.allclose(c, s.max(1)[x])
+
+
+def test_stems_take_the_longest_suffix_first():
+    """A suffix outside the region is not replaced by a shorter one inside. Expected stems follow from the published steps."""
+    told = {
+        "ként": "ként", "vért": "vért", "képpen": "képpen", "házakban": "ház", "házaknak": "ház", "almákat": "alma", "kertben": "kert", "kertekben": "kert",
+        "vízzel": "víz", "késsel": "kés", "házunk": "ház", "asztalon": "asztal", "embereket": "ember", "városban": "város", "a": "a", "": "",
+    }
+    assert {w: S.stem(w) for w in told} == told
+
+
+def test_jaro_winkler_of_arrays_is_that_of_pairs():
+    """Against one pair at a time, letters and lengths of all kinds."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcáé") for _ in range(rng.choice([0, 1, 2, 5, 9, 70]))) for _ in range(60)]
+    pairs = [(a, b) for a in texts for b in texts]
+
+    def plain(a, b):
+        if a == b:
+            return 1.0
+        reach, taken, left = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+        for i, c in enumerate(a):
+            j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == c), None)
+            if j is not None:
+                taken.add(j)
+                left.append(c)
+        if not left:
+            return 0.0
+        k = len(left)
+        jaro = (k / len(a) + k / len(b) + (k - sum(x != b[j] for x, j in zip(left, sorted(taken))) // 2) / k) / 3
+        p = next((i for i in range(min(4, len(a), len(b))) if a[i] != b[i]), min(4, len(a), len(b)))
+        return jaro + p * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+    assert S.jaro_winkler([a for a, _ in pairs], [b for _, b in pairs]).tolist() == pytest.approx([plain(a, b) for a, b in pairs], abs=1e-12)
