@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
+from ..shared import ship
 from . import segments
 
 
@@ -45,17 +49,57 @@ def next_marker(rows: DataFrame, keys: list[str], order: str, marker: Column, va
     return segments.scan(marked, keys, [F.desc(order) if forward else F.asc(order)], before={out: "_mark"}).drop("_mark")
 
 
-def found_on(sections: DataFrame, pages: DataFrame, title: str, text: str, keys: list[str], page: str, size: int = 30) -> DataFrame:
-    """The first page that contains the first characters of a title, lower-cased. Titles are few and checked to be:
-    more than BROADCAST_ROWS go through a join by key instead of a broadcast."""
-    needle = F.lower(F.substring(title, 1, size))
-    small = sections.select(*keys, F.col(title), needle.alias("_needle"))
-    side = F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
-    hits = pages.select(*keys, page, F.lower(text).alias("_text")).join(side, keys).filter(F.col("_text").contains(F.col("_needle")))
-    return hits.groupBy(*keys, title).agg(F.min(page).alias("first_page"))
+#: Pages of a document that one task reads; those of larger documents go to several.
+BLOCK = 1024
 
 
-BROADCAST_ROWS = 10_000
+def found_on(sections: DataFrame, pages: DataFrame, title: str, text: str, keys: list[str], page: str, size: int = 30) -> DataFrame:
+    """The first page that contains the first characters of a title, lower-cased; pages have whole numbers. The titles of a
+    document make one automaton, and every page goes through it once, however many titles there are. The pages of
+    a long document are dealt to several tasks in blocks, each with the titles; a block gives its first page of each title."""
+    ship(pages.sparkSession)
+    count = pages.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    needles = sections.select(*keys, F.col(title).alias("_title"), F.lower(F.substring(title, 1, size)).alias("_text")).dropna().distinct()
+    dealt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")
+    needles = needles.join(count, keys).select(*keys, dealt, F.lit(0).alias("_what"), "_title", "_text", F.lit(0).cast("long").alias("_page"))
+    read = pages.filter(F.col(text).isNotNull()).select(*keys, F.col(page).cast("long").alias("_page"), F.lower(text).alias("_text")).join(count, keys)
+    read = read.select(*keys, F.pmod(F.xxhash64("_page"), F.col("_blocks")).alias("_block"), F.lit(1).alias("_what"), F.lit(None).cast("string").alias("_title"), "_text", "_page")
+    by = [*keys, "_block"]
+    both = needles.unionByName(read).repartition(*by).sortWithinPartitions(*by, "_what")
+    schema = StructType([*(f for f in both.schema if f.name in keys), StructField("_title", both.schema["_title"].dataType), StructField("_page", LongType())])
+    arrow, width = to_arrow_schema(schema), len(keys)
+
+    def run(batches):
+        import ahocorasick
+
+        here, titles, automaton, found = None, {}, None, {}
+
+        def told():
+            rows = [(*here[:width], t, p) for needle, p in found.items() for t in titles[needle]]
+            return pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], schema=arrow)
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in (*by, "_what", "_title", "_text", "_page"))):
+                what, name, words, number = row[width + 1 :]
+                if row[: width + 1] != here:
+                    if found:
+                        yield told()
+                    here, titles, automaton, found = row[: width + 1], {}, None, {}
+                if what == 0:
+                    titles.setdefault(words, []).append(name)
+                    continue
+                if automaton is None:
+                    automaton = ahocorasick.Automaton()
+                    for needle in filter(None, titles):
+                        automaton.add_word(needle, needle)
+                    automaton.make_automaton()
+                hits = {needle for _, needle in automaton.iter(words)} if len(automaton) else set()
+                for needle in hits | ({""} & titles.keys()):  # an empty title is on every page
+                    found[needle] = min(number, found.get(needle, number))
+        if found:
+            yield told()
+
+    return both.mapInArrow(run, schema).groupBy(*keys, F.col("_title").alias(title)).agg(F.min("_page").alias("first_page"))
 
 
 def length_class(text: Column) -> Column:

@@ -330,3 +330,19 @@ def test_jaro_winkler_of_arrays_is_that_of_pairs():
         return jaro + p * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
     assert S.jaro_winkler([a for a, _ in pairs], [b for _, b in pairs]).tolist() == pytest.approx([plain(a, b) for a, b in pairs], abs=1e-12)
+
+
+def test_titles_by_one_automaton(spark, monkeypatch):
+    """Five hundred titles, long documents in several blocks, titles within titles, empty and null ones."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abÁ") for _ in range(rng.randrange(1, 5)))
+    texts = [(d, p, rng.choice([None, *[" ".join(word() for _ in range(30))] * 9])) for d in (1, 2) for p in range(1, 60)]
+    titles = [(rng.choice([1, 2, 3]), t) for t in {" ".join(word() for _ in range(rng.choice([1, 1, 2, 3]))) for _ in range(700)}][:500] + [(1, ""), (2, None), (1, "ab" * 40)]
+    monkeypatch.setattr(P, "BLOCK", 20)
+    found = P.found_on(spark.createDataFrame(titles, "d int, title string"), spark.createDataFrame(texts, "d int, page int, text string"), "title", "text", ["d"], "page").collect()
+    want = {}
+    for d, t in titles:
+        on = [p for e, p, x in texts if e == d and t is not None and x is not None and t[:30].lower() in x.lower()]
+        if on:
+            want[d, t] = min(on)
+    assert {(r["d"], r["title"]): r["first_page"] for r in found} == want and len(want) > 100
