@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..operators import lawtable as L
 from ..operators import pages as P
+from ..operators import segments
 from .registry import query, read
 
 
@@ -144,3 +146,61 @@ def resume_pointer(spark, sf):
 )
 def page_titles(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), X.page_title(F.col("text")).alias("title"))
+
+
+#: Cells of a law's table, from lines of a supplier: six numbers, a name, five amounts; and rows that are no data.
+_CELLS = """CASE WHEN l_partkey % 23 = 0 THEN ['', ' ', '', '', '', '', '', '', '', '', '', ''] WHEN l_partkey % 29 = 0 THEN ['1', '', 'x']
+    WHEN l_partkey % 17 = 0 THEN [CAST(l_orderkey % 40 + 1 AS VARCHAR) || '. Fejezet ' || l_returnflag, 'Kiadás', '', '', '', '', '', '', '', '', '', '']
+    WHEN l_partkey % 31 = 0 THEN ['Cím', 'Név', '', '', '', '', 'fejléc', '', '', '', '', '']
+    ELSE [CAST(l_orderkey % 60 AS VARCHAR), CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE CAST(l_linenumber AS VARCHAR) END, ' ', CAST(l_partkey % 9 AS VARCHAR), '', '',
+          CASE WHEN l_partkey % 13 = 0 THEN 'Fejezet ÖSSZESEN' ELSE ' tétel ' || l_linestatus || CAST(l_partkey AS VARCHAR) || ' ' END,
+          CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' 000,5', '1.' || CAST(100 + l_partkey % 900 AS VARCHAR), '', CASE WHEN l_partkey % 37 = 0 THEN 'n.a.' ELSE ' ' END, '7'] END"""
+_LAW = (
+    f"rows AS (SELECT l_suppkey AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS row_no, {_CELLS} AS cells FROM lineitem),"
+    " k AS (SELECT *, len(list_filter(cells, lambda x: trim(x) <> '')) = 0 AS blank, len(cells) < 6 AS short, len(list_filter(cells[1:6], lambda x: trim(x) <> '' AND NOT regexp_full_match(trim(x), '[0-9]+'))) > 0 AS head, trim(coalesce(cells[len(cells) - 5], '')) AS label,"
+    " len(list_filter(list_concat(cells[1:6], cells[len(cells) - 4:]), lambda x: NOT regexp_full_match(regexp_replace(x, '[,. ]', '', 'g'), '[0-9]*'))) > 0 AS odd FROM rows),"
+    " t AS (SELECT *, CASE WHEN blank THEN 'blank' WHEN short THEN 'short' WHEN head AND trim(cells[2]) = 'Kiadás' AND contains(cells[1], '. ') THEN 'chapter' WHEN contains(lower(label), 'összesen') THEN 'total' WHEN head THEN 'header' WHEN odd THEN 'bad' ELSE 'data' END AS kind FROM k),"
+    " c AS (SELECT *, min(CASE WHEN kind = 'chapter' THEN row_no END) OVER (PARTITION BY page ORDER BY row_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS at FROM t)"
+)
+
+
+@query(
+    f"WITH {_LAW} SELECT c.page, c.row_no, split_part(trim(h.cells[1]), '.', 1) AS chapter, trim(regexp_replace(trim(h.cells[1]), '^[^.]*\\.\\s*', '')) AS title,"
+    " array_to_string(list_transform(c.cells[1:6], lambda x: CASE WHEN trim(x) = '' THEN '0' ELSE CAST(CAST(trim(x) AS INT) AS VARCHAR) END), ',') AS nums, c.label AS name,"
+    " list_sum(list_transform(c.cells[8:12], lambda x: CASE WHEN trim(x) = '' THEN 0.0 ELSE CAST(replace(replace(replace(x, '.', ''), ' ', ''), ',', '.') AS DOUBLE) END)) AS amount"
+    " FROM c LEFT JOIN t h ON h.page = c.page AND h.row_no = c.at WHERE c.kind = 'data'"
+)
+def law_rows(spark, sf):
+    """A law's table to data rows with their chapter: which rows are headers, totals or bad, what cells say, and the next
+    chapter header after a row."""
+    rows = _law_cells(spark, sf)
+    told = L.classify_rows(rows)
+    chapter = F.struct(*(F.col(c) for c in ("number", "title")))
+    heads = L.chapters(told.withColumn("at", F.struct("page", "row_no")), "at").select(F.col("start_idx.page").alias("page"), F.col("start_idx.row_no").alias("row_no"), chapter.alias("head"))
+    marked = P.next_marker(told.join(heads, ["page", "row_no"], "left"), ["page"], "row_no", F.col("head").isNotNull(), F.col("head"), "next")
+    amount = F.aggregate("amounts", F.lit(0.0), lambda s, x: s + x)
+    data = marked.filter("kind = 'data'")
+    return data.select("page", "row_no", F.col("next.number").alias("chapter"), F.col("next.title").alias("title"), F.array_join("nums", ",").alias("nums"), "name", amount.alias("amount"))
+
+
+@query(f"WITH {_LAW} SELECT kind, count(*) AS n FROM t GROUP BY 1")
+def law_kinds(spark, sf):
+    """How many rows of a law's table are of which kind."""
+    return L.classify_rows(_law_cells(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _law_cells(spark, sf):
+    t = read(spark, sf, "lineitem")
+    text = lambda c: c.cast("string")
+    line = lambda *cells: F.array(*(F.lit(c) if isinstance(c, str) else c for c in cells))
+    part = F.col("l_partkey")
+    data = line(
+        text(F.col("l_orderkey") % 60), F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(text(F.col("l_linenumber"))), " ", text(part % 9), "", "",
+        F.when(part % 13 == 0, "Fejezet ÖSSZESEN").otherwise(F.concat(F.lit(" tétel "), "l_linestatus", text(part), F.lit(" "))),
+        F.concat(text(F.col("l_quantity").cast("long")), F.lit(" 000,5")), F.concat(F.lit("1."), text(100 + part % 900)), "", F.when(part % 37 == 0, "n.a.").otherwise(" "), "7",
+    )
+    chapter = line(F.concat(text(F.col("l_orderkey") % 40 + 1), F.lit(". Fejezet "), "l_returnflag"), "Kiadás", *[""] * 10)
+    cells = F.when(part % 23 == 0, line("", " ", *[""] * 10)).when(part % 29 == 0, line("1", "", "x")).when(part % 17 == 0, chapter).when(part % 31 == 0, line("Cím", "Név", "", "", "", "", "fejléc", *[""] * 5)).otherwise(data)
+    rows = t.withColumns({"page": F.col("l_suppkey"), "cells": cells})
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    return segments.row_numbers(rows, ["page"], order, "row_no").select("page", "row_no", "cells")
