@@ -204,3 +204,23 @@ def _law_cells(spark, sf):
     rows = t.withColumns({"page": F.col("l_suppkey"), "cells": cells})
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate"]
     return segments.row_numbers(rows, ["page"], order, "row_no").select("page", "row_no", "cells")
+
+
+_TITLE_LINES = "list_filter(list_transform(string_split(trim(c.text), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(
+    "WITH c AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),"
+    " s AS (SELECT conv_id AS doc_id, 'S' || turn AS section, turn AS start, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, last) AS \"end\" FROM c WHERE role = 'user'),"
+    f" i AS (SELECT s.doc_id, s.section, {_TITLE_LINES} AS l, c.turn AS start, s.\"end\" AS last FROM s JOIN c ON c.conv_id = s.doc_id AND c.turn > s.start AND c.turn <= s.\"end\" WHERE length(c.text) < 100),"
+    " n AS (SELECT doc_id, section, CASE WHEN len(l) >= 3 THEN array_to_string(l[2:len(l) - 1], ' ') WHEN len(l) >= 1 THEN l[1] ELSE '' END AS title, start, last FROM i),"
+    " p AS (SELECT doc_id, section, section AS title, start, \"end\" AS last FROM s UNION ALL SELECT * FROM n WHERE length(title) > 1)"
+    " SELECT doc_id, section, section AS title, start, \"end\", true AS is_main FROM s"
+    " UNION ALL SELECT doc_id, section, title, start, coalesce(lead(start) OVER (PARTITION BY doc_id, section ORDER BY start) - 1, last) AS \"end\", false FROM p"
+)
+def subsections(spark, sf):
+    """Sections from a user's turn to the next, and inside them a part from every short turn on."""
+    c = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("page_no"), "role", "text")
+    last = c.groupBy("doc_id").agg(F.max("page_no").alias("last"))
+    starts = c.filter("role = 'user'").select("doc_id", F.concat(F.lit("S"), F.col("page_no").cast("string")).alias("section"), F.col("page_no").alias("start")).join(last, "doc_id")
+    return P.subsections(P.ranges(starts, ["doc_id"], "start", "last").drop("last"), c.select("doc_id", "page_no", "text"))
