@@ -7,8 +7,11 @@
 2. Suffixes are sorted by these hashes over the cluster and compared with their neighbours in streams. A run of
    equal suffixes from several documents repeats as a whole; all but the first document's can go. Suffixes
    alone, without a neighbour of the same first words, are dropped.
-3. Where suffixes share first words but not the rest, or a partition ends, no match is extended, as neighbours by
-   hash show no common length: all windows that the minimiser owns are hashed and joined over all documents.
+3. Where suffixes share first words but not the rest, or a partition ends, all windows that the minimiser owns are
+   hashed and joined over all documents, in place of an extension to the left and right. A neighbour in either order
+   has the longest common part to one side only, and does not tell which document is the first to have it. Measured: extended
+   from the nearest neighbours in the order of right words, 0.99989 (sf0.01) and 0.99949 (sf0.1) of the words that
+   repeat are found, with the order of left words too all of them, though nothing rules out losses there.
 4. Overlapping matches of a document are joined to maximal passages.
 
 A passage repeats if MIN words or more stand in another document too, A-Z taken as a-z and any white space as one

@@ -4,7 +4,9 @@ goes through a linear softmax, and vectors and softmax are trained jointly in nu
 never saw share n-grams with those that it saw.
 
 N-grams have 3 to 6 characters of a lower-cased word with one mark for either end. They are hashed to BUCKETS rows
-and weigh by inverse document frequency in the training sample. Training takes at most TRAIN_ROWS labelled
+and weigh by inverse document frequency in the training sample, times |tanh(log odds of the label)|, so that those
+alike in both classes hardly count; the vectors are trained under these weights. (Without the second factor, held-out
+recall of label 1 is 0.722 in place of 0.856 at sf0.1, and 0.965 in place of 0.993 on check_s.) Training takes at most TRAIN_ROWS labelled
 rows, those with the smallest hash of their id, and of these as many as have TRAIN_ENTRIES buckets together;
 everything else reads all texts whole. One task trains, on bounded arrays, so that nothing but the model reaches
 the driver. As the model is linear in the average, the scorer needs one number a bucket.
