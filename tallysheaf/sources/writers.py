@@ -62,9 +62,18 @@ def with_title(rows: DataFrame, title: str) -> DataFrame:
     return head.unionByName(body, allowMissingColumns=True)
 
 
+#: Characters of the largest single object: it is one row, made in one task.
+MOST_OBJECT = 64 << 20
+
+
 def json_object(rows: DataFrame, key: str, value: Column) -> DataFrame:
-    """(json): one object a partition of the rows' keys, merged to one; keys are few by nature (sections, stems)."""
-    return rows.select(F.col(key).alias("k"), value.alias("v")).groupBy().agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias("json"))
+    """(json): all keys in one object. Its size is added up first; what is larger than MOST_OBJECT is refused, and goes
+    by json_lines."""
+    pairs = rows.select(F.col(key).alias("k"), value.alias("v"))
+    size = pairs.agg(F.sum(F.length(F.to_json(F.struct("k", "v"))).cast("long"))).first()[0] or 0
+    if size > MOST_OBJECT:
+        raise ValueError(f"{size} characters are too many for one object; write lines instead")
+    return pairs.groupBy().agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias("json"))
 
 
 def ranges_of_pages(pages: DataFrame, bounds: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

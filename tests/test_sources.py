@@ -94,3 +94,11 @@ def test_writers(spark, tmp_path):
     assert sorted((r["page_no"], r["section"]) for r in writers.ranges_of_pages(pages, bounds, ["doc_id"]).collect()) == [(1, "A"), (2, "A"), (3, "B"), (4, "B"), (5, "B")]
     with pytest.raises(ValueError):
         writers.workbook(pages, str(tmp_path / "x.xlsx"), "s", most=2)
+
+
+def test_a_large_object_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(writers, "MOST_OBJECT", 100)
+    few, many = (spark.createDataFrame([(f"k{i}", "v") for i in range(n)], "s string, f string") for n in (3, 30))
+    assert writers.json_object(few, "s", F.col("f")).first()["json"] == '{"k0":"v","k1":"v","k2":"v"}'
+    with pytest.raises(ValueError):
+        writers.json_object(many, "s", F.col("f"))
