@@ -73,19 +73,24 @@ def inherit(rows: DataFrame, label: str, fid: str = "fid", order: str | None = N
     return rows.join(found, fid, "left")
 
 
+def sibling_numbers(rows: DataFrame, fid: str = "fid", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, fid, steps): siblings under the nearest existing ancestor are numbered in natural order; steps are the
+    numbers of a row's existing ancestors and its own, from the top."""
+    ids = rows.select(*keys, F.col(fid).alias("fid")).distinct()
+    up = ids.withColumn("up", F.explode(ancestors(F.col("fid"), False))).join(ids.withColumnRenamed("fid", "up"), [*keys, "up"], "left_semi")
+    parent = up.groupBy(*keys, "fid").agg(F.max_by("up", F.size(F.split("up", r"\."))).alias("parent"))
+    w = W.partitionBy(*keys, "parent").orderBy(path(F.col("fid")))
+    numbered = ids.join(parent, [*keys, "fid"], "left").withColumn("number", F.row_number().over(w))
+    chain = up.unionByName(ids.withColumn("up", F.col("fid"))).join(numbered.select(*keys, F.col("fid").alias("up"), "number"), [*keys, "up"])
+    step = F.struct(F.size(F.split("up", r"\.")).alias("d"), F.col("number").alias("n"))
+    return chain.groupBy(*keys, "fid").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["n"]).alias("steps"))
+
+
 def code_map(rows: DataFrame, fid: str = "fid", pad_first: bool = True) -> DataFrame:
-    """(fid, code): siblings under the nearest existing ancestor are numbered in natural order, and the numbers of
-    a row and of its existing ancestors are joined, two digits each (the first bare without pad_first)."""
-    ids = rows.select(F.col(fid).alias("fid")).distinct()
-    up = ids.withColumn("up", F.explode(ancestors(F.col("fid"), False))).join(ids.select(F.col("fid").alias("up")), "up", "left_semi")
-    parent = up.groupBy("fid").agg(F.max_by("up", F.size(F.split("up", r"\."))).alias("parent"))
-    w = W.partitionBy("parent").orderBy(path(F.col("fid")))
-    numbered = ids.join(parent, "fid", "left").withColumn("number", F.row_number().over(w))
-    chain = up.unionByName(ids.withColumn("up", F.col("fid"))).join(numbered.select(F.col("fid").alias("up"), "number", "parent"), "up")
-    bare = F.col("parent").isNull() & F.lit(not pad_first)
-    digits = F.when(bare, F.col("number").cast("string")).otherwise(F.format_string("%02d", "number"))
-    step = F.struct(F.size(F.split("up", r"\.")).alias("d"), digits.alias("n"))
-    return chain.groupBy("fid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["n"]), "").alias("code"))
+    """(fid, code): the numbers of a row and of its existing ancestors among their siblings, two digits each (the first
+    bare without pad_first)."""
+    digits = F.transform("steps", lambda n, i: F.when((i == 0) & F.lit(not pad_first), n.cast("string")).otherwise(F.format_string("%02d", n)))
+    return sibling_numbers(rows, fid).select("fid", F.array_join(digits, "").alias("code"))
 
 
 def roll_up(leaf_rows: DataFrame, fid: str, values: dict[str, Column], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -95,11 +100,11 @@ def roll_up(leaf_rows: DataFrame, fid: str, values: dict[str, Column], keys: tup
     return up.groupBy(*keys, "node").agg(*[F.sum(k).alias(k) for k in (*values, "n_leaves")])
 
 
-def missing_parents(rows: DataFrame, fid: str = "fid") -> DataFrame:
-    """(fid, n_below): prefixes that more than one row has and no row is."""
-    ids = rows.select(F.col(fid).alias("fid")).distinct()
-    up = ids.select(F.explode(ancestors(F.col("fid"), False)).alias("fid")).groupBy("fid").agg(F.count("*").alias("n_below"))
-    return up.filter("n_below > 1").join(ids, "fid", "left_anti")
+def missing_parents(rows: DataFrame, fid: str = "fid", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, fid, n_below): prefixes that more than one row has and no row is, within keys."""
+    ids = rows.select(*keys, F.col(fid).alias("fid")).distinct()
+    up = ids.select(*keys, F.explode(ancestors(F.col("fid"), False)).alias("fid")).groupBy(*keys, "fid").agg(F.count("*").alias("n_below"))
+    return up.filter("n_below > 1").join(ids, [*keys, "fid"], "left_anti")
 
 
 def trim_single(rows: DataFrame, path_col: str = "path", root: Column | None = None) -> DataFrame:

@@ -10,11 +10,12 @@ from ..functions.text import clean_name
 from .hierarchy import ancestors, path
 
 
-def expand_definitions(definitions: DataFrame, items: DataFrame, ids: str = "places", name: str = "name", order: str = "row_no") -> DataFrame:
-    """Each definition lists ids, separated by commas; each id takes the items at and below it. Branches of a
+def expand_definitions(definitions: DataFrame, items: DataFrame, ids: str = "places", name: str = "name", order: str = "row_no", own: bool = True) -> DataFrame:
+    """Each definition lists ids, separated by commas; each id takes the items at and below it (below only, without
+    own). Branches of a
     definition are numbered, only those that have items."""
     listed = definitions.select(order, name, F.posexplode(F.transform(F.split(ids, ","), lambda x: F.trim(x))).alias("at", "top")).filter("top <> ''")
-    under = items.withColumn("top", F.explode(ancestors(F.col("fid"), True)))
+    under = items.withColumn("top", F.explode(ancestors(F.col("fid"), own)))
     found = listed.join(under, "top")
     branch = found.select(order, "at").distinct().withColumn("branch", F.row_number().over(W.partitionBy(order).orderBy("at")))
     return found.join(branch, [order, "at"])
