@@ -9,14 +9,20 @@
    this owner stand in one order on every page. A class needs SUPPORT pages of different content, as fewer cannot
    tell template and content apart; and VARIES of a host's text must remain outside the template, as pages that
    differ by less are copies of one article, which show no slots.
-3. What the template does not hold stands in its slots. A block goes if all its texts are the template's, so no
-   sentence loses a word. In the slots, elements that are no content by their tag, role or class go too; a class
-   only hints, and counts beside or inside the content, not around it.
-4. An article or main element with LEAST of a page's text, or an element named as the content that has MOST of it,
-   is the content: the one that most pages of the host have, or else the page's own. Without one all slots are the
-   content, but for blocks of links outside the element that holds most of the text.
-
-A host with fewer than SUPPORT different pages has no template; its pages are read by 3 and 4 on their own.
+3. The class of the page itself is the frame: the sections that every page has once. Its slot with MOST of the host's
+   text outside links holds the content. Of such sections inside one another an article goes before a main part, that
+   before a name, and the outermost before those in it. Sizes and vectors are of all tokens of a page, also of
+   menus and adverts; only a section that is one of those itself cannot be the slot, nor one without a mark that
+   leaves more than 1 - NEARLY of what may be content outside.
+4. What the template does not hold stands in its slots. A block goes if all its texts are the template's, so no
+   sentence loses a word. In the slot, elements that are no content by their tag, role or class go too.
+5. Where a host has no such slot, or a page has nothing in it, an article or main element with LEAST of a page's text,
+   or an element named as the content that has MOST of it, is the content: the one that most pages of the host have,
+   or else the page's own. Without one all slots are the content, but for blocks of links outside the element that
+   holds most of the text. A class only hints here, and counts beside or inside the content, not around it.
+
+A host with fewer than SUPPORT different pages has no texts of a template, one with fewer than SUPPORT pages no slot; the
+pages of that are read by 4 and 5 on their own.
 
 Cases: null, empty and broken html give what text can be read, or an empty text; entities are decoded once;
 unclosed elements end where html lets them; null urls share one host; pages that repeat repeat in the result; an
@@ -76,6 +82,8 @@ MASK = (1 << 63) - 1
 MOST, PAGES = 0.6, 0.5
 #: The same for an article or main element.
 LEAST = 0.3
+#: The same for a slot that nothing marks.
+NEARLY = 0.98
 #: Pages of different content that a class needs.
 SUPPORT = 3
 #: Share of a host's text that is not the template's at least.
@@ -85,11 +93,13 @@ BROADCAST_BYTES = 16 << 20
 
 
 class Element:
-    __slots__ = ("tag", "role", "parent", "depth", "barred", "hint", "named", "out", "level", "within", "mark", "heading", "link", "text")
+    __slots__ = ("tag", "role", "parent", "depth", "own", "barred", "hint", "named", "out", "level", "within", "mark", "heading", "link", "text")
 
-    def __init__(self, tag, role, parent, barred=False, hint=False, named=False, level=0):
-        self.tag, self.role, self.parent, self.barred, self.hint, self.named, self.level = tag, role, parent, barred, hint, named, level
-        self.out = barred or hint or parent is not None and parent.out
+    def __init__(self, tag, role, parent, own=False, hint=False, named=False, level=0):
+        self.tag, self.role, self.parent, self.own, self.hint, self.named, self.level = tag, role, parent, own, hint, named, level
+        #: Out by tag or role, itself or something around it.
+        self.barred = own or parent is not None and parent.barred
+        self.out = self.barred or hint or parent is not None and parent.out
         #: The highest level and the innermost of the marked elements from here up.
         self.within = max(level, parent.within if parent else 0)
         self.mark = self if level else parent and parent.mark
@@ -114,15 +124,15 @@ def opened(tag: str, attributes: str, parent: Element) -> Element:
     #: 3 for an article, 2 for the main part, 1 for what is marked by its class only.
     level = 3 if "article" in (tag, role) else 2 if "main" in (tag, role) else int(tag in ("div", "section", "td") and bool(words & CONTENT_CLASS))
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    barred = parent.barred or tag in NO_CONTENT or role in NO_ROLE or hidden
+    own = tag in NO_CONTENT or role in NO_ROLE or hidden
     named = bool(hints & NO_CLASS)
     hint = named and tag not in ("html", "body", "article", "main")
     # A header is the page's unless an article is open around it.
     if not parent.within:
-        barred = barred or tag in ("header", "noscript")
+        own = own or tag in ("header", "noscript")
         hint = hint or (tag not in ("html", "body", "article", "main") and "header" in hints)
     key = tag + "." + ".".join(sorted(DIGITS.sub("0", names).split()))
-    return Element(tag, hashed(parent.role, key), parent, barred, hint, named, level)
+    return Element(tag, hashed(parent.role, key), parent, own, hint, named, level)
 
 
 def part_words(name: str) -> list[str]:
@@ -286,8 +296,35 @@ def template_blocks(texts: list[tuple[Element, str, int]], fixed: set[int]) -> s
     return {block for block, all_ in own.items() if all_}
 
 
-def main_text(page: str, container: int | None, fixed: set[int]) -> str:
+def joined(texts: list[tuple[Element, str, int]]) -> str:
+    """The blocks of these texts, a line each."""
+    blocks: list[str] = []
+    now = None
+    for _, text, block in texts:
+        if block != now:
+            blocks.append("")
+            now = block
+        blocks[-1] += text
+    return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+
+
+def in_slot(elements: list[Element], texts: list[tuple[Element, str, int]], slot: int, fixed: set[int]) -> str:
+    """The text of the template's slot, without the template's blocks and what is no content inside the slot; what
+    stands around the slot does not count."""
+    inside = within(elements, slot)
+    out: set[int] = set()
+    for e in elements:
+        if id(e) in inside and e.role != slot and (e.own or e.hint or id(e.parent) in out):
+            out.add(id(e))
+    shown = [x for x in texts if id(x[0]) in inside and id(x[0]) not in out]
+    taken = template_blocks(shown, fixed) if fixed else set()
+    return joined([x for x in shown if x[2] not in taken]) or joined(shown)
+
+
+def main_text(page: str, container: int | None, fixed: set[int], slot: int | None = None) -> str:
     elements, texts = read(page)
+    if slot is not None and (found := in_slot(elements, texts, slot, fixed)):
+        return found
     shown = [x for x in texts if not x[0].out]
     taken = template_blocks(shown, fixed) if fixed else set()
     for slots in ([x for x in shown if x[2] not in taken], shown) if taken else (shown,):
@@ -304,14 +341,7 @@ def main_text(page: str, container: int | None, fixed: set[int]) -> str:
             found = [x for x in slots if id(x[0]) in inside]
         if any(text.strip() for _, text, _ in found):
             break  # else all of the content would be the template's
-    blocks: list[str] = []
-    now = None
-    for _, text, block in found:
-        if block != now:
-            blocks.append("")
-            now = block
-        blocks[-1] += text
-    return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+    return joined(found)
 
 
 def text_token(e: Element, text: str) -> int:
@@ -325,35 +355,54 @@ def host_of(url):
 PAGE, ELEMENT, TEXT = 0, 1, 2
 #: The page itself is a token too, and the owner of what no section owns.
 ROOT = 1
-TOKENS = "host string, token long, kind int, owner long, place int, depth int, level int, n long, page long, text long, total long, content long"
+TOKENS = "host string, token long, kind int, owner long, place int, depth int, level int, free int, whole long, n long, text long, page long, content long"
+
+
+def free(elements: list[Element]) -> set[int]:
+    """Elements that can be the slot of the content: sections that are no menu or advert and in none. A form can
+    stand around a whole page, so it does not count."""
+    closed: set[int] = set()
+    found: set[int] = set()
+    for e in elements[1:]:
+        if e.hint or e.own and e.tag != "form" or id(e.parent) in closed:
+            closed.add(id(e))
+        elif e.tag in SECTIONS and e.tag not in ("html", "body"):
+            found.add(id(e))
+    return found
 
 
 def tokens_of(page: str) -> list[list]:
-    """[token, kind, owner, place, depth, level, count, text] of every token of a page that may be content."""
+    """[token, kind, owner, place, depth, level, free, whole, count, text] of every token of a page. text is without
+    links and what is no content, whole without links only; free: can be the slot, of texts how many are content."""
     elements, texts = read(page)
-    shown = [(e, text, n) for e, text, n in texts if not e.out and text.strip()]
-    weigh(elements, shown)
-    found = {ROOT: [ROOT, PAGE, 0, 0, 0, 0, 1, elements[0].text]}
+    texts = [(e, text, n) for e, text, n in texts if text.strip()]
+    weigh(elements, texts)
+    whole = {id(e): e.text for e in elements}
+    weigh(elements, [x for x in texts if not x[0].out])
+    found = {ROOT: [ROOT, PAGE, 0, 0, 0, 0, 0, whole[id(elements[0])], 1, elements[0].text]}
+    can = free(elements)
     for e in elements[1:]:
-        if not e.out:
-            x = found.setdefault(e.role, [e.role, ELEMENT, 0, 0, e.depth, 0, 0, 0])
-            x[5] = max(x[5], e.level)
-            x[6] += 1
-            x[7] += e.text
+        x = found.setdefault(e.role, [e.role, ELEMENT, 0, 0, e.depth, 0, 1, 0, 0, 0])
+        x[5] = max(x[5], e.level)
+        x[6] &= id(e) in can
+        x[7] += whole[id(e)]
+        x[8] += 1
+        x[9] += 0 if e.out else e.text
     own: dict[int, list] = {}
     around: dict[int, Element] = {}
-    for place, (e, text, _) in enumerate(shown):
+    for place, (e, text, _) in enumerate(texts):
         t = text_token(e, text)
-        x = own.setdefault(t, [t, TEXT, 0, place, e.depth, 0, 0, 0])
+        x = own.setdefault(t, [t, TEXT, 0, place, e.depth, 0, 0, 0, 0, 0])
         around.setdefault(t, e)
-        x[6] += 1
-        x[7] += 0 if e.link else len(text.strip())
+        x[6] += not e.out
+        x[8] += 1
+        x[9] += 0 if e.link or e.out else len(text.strip())
     for t, x in own.items():
         if t not in found:
             e = around[t]
-            while e.parent is not None and not (e.tag in SECTIONS and found[e.role][6] == x[6]):
+            while e.parent is not None and not (e.tag in SECTIONS and found[e.role][8] == x[8]):
                 e = e.parent
-            x[2] = e.role if found[e.role][6] == x[6] else 0
+            x[2] = e.role if found[e.role][8] == x[8] else 0
             found[t] = x
     return list(found.values())
 
@@ -369,7 +418,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 found = tokens_of(page or "")
                 key = zlib.crc32(f"{page_id} {zlib.crc32((page or '').encode('utf-8', 'replace'))}".encode()) | 1
                 content = sum(x[0] * x[6] for x in found if x[1] == TEXT) & MASK
-                rows += [(host, *x[:7], key, x[7], found[0][7], content) for x in found]
+                rows += [(host, *x, key, content) for x in found]
             fields = [x.split() for x in TOKENS.split(", ")]
             kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
             columns = list(zip(*rows)) or [[]] * len(fields)
@@ -384,7 +433,7 @@ def classes(tokens: DataFrame) -> DataFrame:
     vector = F.sum((F.col("n") * F.col("page")).cast("decimal(38,0)")).alias("vector")
     found = tokens.groupBy("host", "token", "kind").agg(
         F.count("*").alias("pages"), F.count_distinct("content").alias("contents"), vector, F.when(F.min("owner") == F.max("owner"), F.min("owner")).alias("owner"),
-        F.max("depth").alias("depth"), F.max("level").alias("level"), F.sum("text").alias("text"), F.sum("total").alias("total"),
+        F.max("depth").alias("depth"), F.max("level").alias("level"), F.sum("text").alias("text"), F.sum("whole").alias("whole"), F.min("free").alias("free"),
     )
     return found.filter(f"pages > 1 OR kind = {PAGE}")
 
@@ -404,17 +453,21 @@ def own_texts(tokens: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, container, fixed array<long>) of hosts whose pages agree on a container or have a template."""
+    """(host, slot, container, fixed array<long>) of hosts that have a template or whose pages agree on a container."""
     tokens = stage(page_tokens(pages), "page-tokens")
     known = stage(classes(tokens), "classes")
     whole = known.filter(f"kind = {PAGE}").select("host", F.col("pages").alias("all_pages"), F.greatest("text", F.lit(1)).alias("all_text"))
+    # The frame is the class of the page itself; its slot has most of what all tokens of the host's pages hold.
+    frame = known.filter(f"kind = {PAGE} AND pages >= {SUPPORT}").select("host", F.col("vector").alias("frame"), F.greatest("whole", F.lit(1)).alias("all_whole"), F.col("text").alias("shown"))
+    able = known.filter(f"kind = {ELEMENT} AND free = 1").join(frame, "host").filter(f"vector = frame AND whole >= {MOST} * all_whole AND (level > 0 OR text >= {NEARLY} * shown)")
+    slots = able.groupBy("host").agg(F.max_by("token", F.struct("level", (-F.col("depth")).alias("d"), "whole", (-F.col("token")).alias("t"))).alias("slot"))
     # The same choice as marked_container(), over the pages of the host.
     marked = known.filter(f"kind = {ELEMENT} AND level > 0").join(whole, "host").withColumn("share", F.col("text") / F.col("all_text"))
     marked = marked.filter(f"pages >= {PAGES} * all_pages AND share >= if(level > 1, {LEAST}, {MOST})")
     chosen = marked.groupBy("host").agg(F.max_by("token", F.struct("share", "depth", (-F.col("token")).alias("t"))).alias("container"))
     fixed = own_texts(tokens, known).groupBy("host").agg(F.collect_list("token").alias("fixed"), F.sum("text").alias("text"))
     fixed = fixed.join(whole, "host").filter(f"all_text - text >= {VARIES} * all_text").select("host", "fixed")
-    return chosen.join(fixed, "host", "full").select("host", "container", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed"))
+    return slots.join(chosen, "host", "full").join(fixed, "host", "full").select("host", "slot", "container", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -423,12 +476,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = own_columns(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))
     rules = stage(templates(rows), "templates")
     size = rules.agg(F.coalesce(F.sum(F.length("host") + 64 + 8 * F.size("fixed")), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "host", "left").select("page_id", "url", "html", "container", "fixed")
+    joined = rows.join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "host", "left").select("page_id", "url", "html", "container", "fixed", "slot")
 
     def run(batches):
         claim("html")
         for batch in batches:
-            texts = [main_text(page or "", c, set(f or ())) for page, c, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            texts = [main_text(page or "", c, set(f or ()), s) for page, c, f, s in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")

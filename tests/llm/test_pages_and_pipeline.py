@@ -201,6 +201,33 @@ def test_template_words_inside_sentences_and_in_changing_order(spark):
         assert "Our editors" in got[50 + i] and "printed on" not in got[50 + i]  # texts without one order are no template
 
 
+def test_slot_of_the_frame(spark):
+    """What the host's pages share decides on the slot, also where a page alone would be read in another way."""
+    told, rows, want = stories(6), [], {}
+
+    def add(base, host, make):
+        for i, s in enumerate(told):
+            body = f"<h2>{s[0]}</h2>" + "".join(f"<p>{x} and so on for some more words</p>" for x in s[1:])
+            rows.append((base + i, f"https://{host}.example/{i}", make(i, body)))
+            want[base + i] = "\n".join([s[0], *(f"{x} and so on for some more words" for x in s[1:])])
+
+    menu = lambda i: f"<ul class=zq><li><a href=/{i}>thing {i}</a></ul><div class=yx>Passing line {i}.</div>"
+    # A form around the whole page, parts with names that say nothing, an article that a comment article follows.
+    add(0, "form", lambda i, b: f"<body><form>{menu(i)}<article>{b}<select><option>no</select></article></form></body>")
+    add(100, "names", lambda i, b: f"<body>{menu(i)}<article>{b}</article><div class=qq>{'Passing words of day ' + str(i)}</div></body>")
+    add(200, "talk", lambda i, b: f"<body>{menu(i)}<article>{b}<div class=comments><article><p>{'reader words ' * 3} {i}</p></article></div></article></body>")
+    # Nothing marks the larger part: what stands beside it stays.
+    for i, s in enumerate(told):
+        rows.append((300 + i, "https://beside.example/", f"<body><div class=p1><p>Lead {i} of the story</p></div><div class=p2><p>{' '.join(s[1:])} {'more ' * 20}</p></div></body>"))
+        want[300 + i] = " ".join(f"Lead {i} of the story".split()) + "\n" + " ".join(f"{' '.join(s[1:])} {'more ' * 20}".split())
+    with_host = pages(spark, rows).withColumn("host", html.host_of(F.col("url")))
+    slots = {r["host"]: r["slot"] for r in html.templates(with_host).collect()}
+    assert {h.split(".")[0] for h, s in slots.items() if s is not None} == {"form", "names", "talk"}
+    got = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
+    assert got == want
+    assert html.main_text(rows[0][2], None, set()) == ""  # a page alone is all form
+
+
 def test_classes_equal_all_vectors(spark):
     rng = random.Random(4)
     bits = ["<div class=n1><p>note one</p></div>", "<div class=n2>other <i>words</i></div>", "<ul><li>x</li><li>y</li></ul>", "<section><h3>head</h3>tail</section>"]
