@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each with its SQL where SQL can say it."""
 
-from . import budget, classifier, hierarchy, matching, pages, reports, texts  # noqa: F401
+from . import budget, classifier, dataset, hierarchy, matching, pages, reports, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -64,7 +64,7 @@ def dataset(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     leaf = H.leaves(labelled.join(kept, ["year", "fid"], "left_semi"), "fid", ("year",))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row_no"))).alias(c)
     out = leaf.groupBy("year", "fid").agg(*[F.sum(a).alias(a) for a in schema.AMOUNTS], *[first(c) for c in ("name", "ahtt", "function", "f_s1")])
-    out = out.join(F.broadcast(chapters) if chapters.limit(5001).count() <= 5000 else chapters, [out["year"] == chapters["year"], out["f_s1"] == chapters["section"]], "left").drop(chapters["year"])
+    out = out.withColumnRenamed("f_s1", "section").join(F.broadcast(chapters) if chapters.limit(5001).count() <= 5000 else chapters, ["year", "section"], "left")
     if texts is None:
         out = out.withColumn("indoklas", F.lit(None).cast("string"))
     else:

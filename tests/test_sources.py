@@ -43,6 +43,13 @@ def test_texts_belong_to_their_year(spark, tmp_path):
         readers.dataset(rows, one.drop("year"))
 
 
+def test_a_chapter_without_names_keeps_its_year_and_number(spark, tmp_path):
+    head = "row_no,FEJEZET,CIM,ALCIM,JOGCIM1,JOGCIM2,MEGNEVEZÉS,ÁHT-T,Funkció,Működési kiadás,Működési bevétel,Felhalmozási kiadás,Felhalmozási bevétel\n"
+    path = write(tmp_path / "s.csv", head + "1,7,,,,,,,F01.a,,,,\n2,7,1,,,,,8,,2,,,\n3,8,,,,,VÉG,,,1,,,\n")
+    (got,) = readers.dataset(readers.normalised(readers.sheet(spark, path, 2019), 2019)).collect()
+    assert (got["year"], got["section"], got["section_name"], got["fid"], got["spending"]) == (2019, "7", None, "7.1", 2.0)
+
+
 def test_json_and_optional(spark, tmp_path):
     one = {"fid": "1.1", "name": "Árvíz", "spending": 2.0}
     (tmp_path / "ds").mkdir()
