@@ -35,7 +35,7 @@ def numbered(definitions: DataFrame, items: DataFrame, names: DataFrame) -> Data
     that more than one of them has, and the definitions, each with its path: the definition's number, the branch where
     it has several places, and the numbers among siblings. Of rows with one budget_id the first by path stays."""
     found = report.expand_definitions(definitions.filter("places <> ''"), items, own=False).drop("top", "name")
-    found = found.select("row_no", "branch", "fid", "item_name", "amount", "function")
+    found = stage(found.select("row_no", "branch", "fid", "item_name", "amount", "function"), "report-items")  # read by each step below
     keys = ("row_no", "branch")
     parents = H.missing_parents(found, "fid", keys).select(*keys, "fid")
     parents = report.named_by_hierarchy(parents, names).select(*keys, "fid", F.col("found").alias("item_name"))
@@ -101,8 +101,9 @@ def budget_report(definitions: DataFrame, items: DataFrame, names: DataFrame, co
     Definitions without an id have no row, but their items do. Empty tables give the total row with zeros."""
     codes = schema.leaf_codes() if codes is None else codes
     definitions = prepared_definitions(definitions)
-    rows = stage(numbered(definitions, items.filter("amount >= 1"), names), "report-rows")
-    out = trimmed(rolled_up(rows, definitions, codes), definitions)
+    items = stage(items.filter("amount >= 1"), "report-leaves")
+    rows = stage(numbered(definitions, items, names), "report-rows")
+    out = trimmed(stage(rolled_up(rows, definitions, codes), "report-sums"), definitions)
     columns = [F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("long").alias(c) for i, c in enumerate(codes)]
     body = out.select(F.col("trimmed").alias("path"), "budget_id", "label", "function", F.col("total").cast("long").alias("total"), *columns)
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
