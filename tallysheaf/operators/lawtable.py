@@ -34,7 +34,13 @@ def classify_rows(rows: DataFrame, cells: str = "cells", sums: int = 5, name_fro
     })
 
 
+def chapter_of(cells: str = "cells") -> tuple[Column, Column]:
+    """Number and title of a chapter row."""
+    first = F.trim(F.col(cells)[0])
+    return F.substring_index(first, ".", 1), F.trim(F.regexp_replace(first, r"^[^.]*\.\s*", ""))
+
+
 def chapters(rows: DataFrame, order: str, cells: str = "cells") -> DataFrame:
     """(start_idx, number, title) of chapter rows."""
-    first = F.trim(F.col(cells)[0])
-    return rows.filter("kind = 'chapter'").select(F.col(order).alias("start_idx"), F.substring_index(first, ".", 1).alias("number"), F.trim(F.regexp_replace(first, r"^[^.]*\.\s*", "")).alias("title"))
+    number, title = chapter_of(cells)
+    return rows.filter("kind = 'chapter'").select(F.col(order).alias("start_idx"), number.alias("number"), title.alias("title"))

@@ -175,9 +175,7 @@ def law_rows(spark, sf):
     chapter header after a row."""
     rows = _law_cells(spark, sf)
     told = L.classify_rows(rows)
-    chapter = F.struct(*(F.col(c) for c in ("number", "title")))
-    heads = L.chapters(told.withColumn("at", F.struct("page", "row_no")), "at").select(F.col("start_idx.page").alias("page"), F.col("start_idx.row_no").alias("row_no"), chapter.alias("head"))
-    marked = P.next_marker(told.join(heads, ["page", "row_no"], "left"), ["page"], "row_no", F.col("head").isNotNull(), F.col("head"), "next")
+    marked = P.next_marker(told, ["page"], "row_no", F.col("kind") == "chapter", F.struct(*(c.alias(n) for n, c in zip(("number", "title"), L.chapter_of()))), "next")
     amount = F.aggregate("amounts", F.lit(0.0), lambda s, x: s + x)
     data = marked.filter("kind = 'data'")
     return data.select("page", "row_no", F.col("next.number").alias("chapter"), F.col("next.title").alias("title"), F.array_join("nums", ",").alias("nums"), "name", amount.alias("amount"))
@@ -201,9 +199,10 @@ def _law_cells(spark, sf):
     )
     chapter = line(F.concat(text(F.col("l_orderkey") % 40 + 1), F.lit(". Fejezet "), "l_returnflag"), "Kiadás", *[""] * 10)
     cells = F.when(part % 23 == 0, line("", " ", *[""] * 10)).when(part % 29 == 0, line("1", "", "x")).when(part % 17 == 0, chapter).when(part % 31 == 0, line("Cím", "Név", "", "", "", "", "fejléc", *[""] * 5)).otherwise(data)
-    rows = t.withColumns({"page": F.col("l_suppkey"), "cells": cells})
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-    return segments.row_numbers(rows, ["page"], order, "row_no").select("page", "row_no", "cells")
+    rows = t.select(F.col("l_suppkey").alias("page"), *order, "l_returnflag", "l_linestatus")
+    # Cells are made of numbered rows, so that they are not sorted.
+    return segments.row_numbers(rows, ["page"], order, "row_no").select("page", "row_no", cells.alias("cells"))
 
 
 _TITLE_LINES = "list_filter(list_transform(string_split(trim(c.text), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
